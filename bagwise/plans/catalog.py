@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from bagwise.functions.codes import TEXT_COLS, concat_text, default_clean, fill_text
 from bagwise.operators import audit, normalise, resample
 from bagwise.plans import params as P
+from bagwise.session import materialize
 from bagwise.sources.tables import read_records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +37,7 @@ def labelled(spark, sf):
 
 def split_rows(spark, sf):
     lab, dim = labelled(spark, sf)
-    return resample.stratified_split(lab, num_test=P.NUM_TEST, seed=P.SPLIT_SEED), dim
+    return materialize(resample.stratified_split(lab, num_test=P.NUM_TEST, seed=P.SPLIT_SEED)), dim
 
 
 def train_rows(spark, sf):
@@ -45,8 +46,8 @@ def train_rows(spark, sf):
 
 
 def same_bags(spark, sf, formula="same"):
-    return resample.bag_same(train_rows(spark, sf), P.ESTIMATORS, P.NUM_SAMPLES, P.MIN_CAT,
-                             P.BAG_SEED, formula)
+    return materialize(resample.bag_same(train_rows(spark, sf), P.ESTIMATORS, P.NUM_SAMPLES,
+                                         P.MIN_CAT, P.BAG_SEED, formula))
 
 
 # ------------------------------------------------------------ normalisation
@@ -185,3 +186,24 @@ def q_upsample_random(spark, sf):
 @query("upsample_shuffle")
 def q_upsample_shuffle(spark, sf):
     return _upsampled(spark, sf, "shuffle")
+
+
+# ------------------------------------------------------------ pipelines
+
+@query("preprocess_pipeline")
+def q_preprocess_pipeline(spark, sf):
+    from bagwise.plans.pipelines import preprocess
+    p = preprocess(read_records(spark, sf), num_test=P.NUM_TEST, upsample="uniform",
+                   minimum=P.UP_MIN, seed=P.SPLIT_SEED)
+    return (p.train.select(F.lit("train").alias("split"), "id", "draw", "label", "text")
+            .unionByName(p.test.select(F.lit("test").alias("split"), "id",
+                                       F.lit(0).alias("draw"), "label", "text")))
+
+
+@query("bagging_pipeline")
+def q_bagging_pipeline(spark, sf):
+    from bagwise.plans.pipelines import bagging
+    b = bagging(read_records(spark, sf), P.NUM_TEST, P.ESTIMATORS, P.NUM_SAMPLES,
+                P.NUM_SUB_VALID, dist="same", upsample="random", minimum=P.UP_MIN,
+                min_cat_data=P.MIN_CAT, seed=P.BAG_SEED, split_seed=P.SPLIT_SEED)
+    return b.bags

@@ -61,7 +61,8 @@ def test_k(n: str, ratio: str) -> str:
             ELSE floor({n} * {ratio}) END AS BIGINT)"""
 
 
-SPLIT = LABELLED + f""",
+def split_from(labelled: str) -> str:
+    return labelled + f""",
 hist AS (SELECT label, count(*) AS n FROM lab GROUP BY label),
 kk AS (SELECT label, {test_k('n', f'(CAST({P.NUM_TEST} AS DOUBLE) / (SELECT sum(n) FROM hist))')} AS k
        FROM hist),
@@ -74,13 +75,35 @@ train AS (SELECT * EXCLUDE (split) FROM split WHERE split = 'train'),
 test AS (SELECT * EXCLUDE (split) FROM split WHERE split = 'test')"""
 
 
+SPLIT = split_from(LABELLED)
+
+# bagging flow: code -> dedup on code + texts (null differs from '') -> fill -> label
+LABELLED_BAGGING = RECORDS + f""",
+coded0 AS (
+  SELECT *, digit_1 || {pad('digit_2', 2)} || {pad('digit_3', 3)} AS digit FROM records),
+dedup0 AS (
+  SELECT min(id) AS id, digit, text_obj, text_mthd, text_deal
+  FROM coded0 GROUP BY digit, text_obj, text_mthd, text_deal),
+coded AS (
+  SELECT d.id, c.digit_1, c.digit_2, c.digit_3, coalesce(d.text_obj, '') AS text_obj,
+         coalesce(d.text_mthd, '') AS text_mthd, coalesce(d.text_deal, '') AS text_deal,
+         d.digit
+  FROM dedup0 d JOIN coded0 c ON c.id = d.id),
+dim AS (
+  SELECT CAST(row_number() OVER (ORDER BY digit) - 1 AS INTEGER) AS label, digit
+  FROM (SELECT DISTINCT digit FROM coded)),
+lab AS (
+  SELECT c.*, d.label FROM coded c JOIN dim d ON c.digit = d.digit)"""
+
+
 def bags_cte(formula: str = "same", seed: int = P.BAG_SEED, m: int = P.MIN_CAT,
-             k_bags: int = P.ESTIMATORS, total: int = P.NUM_SAMPLES) -> str:
+             k_bags: int = P.ESTIMATORS, total: int = P.NUM_SAMPLES, base: str | None = None
+             ) -> str:
     if formula == "same":
         size = f"floor(e * n + ({m} - {m} * e))"
     else:
         size = f"floor((100 * e - {m}) / (100 - {m}) * n + 100 * {m} * (1 - e) / (100 - {m}))"
-    return SPLIT + f""",
+    return (base or SPLIT) + f""",
 bhist AS (SELECT label, count(*) AS n FROM train GROUP BY label),
 be AS (SELECT CAST({total} AS DOUBLE) / sum(n) AS e FROM bhist),
 bk AS (SELECT label, CAST(CASE WHEN n <= {m} THEN n ELSE {size} END AS BIGINT) AS k
@@ -237,3 +260,61 @@ SELECT label, id, text_obj, text_mthd, text_deal, draw FROM orig
 UNION ALL
 SELECT label, CAST(NULL AS BIGINT) AS id, text_obj, text_mthd, text_deal, draw
 FROM acc WHERE draw <= d"""
+
+TEXT = "text_obj || ' ' || text_mthd || ' ' || text_deal"
+
+ORACLE["preprocess_pipeline"] = "WITH " + split_from(LABELLED) + f""",
+uh AS (SELECT label, count(*) AS n,
+              CAST(sum(CAST({NONEMPTY} AS INTEGER)) AS BIGINT) AS n_ok
+       FROM train GROUP BY label HAVING count(*) < {P.UP_MIN}),
+small AS (SELECT t.label, t.id, t.text_obj, t.text_mthd, t.text_deal, uh.n, uh.n_ok,
+                 {P.UP_MIN} // uh.n AS reps, {P.UP_MIN} % uh.n AS rem, {NONEMPTY} AS ok
+          FROM train t JOIN uh ON t.label = uh.label),
+copies AS (
+  SELECT label, id, text_obj, text_mthd, text_deal,
+         row_number() OVER (PARTITION BY label ORDER BY id, c) AS draw
+  FROM (SELECT s.*, unnest(generate_series(2, reps)) AS c FROM small s)),
+okr AS (
+  SELECT *, row_number() OVER (PARTITION BY label
+            ORDER BY md5('{P.SPLIT_SEED}:uniform:' || label || ':' || id), id) AS rk
+  FROM small WHERE ok),
+extra AS (
+  SELECT label, id, text_obj, text_mthd, text_deal, (reps - 1) * n + j AS draw
+  FROM (SELECT o.*, unnest(generate_series(rk, rem, n_ok)) AS j FROM okr o)),
+up AS (
+  SELECT label, id, text_obj, text_mthd, text_deal, 0 AS draw FROM train
+  UNION ALL SELECT label, id, text_obj, text_mthd, text_deal, draw FROM copies
+  UNION ALL SELECT label, id, text_obj, text_mthd, text_deal, draw FROM extra)
+SELECT 'train' AS split, id, draw, label, {TEXT} AS text FROM up
+UNION ALL
+SELECT 'test' AS split, id, 0 AS draw, label, {TEXT} AS text FROM test"""
+
+_BAG_BASE = bags_cte("same", base=split_from(LABELLED_BAGGING))
+ORACLE["bagging_pipeline"] = "WITH " + _BAG_BASE + f""",
+bh AS (SELECT bag_id, label, count(*) AS n FROM bags GROUP BY bag_id, label),
+bt AS (SELECT bag_id, label, n,
+              {test_k('n', f'(CAST({P.NUM_SUB_VALID} AS DOUBLE) / sum(n) OVER (PARTITION BY bag_id))')} AS k
+       FROM bh),
+parts AS (
+  SELECT b.bag_id, b.id, b.label, b.text_obj, b.text_mthd, b.text_deal,
+         CASE WHEN row_number() OVER (PARTITION BY b.bag_id, b.label
+                   ORDER BY md5('{P.BAG_SEED}:split:' || b.bag_id || ':' || b.id), b.id) <= bt.k
+              THEN 'valid' ELSE 'train' END AS part
+  FROM bags b JOIN bt ON b.bag_id = bt.bag_id AND b.label = bt.label),
+st AS (SELECT * FROM parts WHERE part = 'train'),
+uh AS (SELECT bag_id, label, count(*) AS n,
+              CAST(sum(CAST({NONEMPTY} AS INTEGER)) AS BIGINT) AS n_ok
+       FROM st GROUP BY bag_id, label HAVING count(*) < {P.UP_MIN}),
+okr AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.bag_id, s.label ORDER BY s.id) AS rk
+  FROM st s JOIN uh ON s.bag_id = uh.bag_id AND s.label = uh.label
+  WHERE {NONEMPTY.replace('text_', 's.text_')}),
+draws AS (
+  SELECT bag_id, label, j AS draw,
+         CAST(floor({u(f"'{P.BAG_SEED}:random:' || bag_id || ':' || label || ':' || j")} * n_ok) + 1 AS BIGINT) AS rk
+  FROM (SELECT uh.*, unnest(generate_series(1, {P.UP_MIN} - n)) AS j FROM uh))
+SELECT bag_id, part, id, 0 AS draw, label, {TEXT} AS text FROM parts
+UNION ALL
+SELECT d.bag_id, 'train' AS part, o.id, d.draw, d.label,
+       o.text_obj || ' ' || o.text_mthd || ' ' || o.text_deal AS text
+FROM draws d JOIN okr o ON d.bag_id = o.bag_id AND d.label = o.label AND d.rk = o.rk"""

@@ -13,6 +13,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -46,3 +47,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="bagwise-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return configured
+
+
+def materialize(df):
+    """Cut the lineage at a stage boundary: a reliable checkpoint into the
+    cluster's checkpoint folder (survives executor loss; never a local one).
+    Chained stages that read their input twice (counts + rank) would
+    otherwise grow the plan exponentially."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
