@@ -19,6 +19,20 @@ def confusion(pred: DataFrame, by: Sequence[str] = (), label="label", pred_col="
         .agg(F.count(F.lit(1)).alias("n"))
 
 
+def class_list(classes: DataFrame) -> list[int]:
+    """Labels of the class dimension (bounded by the number of classes)."""
+    return sorted(r[0] for r in classes.select("label").distinct().collect())
+
+
+def class_grid(classes: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """(groups..., label) for every class: the class list is exploded per
+    group row, so absent classes get a row."""
+    if groups is None:
+        return classes.select("label").distinct()
+    labels = F.array(*[F.lit(c) for c in class_list(classes)])
+    return groups.withColumn("label", F.explode(labels))
+
+
 def per_class(pred: DataFrame, classes: DataFrame, by: Sequence[str] = (),
               label="label", pred_col="pred") -> DataFrame:
     """(by..., label, n_true, n_pred, tp, precision, recall, f1score) for every
@@ -29,9 +43,7 @@ def per_class(pred: DataFrame, classes: DataFrame, by: Sequence[str] = (),
                                          F.sum(F.when(F.col("label") == F.col("pred"), F.col("n"))
                                                .otherwise(0)).alias("tp"))
     npred = cm.groupBy(*by, F.col("pred").alias("label")).agg(F.sum("n").alias("n_pred"))
-    cls = classes.select("label").distinct()
-    if by:
-        cls = cls.crossJoin(F.broadcast(pred.select(*by).distinct()))  # groups x classes
+    cls = class_grid(classes, pred.select(*by).distinct() if by else None)
     out = (cls.join(true, by + ["label"], "left").join(npred, by + ["label"], "left")
            .fillna(0, subset=["n_true", "n_pred", "tp"]))
     pc = F.when(F.col("n_pred") == 0, 0.0).otherwise(F.col("tp") / F.col("n_pred"))
@@ -56,7 +68,10 @@ def macro(pred: DataFrame, classes: DataFrame, by: Sequence[str] = (),
     if loss_col:
         aggs.append(F.avg(loss_col).alias("loss"))
     a = pred.groupBy(*by).agg(*aggs)
-    return a.join(m, by, "inner") if by else a.crossJoin(m)
+    if not by:   # two one-row tables
+        a, m, by = a.withColumn("_one", F.lit(1)), m.withColumn("_one", F.lit(1)), ["_one"]
+        return a.join(m, by).drop("_one")
+    return a.join(m, by, "inner")
 
 
 def rounded(df: DataFrame, cols: Sequence[str], places: int = 6) -> DataFrame:

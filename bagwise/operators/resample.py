@@ -145,8 +145,7 @@ def _bags_from_sizes(train: DataFrame, k_table: DataFrame, estimators: int, seed
         hk = k_table
     else:
         pairs = _bag_pairs(train, k_table, estimators, seed, prune)
-        hk = k_table.crossJoin(F.broadcast(
-            train.sparkSession.range(estimators).select(F.col("id").cast("int").alias("bag_id"))))
+        hk = k_table.withColumn("bag_id", F.explode(F.sequence(F.lit(0), F.lit(estimators - 1))))
         if prune:
             kept = pairs.groupBy(*strata).agg(F.count(F.lit(1)).alias("_kept"))
             short = (hk.join(kept, strata, "left")
@@ -190,10 +189,10 @@ def random_bag_sizes(train: DataFrame, estimators: int, total: int, min_cat_data
     hist = class_hist(train, ["label"]).cache()
     if (hist.agg(F.sum("n")).first()[0] or 0) < total:
         raise ValueError("total exceeds the rows available; the draw cannot reach it")
-    bags = spark.range(estimators).select(F.col("id").cast("int").alias("bag_id"))
     state = {b: (0, cut_std) for b in range(estimators)}   # bag -> (attempt, cut)
     done: dict[int, tuple[int, int, str]] = {}
-    grid = hist.crossJoin(F.broadcast(bags)).cache()
+    grid = hist.withColumn("bag_id", F.explode(
+        F.sequence(F.lit(0), F.lit(estimators - 1))).cast("int")).cache()
     for _ in range(max_attempts):
         todo = [b for b in state if b not in done]
         if not todo:

@@ -207,3 +207,278 @@ def q_bagging_pipeline(spark, sf):
                 P.NUM_SUB_VALID, dist="same", upsample="random", minimum=P.UP_MIN,
                 min_cat_data=P.MIN_CAT, seed=P.BAG_SEED, split_seed=P.SPLIT_SEED)
     return b.bags
+
+
+# ------------------------------------------------------------ learners / ensembles
+
+from bagwise.functions.arrays import argmax, ce_row, one_hot  # noqa: E402
+from bagwise.operators import assignment, ensemble, learners, losses, metrics  # noqa: E402
+from bagwise.operators import history, reports, subsets  # noqa: E402
+from bagwise.sources import tables  # noqa: E402
+
+
+def emb_rows(spark, sf):
+    return tables.embedding_rows(spark, sf)
+
+
+def emb_classes(spark, sf):
+    return tables.embedding_class_dim(emb_rows(spark, sf))
+
+
+def emb_models(spark, sf):
+    rows = emb_rows(spark, sf)
+    return learners.fit_centroids(rows.where(F.col("split") == "train"),
+                                  models=tables.EMB_MODELS, width=tables.EMB_SLICE)
+
+
+def emb_scored(spark, sf, which=("test",)):
+    """(model, id, label, split, prob) for the rows of the given splits."""
+    rows = emb_rows(spark, sf).where(F.col("split").isin(*which))
+    sc = learners.score_centroids(rows, emb_models(spark, sf), scale=tables.EMB_SCALE,
+                                  width=tables.EMB_SLICE, keep=("id", "label", "split"))
+    return materialize(sc)
+
+
+def emb_base(spark, sf):
+    """Base predictions with pred and CE loss (M7, M8)."""
+    sc = emb_scored(spark, sf)
+    return sc.withColumn("pred", argmax("prob")).withColumn("loss", ce_row("prob", "label"))
+
+
+def emb_ensemble(spark, sf):
+    ens = ensemble.mean_and_vote(emb_scored(spark, sf))
+    return ens.withColumn("loss_mean", ce_row("prob_mean", "label"))
+
+
+def emb_names(spark, sf):
+    ranges = assignment.learner_ranges(spark, P.EMB_MODEL_TYPES)
+    bag_ids = spark.range(tables.EMB_MODELS).select(F.col("id").cast("int").alias("bag_id"))
+    return assignment.assign_learners(bag_ids, ranges, loss="mix")
+
+
+def emb_gathered_by_name(spark, sf):
+    names = emb_names(spark, sf).select(F.col("bag_id").alias("model"), "name")
+    sc = emb_scored(spark, sf).join(F.broadcast(names), "model")
+    return (sc.groupBy("id", "label")
+            .agg(F.sort_array(F.collect_list(F.struct("name", "prob"))).alias("_np"))
+            .select("id", "label", F.col("_np.prob").alias("probs")))
+
+
+@query("learner_assignment")
+def q_learner_assignment(spark, sf):
+    ranges = assignment.learner_ranges(spark, P.EMB_MODEL_TYPES)
+    return assignment.assign_learners(
+        spark.range(tables.EMB_MODELS).select(F.col("id").cast("int").alias("bag_id")),
+        ranges, loss="mix").join(ranges.select("type", "lo", "hi"), "type")
+
+
+@query("model_names")
+def q_model_names(spark, sf):
+    return emb_names(spark, sf).select(F.col("bag_id").alias("model"), "name")
+
+
+@query("centroid_scores")
+def q_centroid_scores(spark, sf):
+    sc = emb_scored(spark, sf)
+    return sc.select("model", "id", F.posexplode("prob").alias("class", "prob"))
+
+
+@query("score_all_models")
+def q_score_all_models(spark, sf):
+    return emb_base(spark, sf).select("model", "id", "label", "pred")
+
+
+@query("one_hot")
+def q_one_hot(spark, sf):
+    rows = emb_rows(spark, sf).where(F.col("split") == "test")
+    return rows.select("id", F.posexplode(one_hot("label", P.EMB_CLASSES)).alias("class", "t"))
+
+
+@query("ensemble_mean")
+def q_ensemble_mean(spark, sf):
+    return ensemble.mean_ensemble(emb_scored(spark, sf)).select("id", "label", "pred")
+
+
+@query("ensemble_vote")
+def q_ensemble_vote(spark, sf):
+    return ensemble.vote_ensemble(emb_scored(spark, sf)).select("id", "label", "pred")
+
+
+@query("ensemble_submission")
+def q_ensemble_submission(spark, sf):
+    src = emb_rows(spark, sf).where(F.col("split") == "test").select(
+        "id", F.lit(None).cast("string").alias("digit_1"),
+        F.lit(None).cast("string").alias("digit_2"), F.lit(None).cast("string").alias("digit_3"))
+    return reports.submission(src, emb_ensemble(spark, sf), emb_classes(spark, sf), "pred_mean")
+
+
+def _ens_long(spark, sf):
+    ens = emb_ensemble(spark, sf)
+    return (ens.select(F.lit("mean").alias("agg_fn"), "id", "label",
+                       F.col("pred_mean").alias("pred"))
+            .unionByName(ens.select(F.lit("vote").alias("agg_fn"), "id", "label",
+                                    F.col("pred_vote").alias("pred"))))
+
+
+@query("confusion")
+def q_confusion(spark, sf):
+    return metrics.confusion(_ens_long(spark, sf), by=["agg_fn"])
+
+
+@query("per_class_metrics")
+def q_per_class_metrics(spark, sf):
+    return reports.per_class_result(emb_ensemble(spark, sf), emb_classes(spark, sf))
+
+
+@query("macro_metrics")
+def q_macro_metrics(spark, sf):
+    m = metrics.macro(_ens_long(spark, sf), emb_classes(spark, sf), by=["agg_fn"])
+    return metrics.rounded(m, ["accuracy", "precision", "recall", "f1score"])
+
+
+@query("model_metrics")
+def q_model_metrics(spark, sf):
+    return metrics.macro(emb_base(spark, sf), emb_classes(spark, sf), by=["model"],
+                         loss_col="loss")
+
+
+def _loss(spark, sf, name, **kw):
+    rows = losses.row_losses(emb_scored(spark, sf), name, by=["model"],
+                             batch_size=P.BATCH_SIZE, num_classes=P.EMB_CLASSES, **kw)
+    return losses.reduce_loss(rows, "mean", by=["model"])
+
+
+@query("loss_ce")
+def q_loss_ce(spark, sf):
+    return _loss(spark, sf, "CE")
+
+
+@query("loss_fce")
+def q_loss_fce(spark, sf):
+    return _loss(spark, sf, "FCE")
+
+
+@query("loss_ice")
+def q_loss_ice(spark, sf):
+    return _loss(spark, sf, "ICE")
+
+
+@query("loss_weighted")
+def q_loss_weighted(spark, sf):
+    w = emb_classes(spark, sf).select(
+        "label", (F.lit(1.0) / (F.col("label") + 1)).alias("weight"))
+    return _loss(spark, sf, "CE", weights=w, ignore_index=0)
+
+
+@query("loss_reductions")
+def q_loss_reductions(spark, sf):
+    sc = emb_scored(spark, sf)
+    rows = losses.row_losses(sc, "CE")
+    # softmax=True on log-probabilities gives back the probabilities
+    logits = sc.withColumn("prob", F.transform("prob", lambda x: F.log(x)))
+    rows_sm = losses.row_losses(losses.with_softmax(logits, True), "CE")
+    out = None
+    for red, src in (("mean", rows), ("sum", rows), ("mean_softmax", rows_sm)):
+        r = losses.reduce_loss(src, red.split("_")[0], by=["model"]).withColumn(
+            "reduction", F.lit(red))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+# ------------------------------------------------------------ histories / reports
+
+def hist_rows(spark, sf):
+    return tables.history_view(tables.read_table(spark, sf, "events"))
+
+
+@query("epoch_best")
+def q_epoch_best(spark, sf):
+    return history.best_epochs(hist_rows(spark, sf))
+
+
+@query("early_stop")
+def q_early_stop(spark, sf):
+    h = materialize(hist_rows(spark, sf))
+    a = history.early_stop(h, P.PATIENCE, "<=").withColumn("mode", F.lit("<="))
+    b = history.early_stop(h, P.PATIENCE, "<").withColumn("mode", F.lit("<"))
+    return a.unionByName(b)
+
+
+def emb_evals(spark, sf):
+    """Per-row evaluation facts: run 'centroid', epoch = base model index,
+    split train / valid, label, pred, loss (stand-in for an epoch loop)."""
+    sc = emb_scored(spark, sf, which=("train", "test"))
+    return sc.select(F.lit("centroid").alias("run"), F.col("model").alias("epoch"),
+                     F.when(F.col("split") == "train", "train").otherwise("valid").alias("split"),
+                     "id", "label", argmax("prob").alias("pred"),
+                     ce_row("prob", "label").alias("loss"))
+
+
+@query("epoch_summary")
+def q_epoch_summary(spark, sf):
+    return reports.epoch_summary(emb_evals(spark, sf), emb_classes(spark, sf))
+
+
+@query("class_epoch_pivot")
+def q_class_epoch_pivot(spark, sf):
+    return reports.class_epoch_pivot(emb_evals(spark, sf), emb_classes(spark, sf),
+                                     epochs=list(range(tables.EMB_MODELS)))
+
+
+@query("test_summary")
+def q_test_summary(spark, sf):
+    return reports.test_summary(emb_ensemble(spark, sf), emb_base(spark, sf),
+                                emb_classes(spark, sf))
+
+
+@query("predictions")
+def q_predictions(spark, sf):
+    return reports.prediction_table(emb_ensemble(spark, sf), emb_classes(spark, sf))
+
+
+# ------------------------------------------------------------ subset search
+
+@query("subset_metrics")
+def q_subset_metrics(spark, sf):
+    names = [r[0] for r in emb_names(spark, sf).select("name").collect()]
+    return subsets.subset_metrics(emb_gathered_by_name(spark, sf), names,
+                                  emb_classes(spark, sf))
+
+
+def _top(spark, sf, by):
+    return subsets.top_subsets(materialize(q_subset_metrics(spark, sf)), by, P.TOP_K)
+
+
+@query("subset_top_acc")
+def q_subset_top_acc(spark, sf):
+    return _top(spark, sf, "accuracy")
+
+
+@query("subset_top_f1")
+def q_subset_top_f1(spark, sf):
+    return _top(spark, sf, "f1score")
+
+
+@query("subset_top_weighted")
+def q_subset_top_weighted(spark, sf):
+    return _top(spark, sf, "weighted")
+
+
+@query("subset_per_type")
+def q_subset_per_type(spark, sf):
+    names = emb_names(spark, sf).select(F.col("bag_id").alias("model"), "name")
+    sc = emb_scored(spark, sf)
+    out = None
+    for n in (1, 2):
+        w = subsets.per_type_pool(sc, names, n)
+        ens = subsets.weighted_mean_ensemble(sc, w)
+        m = metrics.macro(ens, emb_classes(spark, sf)).withColumn("n", F.lit(n))
+        out = m if out is None else out.unionByName(m)
+    return out.select("n", "accuracy", "precision", "recall", "f1score")
+
+
+@query("preview")
+def q_preview(spark, sf):
+    lab, _ = labelled(spark, sf)
+    return lab.orderBy("id").limit(P.PREVIEW_N).select("id", "digit", "label",
+                                                       concat_text().alias("text"))
