@@ -318,3 +318,313 @@ UNION ALL
 SELECT d.bag_id, 'train' AS part, o.id, d.draw, d.label,
        o.text_obj || ' ' || o.text_mthd || ' ' || o.text_deal AS text
 FROM draws d JOIN okr o ON d.bag_id = o.bag_id AND d.label = o.label AND d.rk = o.rk"""
+
+# ---------------------------------------------------------------- embeddings
+
+EPS = "CAST(1e-9 AS DOUBLE)"
+
+EMB = f"""
+emb AS (
+  SELECT vec_id AS id, CAST(label AS INTEGER) AS label, embedding AS vec,
+         CASE WHEN CAST(('0x' || substr(md5('42:' || vec_id), 1, 8)) AS BIGINT) % 10 < 7
+              THEN 'train' ELSE 'test' END AS split
+  FROM embeddings),
+cls AS (
+  SELECT label, chr(65 + label) || lpad(CAST(label * 3 AS VARCHAR), 2, '0')
+                || lpad(CAST(label * 17 + 100 AS VARCHAR), 3, '0') AS digit
+  FROM (SELECT DISTINCT label FROM emb)),
+ev AS (
+  SELECT e.id, e.label, e.split, CAST(m.range AS INTEGER) AS model,
+         CAST(g.range AS INTEGER) AS pos, CAST(e.vec[m.range * 16 + g.range + 1] AS DOUBLE) AS v
+  FROM emb e, range(4) m, range(16) g),
+cent AS (SELECT model, label, pos, avg(v) AS w FROM ev WHERE split = 'train'
+         GROUP BY model, label, pos),
+sc AS (
+  SELECT ev.model, ev.id, ev.label, ev.split, c.label AS cls, 8 * sum(ev.v * c.w) AS s
+  FROM ev JOIN cent c ON c.model = ev.model AND c.pos = ev.pos
+  GROUP BY ev.model, ev.id, ev.label, ev.split, c.label),
+sm AS (SELECT *, exp(s - max(s) OVER (PARTITION BY model, id)) AS ex FROM sc),
+pr_all AS (SELECT model, id, label, split, cls,
+                  ex / sum(ex) OVER (PARTITION BY model, id) AS p FROM sm),
+pr AS (SELECT * FROM pr_all WHERE split = 'test'),
+bp AS (
+  SELECT model, id, label, cls AS pred FROM (
+    SELECT *, row_number() OVER (PARTITION BY model, id ORDER BY round(p, 9) DESC, cls) AS r
+    FROM pr) WHERE r = 1),
+bl AS (SELECT model, id, label, -ln(p + {EPS}) AS loss FROM pr WHERE cls = label),
+pm AS (SELECT id, label, cls, avg(p) AS p FROM pr GROUP BY id, label, cls),
+mean_pred AS (
+  SELECT id, label, cls AS pred FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(p, 9) DESC, cls) AS r FROM pm)
+  WHERE r = 1),
+mean_loss AS (SELECT id, -ln(p + {EPS}) AS loss FROM pm WHERE cls = label),
+vote_pred AS (
+  SELECT id, label, pred FROM (
+    SELECT id, label, pred, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, pred) AS r
+    FROM bp GROUP BY id, label, pred) WHERE r = 1),
+ens AS (SELECT 'mean' AS agg_fn, id, label, pred FROM mean_pred
+        UNION ALL SELECT 'vote' AS agg_fn, id, label, pred FROM vote_pred),
+types AS (SELECT * FROM (VALUES ('bert', 0, 2), ('gpt', 1, 2)) t(type, type_order, n)),
+rng AS (SELECT type, CAST(sum(n) OVER (ORDER BY type_order) - n AS INTEGER) AS lo,
+               CAST(sum(n) OVER (ORDER BY type_order) AS INTEGER) AS hi FROM types),
+asg AS (
+  SELECT CAST(b.range AS INTEGER) AS bag_id, r.type, CAST(b.range - r.lo AS INTEGER) AS ith,
+         CASE WHEN (b.range - r.lo) % 2 = 1 THEN 'FCE' ELSE 'ICE' END AS loss, r.lo, r.hi
+  FROM range(4) b JOIN rng r ON b.range >= r.lo AND b.range < r.hi),
+names AS (SELECT bag_id AS model, type || '_' || loss AS name FROM asg)"""
+
+
+def per_class_sql(src: str, by: str) -> str:
+    """Per-class scores of ``src`` (by, id, label, pred) over every class."""
+    return f"""
+pc_grid AS (SELECT g.{by}, c.label FROM (SELECT DISTINCT {by} FROM {src}) g, cls c),
+pc_t AS (SELECT {by}, label, count(*) AS n_true,
+                sum(CASE WHEN label = pred THEN 1 ELSE 0 END) AS tp FROM {src} GROUP BY ALL),
+pc_p AS (SELECT {by}, pred AS label, count(*) AS n_pred FROM {src} GROUP BY ALL),
+pc0 AS (
+  SELECT g.{by}, g.label, coalesce(t.n_true, 0) AS n_true, coalesce(t.tp, 0) AS tp,
+         coalesce(p.n_pred, 0) AS n_pred
+  FROM pc_grid g LEFT JOIN pc_t t ON t.{by} = g.{by} AND t.label = g.label
+  LEFT JOIN pc_p p ON p.{by} = g.{by} AND p.label = g.label),
+pc1 AS (SELECT *, CASE WHEN n_pred = 0 THEN 0.0 ELSE tp / n_pred END AS precision,
+                  CASE WHEN n_true = 0 THEN 0.0 ELSE tp / n_true END AS recall FROM pc0),
+pc AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0
+                      ELSE 2 * precision * recall / (precision + recall) END AS f1score FROM pc1),
+macro AS (SELECT {by}, avg(precision) AS precision, avg(recall) AS recall,
+                 avg(f1score) AS f1score FROM pc GROUP BY {by})"""
+
+
+ORACLE["learner_assignment"] = f"WITH {EMB} " + \
+    "SELECT type, bag_id, ith, loss, type || '_' || loss AS name, lo, hi FROM asg"
+ORACLE["model_names"] = f"WITH {EMB} SELECT model, name FROM names"
+ORACLE["centroid_scores"] = f"WITH {EMB} SELECT model, id, cls AS class, p AS prob FROM pr"
+ORACLE["score_all_models"] = f"WITH {EMB} SELECT model, id, label, pred FROM bp"
+ORACLE["one_hot"] = f"WITH {EMB} " + """
+SELECT e.id, CAST(g.range AS INTEGER) AS class,
+       CASE WHEN g.range = e.label THEN 1.0 ELSE 0.0 END AS t
+FROM emb e, range(10) g WHERE e.split = 'test'"""
+ORACLE["ensemble_mean"] = f"WITH {EMB} SELECT id, label, pred FROM mean_pred"
+ORACLE["ensemble_vote"] = f"WITH {EMB} SELECT id, label, pred FROM vote_pred"
+ORACLE["ensemble_submission"] = f"WITH {EMB} " + """
+SELECT e.id, substr(c.digit, 1, 1) AS digit_1, substr(c.digit, 2, 2) AS digit_2,
+       substr(c.digit, 4) AS digit_3
+FROM emb e LEFT JOIN mean_pred m ON m.id = e.id LEFT JOIN cls c ON c.label = m.pred
+WHERE e.split = 'test'"""
+ORACLE["confusion"] = f"WITH {EMB} SELECT agg_fn, label, pred, count(*) AS n FROM ens GROUP BY ALL"
+ORACLE["per_class_metrics"] = f"WITH {EMB}, {per_class_sql('ens', 'agg_fn')} " + """
+SELECT pc.agg_fn, pc.label AS class_id, c.digit AS class, pc.n_true AS n_test,
+       pc.precision, pc.recall, pc.f1score
+FROM pc JOIN cls c ON c.label = pc.label"""
+ORACLE["macro_metrics"] = f"WITH {EMB}, {per_class_sql('ens', 'agg_fn')} " + """
+SELECT a.agg_fn, a.n, round(a.accuracy, 6) AS accuracy, round(m.precision, 6) AS precision,
+       round(m.recall, 6) AS recall, round(m.f1score, 6) AS f1score
+FROM (SELECT agg_fn, count(*) AS n, avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) AS accuracy
+      FROM ens GROUP BY agg_fn) a JOIN macro m ON m.agg_fn = a.agg_fn"""
+ORACLE["model_metrics"] = f"WITH {EMB}, {per_class_sql('bp', 'model')} " + """
+SELECT a.model, a.n, a.accuracy, l.loss, m.precision, m.recall, m.f1score
+FROM (SELECT model, count(*) AS n, avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) AS accuracy
+      FROM bp GROUP BY model) a
+JOIN macro m ON m.model = a.model
+JOIN (SELECT model, avg(loss) AS loss FROM bl GROUP BY model) l ON l.model = a.model"""
+ORACLE["loss_ce"] = f"WITH {EMB} SELECT model, avg(loss) AS loss FROM bl GROUP BY model"
+ORACLE["loss_fce"] = f"WITH {EMB} " + f"""
+SELECT model, avg(-(pow(1 - p, 2) * 1 * ln(p + {EPS}))) AS loss
+FROM pr WHERE cls = label GROUP BY model"""
+ORACLE["loss_ice"] = f"WITH {EMB}, " + f"""
+py AS (SELECT model, id, label, p,
+              (row_number() OVER (PARTITION BY model ORDER BY id) - 1) // {P.BATCH_SIZE} AS batch_id
+       FROM pr WHERE cls = label),
+bc AS (SELECT model, batch_id, label, 1.0 / (count(*) + {EPS}) AS inv
+       FROM py GROUP BY model, batch_id, label),
+bs AS (SELECT model, batch_id, sum(inv) + ({P.EMB_CLASSES} - count(*)) / {EPS} AS den
+       FROM bc GROUP BY model, batch_id)
+SELECT py.model, avg(-(bc.inv / bs.den * {P.EMB_CLASSES}) * ln(py.p + {EPS})) AS loss
+FROM py JOIN bc ON bc.model = py.model AND bc.batch_id = py.batch_id AND bc.label = py.label
+JOIN bs ON bs.model = py.model AND bs.batch_id = py.batch_id
+GROUP BY py.model"""
+ORACLE["loss_weighted"] = f"WITH {EMB} " + """
+SELECT model, avg(loss * CASE WHEN label = 0 THEN 0.0 ELSE 1.0 / (label + 1) END) AS loss
+FROM bl GROUP BY model"""
+ORACLE["loss_reductions"] = f"WITH {EMB} " + f"""
+SELECT model, avg(loss) AS loss, 'mean' AS reduction FROM bl GROUP BY model
+UNION ALL SELECT model, sum(loss), 'sum' FROM bl GROUP BY model
+UNION ALL
+SELECT model, avg(-ln(q + {EPS})), 'mean_softmax' FROM (
+  SELECT model, id, label, cls, p / sum(p) OVER (PARTITION BY model, id) AS q FROM pr)
+WHERE cls = label GROUP BY model"""
+
+_EVALS = f"""
+evals AS (
+  SELECT 'centroid' AS run, a.model AS epoch,
+         CASE WHEN a.split = 'train' THEN 'train' ELSE 'valid' END AS split, a.id, a.label,
+         a.pred, -ln(b.p + {EPS}) AS loss
+  FROM (SELECT model, id, label, split, cls AS pred FROM (
+          SELECT *, row_number() OVER (PARTITION BY model, id ORDER BY round(p, 9) DESC, cls) AS r
+          FROM pr_all) WHERE r = 1) a
+  JOIN pr_all b ON b.model = a.model AND b.id = a.id AND b.cls = b.label),
+ev2 AS (SELECT run || ':' || epoch || ':' || split AS grp, * FROM evals)"""
+
+ORACLE["epoch_summary"] = f"WITH {EMB}, {_EVALS}, {per_class_sql('ev2', 'grp')}, " + """
+s AS (SELECT e.run, e.epoch, e.split, avg(e.loss) AS loss,
+             avg(CASE WHEN e.label = e.pred THEN 1.0 ELSE 0.0 END) AS accuracy,
+             any_value(m.precision) AS precision, any_value(m.recall) AS recall,
+             any_value(m.f1score) AS f1score
+      FROM ev2 e JOIN macro m ON m.grp = e.grp GROUP BY e.run, e.epoch, e.split)
+SELECT t.run, t.epoch, t.loss AS train_loss, t.accuracy AS train_accuracy,
+       t.precision AS train_precision, t.recall AS train_recall, t.f1score AS train_f1score,
+       v.loss AS valid_loss, v.accuracy AS valid_accuracy, v.precision AS valid_precision,
+       v.recall AS valid_recall, v.f1score AS valid_f1score
+FROM s t JOIN s v ON v.run = t.run AND v.epoch = t.epoch AND v.split = 'valid'
+WHERE t.split = 'train'"""
+
+ORACLE["class_epoch_pivot"] = f"WITH {EMB}, {_EVALS}, " + \
+    per_class_sql("(SELECT * FROM evals WHERE split = 'valid')", "epoch").replace(
+        "(SELECT DISTINCT epoch FROM (SELECT * FROM evals WHERE split = 'valid'))",
+        "(SELECT DISTINCT epoch FROM evals WHERE split = 'valid')") + """,
+cnt AS (SELECT label, sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS n_train,
+               sum(CASE WHEN split = 'valid' THEN 1 ELSE 0 END) AS n_valid
+        FROM evals WHERE epoch = 0 GROUP BY label)
+SELECT pc.label, 'centroid' AS run,
+       max(CASE WHEN epoch = 0 THEN f1score END) AS epoch_0,
+       max(CASE WHEN epoch = 1 THEN f1score END) AS epoch_1,
+       max(CASE WHEN epoch = 2 THEN f1score END) AS epoch_2,
+       max(CASE WHEN epoch = 3 THEN f1score END) AS epoch_3,
+       coalesce(any_value(cnt.n_train), 0) AS n_train, coalesce(any_value(cnt.n_valid), 0) AS n_valid,
+       any_value(c.digit) AS digit
+FROM pc LEFT JOIN cnt ON cnt.label = pc.label JOIN cls c ON c.label = pc.label
+GROUP BY pc.label"""
+
+_TS = """
+SELECT 'mean' AS agg_fn, (SELECT avg(loss) FROM mean_loss) AS test_loss, a.accuracy,
+       m.precision, m.recall, m.f1score
+FROM acc a JOIN macro m ON m.agg_fn = a.agg_fn WHERE a.agg_fn = 'mean'
+UNION ALL
+SELECT 'vote', CAST(NULL AS DOUBLE), a.accuracy, m.precision, m.recall, m.f1score
+FROM acc a JOIN macro m ON m.agg_fn = a.agg_fn WHERE a.agg_fn = 'vote'
+UNION ALL
+SELECT 'model' || a.agg_fn[2:], l.loss, a.accuracy, m.precision, m.recall, m.f1score
+FROM acc a JOIN macro m ON m.agg_fn = a.agg_fn
+JOIN (SELECT model, avg(loss) AS loss FROM bl GROUP BY model) l ON 'm' || l.model = a.agg_fn"""
+
+ORACLE["test_summary"] = f"WITH {EMB}, all_ens AS (" + """
+  SELECT agg_fn, id, label, pred FROM ens
+  UNION ALL SELECT 'm' || model, id, label, pred FROM bp),""" + \
+    per_class_sql("all_ens", "agg_fn")[1:] + """,
+acc AS (SELECT agg_fn, avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) AS accuracy
+        FROM all_ens GROUP BY agg_fn) """ + _TS
+
+ORACLE["predictions"] = f"WITH {EMB} " + """
+SELECT m.id AS doc, c1.digit AS category, c2.digit AS pred_mean, c3.digit AS pred_vote
+FROM mean_pred m JOIN vote_pred v ON v.id = m.id
+LEFT JOIN cls c1 ON c1.label = m.label LEFT JOIN cls c2 ON c2.label = m.pred
+LEFT JOIN cls c3 ON c3.label = v.pred"""
+
+# ---------------------------------------------------------------- subsets
+
+_SUBSETS = """
+npos AS (SELECT model, name, row_number() OVER (ORDER BY name) - 1 AS pos FROM names),
+members AS (SELECT s.range AS mask, n.model, n.name FROM range(1, 16) s, npos n
+            WHERE (s.range >> n.pos) & 1 = 1),
+sname AS (SELECT mask, string_agg(name, '|' ORDER BY name) AS subset, count(*) AS size
+          FROM members GROUP BY mask),
+spm AS (SELECT m.mask, p.id, p.label, p.cls, avg(p.p) AS p
+        FROM members m JOIN pr p ON p.model = m.model GROUP BY m.mask, p.id, p.label, p.cls),
+spred AS (SELECT mask, id, label, cls AS pred FROM (
+            SELECT *, row_number() OVER (PARTITION BY mask, id ORDER BY round(p, 9) DESC, cls) AS r
+            FROM spm) WHERE r = 1),"""
+
+SUBSET_METRICS = f"WITH {EMB}, {_SUBSETS} " + per_class_sql("spred", "mask")[1:] + """,
+sm_out AS (
+  SELECT s.subset, s.size, a.accuracy, m.precision, m.recall, m.f1score
+  FROM sname s JOIN macro m ON m.mask = s.mask
+  JOIN (SELECT mask, avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) AS accuracy
+        FROM spred GROUP BY mask) a ON a.mask = s.mask)"""
+
+ORACLE["subset_metrics"] = SUBSET_METRICS + " SELECT * FROM sm_out"
+ORACLE["subset_top_acc"] = SUBSET_METRICS + \
+    " SELECT subset, round(accuracy, 6) AS score FROM sm_out ORDER BY score DESC, subset DESC LIMIT 5"
+ORACLE["subset_top_f1"] = SUBSET_METRICS + \
+    " SELECT subset, round(f1score, 6) AS score FROM sm_out ORDER BY score DESC, subset DESC LIMIT 5"
+ORACLE["subset_top_weighted"] = SUBSET_METRICS + \
+    " SELECT subset, round(accuracy * 0.6 + f1score * (1 - 0.6), 6) AS score FROM sm_out " \
+    "ORDER BY score DESC, subset DESC LIMIT 5"
+
+ORACLE["subset_per_type"] = f"WITH {EMB}, " + """
+typed AS (SELECT model, split_part(name, '_', 1) AS type FROM names),
+kt AS (SELECT type, count(*) AS k FROM typed GROUP BY type),
+wts AS (SELECT n.range AS n, t.model,
+               CASE WHEN kt.k >= n.range THEN factorial(CAST(kt.k - 1 AS INTEGER))
+                    / (factorial(CAST(n.range - 1 AS INTEGER))
+                       * factorial(CAST(kt.k - n.range AS INTEGER))) ELSE 0 END AS w
+        FROM range(1, 3) n, typed t JOIN kt ON kt.type = t.type),
+wp AS (SELECT w.n, p.id, p.label, p.cls, sum(w.w * p.p) / sum(w.w) AS p
+       FROM wts w JOIN pr p ON p.model = w.model WHERE w.w > 0 GROUP BY w.n, p.id, p.label, p.cls),
+wpred AS (SELECT n, id, label, cls AS pred FROM (
+            SELECT *, row_number() OVER (PARTITION BY n, id ORDER BY round(p, 9) DESC, cls) AS r
+            FROM wp) WHERE r = 1),""" + per_class_sql("wpred", "n")[1:] + """
+SELECT a.n, a.accuracy, m.precision, m.recall, m.f1score
+FROM (SELECT n, avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) AS accuracy
+      FROM wpred GROUP BY n) a JOIN macro m ON m.n = a.n"""
+
+# ---------------------------------------------------------------- histories
+
+HIST = """
+hv AS (
+  SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS epoch,
+         value AS loss, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS acc
+  FROM events)"""
+
+ORACLE["epoch_best"] = f"WITH {HIST} " + """
+SELECT run, min(CASE WHEN loss = ml THEN epoch END) AS best_loss_epoch, ml AS best_loss,
+       min(CASE WHEN acc = ma THEN epoch END) AS best_acc_epoch, ma AS best_acc
+FROM (SELECT *, min(loss) OVER (PARTITION BY run) AS ml, max(acc) OVER (PARTITION BY run) AS ma
+      FROM hv) GROUP BY run, ml, ma"""
+
+
+def _early(op: str) -> str:
+    return f"""
+SELECT k.run, max(k.stop_epoch) AS stop_epoch, count(*) AS epochs_run,
+       max(CASE WHEN k.improved THEN k.epoch END) AS best_epoch,
+       max(CASE WHEN k.improved AND k.epoch = b.be THEN k.loss END) AS best_loss, '{op}' AS mode
+FROM (
+  SELECT h.*, st.stop_epoch FROM (
+    SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (
+             PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+             AS counter
+    FROM (SELECT *, best_before IS NULL OR loss {op} best_before AS improved FROM (
+            SELECT *, min(loss) OVER (PARTITION BY run ORDER BY epoch
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before
+            FROM hv))) h
+  LEFT JOIN (SELECT run, min(epoch) AS stop_epoch FROM (
+      SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (
+               PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+               AS counter
+      FROM (SELECT *, best_before IS NULL OR loss {op} best_before AS improved FROM (
+              SELECT *, min(loss) OVER (PARTITION BY run ORDER BY epoch
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before
+              FROM hv)))
+    WHERE counter >= {P.PATIENCE} GROUP BY run) st ON st.run = h.run
+  WHERE st.stop_epoch IS NULL OR h.epoch <= st.stop_epoch) k
+JOIN (SELECT run, max(epoch) AS be FROM (
+        SELECT h.*, st2.stop_epoch FROM (
+          SELECT *, best_before IS NULL OR loss {op} best_before AS improved FROM (
+            SELECT *, min(loss) OVER (PARTITION BY run ORDER BY epoch
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM hv)) h
+        LEFT JOIN (SELECT run, min(epoch) AS stop_epoch FROM (
+          SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (
+                   PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                   AS counter
+          FROM (SELECT *, best_before IS NULL OR loss {op} best_before AS improved FROM (
+                  SELECT *, min(loss) OVER (PARTITION BY run ORDER BY epoch
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before
+                  FROM hv)))
+          WHERE counter >= {P.PATIENCE} GROUP BY run) st2 ON st2.run = h.run
+        WHERE h.improved AND (st2.stop_epoch IS NULL OR h.epoch <= st2.stop_epoch))
+      GROUP BY run) b ON b.run = k.run
+GROUP BY k.run"""
+
+
+ORACLE["early_stop"] = f"WITH {HIST} " + _early("<=") + " UNION ALL " + _early("<")
+
+ORACLE["preview"] = f"WITH {LABELLED} " + f"""
+SELECT id, digit, label, {TEXT} AS text FROM lab ORDER BY id LIMIT {P.PREVIEW_N}"""
