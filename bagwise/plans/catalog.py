@@ -482,3 +482,58 @@ def q_preview(spark, sf):
     lab, _ = labelled(spark, sf)
     return lab.orderBy("id").limit(P.PREVIEW_N).select("id", "digit", "label",
                                                        concat_text().alias("text"))
+
+
+# ------------------------------------------------------------ text encoding
+
+from bagwise.operators import encode as enc  # noqa: E402
+
+VIEWS = (enc.View("word", "word"), enc.View("char3", "char", 3, token_types=False))
+
+
+def doc_texts(spark, sf):
+    return tables.read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _vocab(spark, sf):
+    return materialize(enc.vocab(doc_texts(spark, sf), VIEWS, P.VOCAB_SIZE))
+
+
+def _ids_str(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@query("vocab_top")
+def q_vocab_top(spark, sf):
+    return _vocab(spark, sf)
+
+
+@query("encode_fixed")
+def q_encode_fixed(spark, sf):
+    docs = doc_texts(spark, sf)
+    e = enc.encode(docs, _vocab(spark, sf), VIEWS[0], P.MAX_LEN, out="e")
+    return e.select(
+        "id", _ids_str(F.col("e.input_ids")).alias("input_ids"),
+        _ids_str(F.col("e.attention_mask")).alias("attention_mask"),
+        _ids_str(F.col("e.token_type_ids")).alias("token_type_ids"))
+
+
+@query("encode_views")
+def q_encode_views(spark, sf):
+    docs = doc_texts(spark, sf)
+    ev = enc.encode_views(docs, _vocab(spark, sf), VIEWS, P.MAX_LEN)
+    return ev.select("id", *[_ids_str(F.col(f"{v.name}.input_ids")).alias(f"{v.name}_ids")
+                             for v in VIEWS],
+                     F.col("char3.token_type_ids").isNull().alias("char3_no_types"))
+
+
+@query("route_views")
+def q_route_views(spark, sf):
+    docs = doc_texts(spark, sf)
+    ev = materialize(enc.encode_views(docs, _vocab(spark, sf), VIEWS, P.MAX_LEN))
+    bags = same_bags(spark, sf).select("bag_id", "id")
+    asg = assignment.assign_learners(
+        spark.range(P.ESTIMATORS).select(F.col("id").cast("int").alias("bag_id")),
+        assignment.learner_ranges(spark, P.EMB_MODEL_TYPES))
+    r = enc.route_views(bags, ev, asg, P.VIEW_OF_TYPE, VIEWS)
+    return r.select("bag_id", "id", "view", _ids_str(F.col("input_ids")).alias("input_ids"))

@@ -628,3 +628,65 @@ ORACLE["early_stop"] = f"WITH {HIST} " + _early("<=") + " UNION ALL " + _early("
 
 ORACLE["preview"] = f"WITH {LABELLED} " + f"""
 SELECT id, digit, label, {TEXT} AS text FROM lab ORDER BY id LIMIT {P.PREVIEW_N}"""
+
+# ---------------------------------------------------------------- encoding
+
+WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\r]+'), lambda t: length(t) > 0)"
+CHAR3 = "list_transform(range(1, length(lower(coalesce(text, ''))) - 1), " \
+        "lambda i: substr(lower(coalesce(text, '')), i, 3))"
+
+VOCAB = f"""
+toks AS (SELECT 'word' AS view, unnest({WORDS}) AS token FROM documents
+         UNION ALL
+         SELECT 'char3' AS view, unnest({CHAR3}) AS token FROM documents),
+cnt AS (SELECT view, token, count(*) AS n FROM toks GROUP BY view, token),
+vocab AS (
+  SELECT view, token, n, token_id FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY view ORDER BY n DESC, token) - 1 + 4 AS INTEGER)
+              AS token_id FROM cnt)
+  WHERE token_id < {P.VOCAB_SIZE} + 4)"""
+
+
+def enc_view(view: str, toks: str, name: str) -> str:
+    L = P.MAX_LEN
+    return f"""
+{name}_t AS (SELECT doc_id AS id, list_slice({toks}, 1, {L - 2}) AS toks FROM documents),
+{name}_x AS (SELECT id, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM {name}_t),
+{name}_i AS (
+  SELECT x.id, list(coalesce(v.token_id, 1) ORDER BY x.pos) AS ids
+  FROM {name}_x x LEFT JOIN vocab v ON v.view = '{view}' AND v.token = x.token GROUP BY x.id),
+{name} AS (
+  SELECT t.id, [2] || coalesce(i.ids, CAST([] AS INTEGER[])) || [3] AS seq
+  FROM {name}_t t LEFT JOIN {name}_i i ON i.id = t.id),
+{name}_e AS (
+  SELECT id, array_to_string(list_resize(seq, {L}, 0), ',') AS input_ids,
+         array_to_string(list_transform(range(1, {L + 1}),
+                         lambda k: CASE WHEN k <= len(seq) THEN 1 ELSE 0 END), ',') AS attention_mask
+  FROM {name})"""
+
+
+ORACLE["vocab_top"] = f"WITH {VOCAB} SELECT view, token, n, token_id FROM vocab"
+
+ORACLE["encode_fixed"] = f"WITH {VOCAB}, {enc_view('word', WORDS, 'w')} " + f"""
+SELECT id, input_ids, attention_mask,
+       array_to_string(list_resize(CAST([] AS INTEGER[]), {P.MAX_LEN}, 0), ',') AS token_type_ids
+FROM w_e"""
+
+ORACLE["encode_views"] = f"WITH {VOCAB}, {enc_view('word', WORDS, 'w')}, " \
+    f"{enc_view('char3', CHAR3, 'c')} " + """
+SELECT w.id, w.input_ids AS word_ids, c.input_ids AS char3_ids, true AS char3_no_types
+FROM w_e w JOIN c_e c ON c.id = w.id"""
+
+ORACLE["route_views"] = "WITH " + bags_cte("same") + f", {VOCAB}, " \
+    f"{enc_view('word', WORDS, 'w')}, {enc_view('char3', CHAR3, 'c')}, " + f"""
+types AS (SELECT * FROM (VALUES ('bert', 0, 2), ('gpt', 1, 2)) t(type, type_order, n)),
+rng AS (SELECT type, sum(n) OVER (ORDER BY type_order) - n AS lo,
+               sum(n) OVER (ORDER BY type_order) AS hi FROM types),
+route AS (
+  SELECT CAST(b.range AS INTEGER) AS bag_id,
+         CASE r.type WHEN 'bert' THEN 'word' ELSE 'char3' END AS view
+  FROM range({P.ESTIMATORS}) b JOIN rng r ON b.range >= r.lo AND b.range < r.hi)
+SELECT b.bag_id, b.id, r.view,
+       CASE WHEN r.view = 'word' THEN w.input_ids ELSE c.input_ids END AS input_ids
+FROM bags b JOIN route r ON r.bag_id = b.bag_id
+JOIN w_e w ON w.id = b.id JOIN c_e c ON c.id = b.id"""

@@ -19,3 +19,4 @@ MAX_LEN = 16             # encoded length
 VOCAB_SIZE = 500
 TOP_K = 5                # subset rankings
 PREVIEW_N = 5
+VIEW_OF_TYPE = {"bert": "word", "gpt": "char3"}
