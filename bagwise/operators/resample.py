@@ -191,8 +191,8 @@ def random_bag_sizes(train: DataFrame, estimators: int, total: int, min_cat_data
         raise ValueError("total exceeds the rows available; the draw cannot reach it")
     state = {b: (0, cut_std) for b in range(estimators)}   # bag -> (attempt, cut)
     done: dict[int, tuple[int, int, str]] = {}
-    grid = hist.withColumn("bag_id", F.explode(
-        F.sequence(F.lit(0), F.lit(estimators - 1))).cast("int")).cache()
+    grid = (hist.withColumn("bag_id", F.explode(F.sequence(F.lit(0), F.lit(estimators - 1))))
+            .withColumn("bag_id", F.col("bag_id").cast("int")).cache())
     for _ in range(max_attempts):
         todo = [b for b in state if b not in done]
         if not todo:

@@ -45,8 +45,14 @@ def train_rows(spark, sf):
     return sp.where(F.col("split") == "train").drop("split")
 
 
+def bag_total(train):
+    """Rows requested per bag: half the training rows (valid at every scale)."""
+    return train.count() // P.BAG_DIVISOR
+
+
 def same_bags(spark, sf, formula="same"):
-    return materialize(resample.bag_same(train_rows(spark, sf), P.ESTIMATORS, P.NUM_SAMPLES,
+    train = train_rows(spark, sf)
+    return materialize(resample.bag_same(train, P.ESTIMATORS, bag_total(train),
                                          P.MIN_CAT, P.BAG_SEED, formula))
 
 
@@ -136,7 +142,8 @@ def q_bag_same_nb(spark, sf):
 
 @query("bag_random")
 def q_bag_random(spark, sf):
-    b = resample.bag_random(train_rows(spark, sf), P.ESTIMATORS, P.RANDOM_BAG_TOTAL,
+    train = train_rows(spark, sf)
+    b = resample.bag_random(train, P.ESTIMATORS, bag_total(train),
                             P.MIN_CAT, P.BAG_SEED, cut_std=P.CUT_STD)
     return b.select("bag_id", "id", "label")
 
@@ -203,7 +210,7 @@ def q_preprocess_pipeline(spark, sf):
 @query("bagging_pipeline")
 def q_bagging_pipeline(spark, sf):
     from bagwise.plans.pipelines import bagging
-    b = bagging(read_records(spark, sf), P.NUM_TEST, P.ESTIMATORS, P.NUM_SAMPLES,
+    b = bagging(read_records(spark, sf), P.NUM_TEST, P.ESTIMATORS, None,
                 P.NUM_SUB_VALID, dist="same", upsample="random", minimum=P.UP_MIN,
                 min_cat_data=P.MIN_CAT, seed=P.BAG_SEED, split_seed=P.SPLIT_SEED)
     return b.bags
@@ -239,14 +246,14 @@ def emb_scored(spark, sf, which=("test",)):
     return materialize(sc)
 
 
-def emb_base(spark, sf):
+def emb_base(spark, sf, sc=None):
     """Base predictions with pred and CE loss (M7, M8)."""
-    sc = emb_scored(spark, sf)
+    sc = sc if sc is not None else emb_scored(spark, sf)
     return sc.withColumn("pred", argmax("prob")).withColumn("loss", ce_row("prob", "label"))
 
 
-def emb_ensemble(spark, sf):
-    ens = ensemble.mean_and_vote(emb_scored(spark, sf))
+def emb_ensemble(spark, sf, sc=None):
+    ens = ensemble.mean_and_vote(sc if sc is not None else emb_scored(spark, sf))
     return ens.withColumn("loss_mean", ce_row("prob_mean", "label"))
 
 
@@ -427,7 +434,8 @@ def q_class_epoch_pivot(spark, sf):
 
 @query("test_summary")
 def q_test_summary(spark, sf):
-    return reports.test_summary(emb_ensemble(spark, sf), emb_base(spark, sf),
+    sc = emb_scored(spark, sf)
+    return reports.test_summary(emb_ensemble(spark, sf, sc), emb_base(spark, sf, sc),
                                 emb_classes(spark, sf))
 
 
@@ -495,8 +503,8 @@ def doc_texts(spark, sf):
     return tables.read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-def _vocab(spark, sf):
-    return materialize(enc.vocab(doc_texts(spark, sf), VIEWS, P.VOCAB_SIZE))
+def _vocab(spark, sf, views=VIEWS):
+    return materialize(enc.vocab(doc_texts(spark, sf), views, P.VOCAB_SIZE))
 
 
 def _ids_str(c):
@@ -511,7 +519,7 @@ def q_vocab_top(spark, sf):
 @query("encode_fixed")
 def q_encode_fixed(spark, sf):
     docs = doc_texts(spark, sf)
-    e = enc.encode(docs, _vocab(spark, sf), VIEWS[0], P.MAX_LEN, out="e")
+    e = enc.encode(docs, _vocab(spark, sf, VIEWS[:1]), VIEWS[0], P.MAX_LEN, out="e")
     return e.select(
         "id", _ids_str(F.col("e.input_ids")).alias("input_ids"),
         _ids_str(F.col("e.attention_mask")).alias("attention_mask"),

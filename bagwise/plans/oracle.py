@@ -97,7 +97,7 @@ lab AS (
 
 
 def bags_cte(formula: str = "same", seed: int = P.BAG_SEED, m: int = P.MIN_CAT,
-             k_bags: int = P.ESTIMATORS, total: int = P.NUM_SAMPLES, base: str | None = None
+             k_bags: int = P.ESTIMATORS, base: str | None = None
              ) -> str:
     if formula == "same":
         size = f"floor(e * n + ({m} - {m} * e))"
@@ -105,7 +105,7 @@ def bags_cte(formula: str = "same", seed: int = P.BAG_SEED, m: int = P.MIN_CAT,
         size = f"floor((100 * e - {m}) / (100 - {m}) * n + 100 * {m} * (1 - e) / (100 - {m}))"
     return (base or SPLIT) + f""",
 bhist AS (SELECT label, count(*) AS n FROM train GROUP BY label),
-be AS (SELECT CAST({total} AS DOUBLE) / sum(n) AS e FROM bhist),
+be AS (SELECT CAST(sum(n) // {P.BAG_DIVISOR} AS DOUBLE) / sum(n) AS e FROM bhist),
 bk AS (SELECT label, CAST(CASE WHEN n <= {m} THEN n ELSE {size} END AS BIGINT) AS k
        FROM bhist, be),
 pairs AS (SELECT CAST(b.range AS INTEGER) AS bag_id, t.* FROM train t, range({k_bags}) b),

@@ -4,12 +4,11 @@ SPLIT_SEED = 5986        # hold-out split seed
 NUM_TEST = 200           # rows requested for the hold-out set
 BAG_SEED = 42
 ESTIMATORS = 3
-NUM_SAMPLES = 400        # rows requested per bag
+BAG_DIVISOR = 2          # rows requested per bag = training rows // BAG_DIVISOR
 MIN_CAT = 2              # min_cat_data
 NUM_SUB_VALID = 40       # valid rows requested per bag
 UP_MIN = 8               # upsampling minimum
 UP_SEED = 42
-RANDOM_BAG_TOTAL = 300   # rows per bag for the 'random' distribution
 CUT_STD = 20             # class-size cut of the 'random' distribution
 EMB_MODEL_TYPES = (("bert", 2), ("gpt", 2))   # learner types and counts
 BATCH_SIZE = 32

@@ -45,18 +45,21 @@ class Bagged:
     dim: DataFrame
 
 
-def bagging(records: DataFrame, num_test: int, estimators: int, num_samples: int,
+def bagging(records: DataFrame, num_test: int, estimators: int, num_samples: int | None,
             num_sub_valid: int, dist: str = "same", upsample: str = "",
             minimum: int = 500, min_cat_data: int = 2, seed: int = 42,
             split_seed: int = 5986, add_oob: bool = True) -> Bagged:
     """code -> dedup(code+texts) -> fill -> label -> split -> bags + OOB ->
     per-bag split (num_sub_valid / bag rows) -> per-bag upsample -> text
-    (R15).  Per-bag steps use (bag_id, label) as the stratum."""
+    (R15).  Per-bag steps use (bag_id, label) as the stratum.
+    ``num_samples=None`` requests half of the training rows."""
     lab, dim = normalise.normalise_records(records, order="bagging")
     sp = materialize(resample.stratified_split(lab, num_test=num_test, seed=split_seed))
     cols = ["id", "label", *TEXT_COLS]
     train = sp.where(F.col("split") == "train").select(*cols)
     test = sp.where(F.col("split") == "test").select(*cols)
+    if num_samples is None:
+        num_samples = train.count() // 2
     if dist == "same":
         bags = resample.bag_same(train, estimators, num_samples, min_cat_data, seed)
     elif dist == "random":
