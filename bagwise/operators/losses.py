@@ -69,12 +69,21 @@ def ice_rows(df: DataFrame, prob="prob", label="label", batch_size: int = 512,
     """Inverse-frequency CE (L3, A13): in a batch, w_c = (1/(n_c+eps)) /
     sum_c'(1/(n_c'+eps)) * C; classes absent from the batch add 1/eps each to
     the sum.  Loss of a row = -w_y log(p_y + eps)."""
+    if num_classes is None:
+        num_classes = df.select(F.size(prob)).first()[0]
+    out = ice_weights(df, label, batch_size, num_classes, by)
+    return out.withColumn("loss", -(F.col("weight") * F.log(prob_at(prob, label) + F.lit(EPS)))) \
+        .drop("weight")
+
+
+def ice_weights(df: DataFrame, label="label", batch_size: int = 512,
+                num_classes: int = 2, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``weight`` = the ICE class weight of the row's class in its batch
+    (batches of ``batch_size`` rows in id order)."""
     by = list(by)
     ranked = rank_by_number(df, by, "id", rank_col="_rk")
     b = ranked.withColumn("batch_id", F.floor((F.col("_rk") - 1) / batch_size).cast("long")) \
         .drop("_rk")
-    if num_classes is None:
-        num_classes = df.select(F.size(prob)).first()[0]
     cnt = b.groupBy(*by, "batch_id", F.col(label).alias("_y")).agg(
         F.count(F.lit(1)).alias("_n"))
     inv = F.lit(1.0) / (F.col("_n").cast("double") + F.lit(EPS))
@@ -86,6 +95,4 @@ def ice_rows(df: DataFrame, prob="prob", label="label", batch_size: int = 512,
         *by, "batch_id", F.col("_y").alias(label),
         (inv / denom * F.lit(float(num_classes))).alias("_w"))
     # (batch, class)-sized weight table joined on the row's own class
-    out = b.join(w, by + ["batch_id", label], "inner")
-    return out.withColumn("loss", -(F.col("_w") * F.log(prob_at(prob, label) + F.lit(EPS)))) \
-        .drop("_w")
+    return b.join(w, by + ["batch_id", label], "inner").withColumnRenamed("_w", "weight")

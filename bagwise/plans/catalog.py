@@ -545,3 +545,33 @@ def q_route_views(spark, sf):
         assignment.learner_ranges(spark, P.EMB_MODEL_TYPES))
     r = enc.route_views(bags, ev, asg, P.VIEW_OF_TYPE, VIEWS)
     return r.select("bag_id", "id", "view", _ids_str(F.col("input_ids")).alias("input_ids"))
+
+
+# ------------------------------------------------------------ trained learners (rows-only)
+
+@query("train_head")
+def q_train_head(spark, sf):
+    """Softmax head trained by epochs with FCE, early stopping (M5, M9, O1)."""
+    from bagwise.operators import training
+    rows = emb_rows(spark, sf)
+    dim = len(rows.select("vec").first()[0])
+    h = training.train_head(rows.where(F.col("split") == "train"),
+                            rows.where(F.col("split") == "test"), emb_classes(spark, sf),
+                            P.EMB_CLASSES, dim, loss="FCE", epochs=P.HEAD_EPOCHS, lr=0.5,
+                            patience=P.PATIENCE)
+    return h.history.withColumn("best_epoch", F.lit(h.best_epoch))
+
+
+@query("ml_bag_learners")
+def q_ml_bag_learners(spark, sf):
+    """One Spark ML learner per bag of the embedding training rows (M1, M2, M4)."""
+    rows = emb_rows(spark, sf)
+    train = rows.where(F.col("split") == "train")
+    bags = materialize(resample.bag_same(train, P.ESTIMATORS, bag_total(train), P.MIN_CAT,
+                                         P.BAG_SEED))
+    dim = len(rows.select("vec").first()[0])
+    kinds = ["logreg", "mlp", "logreg"]
+    models = learners.fit_per_bag(bags, list(enumerate(kinds[:P.ESTIMATORS])), dim,
+                                  P.EMB_CLASSES, hidden=(16,), max_iter=30)
+    scored = learners.score_ml(models, rows.where(F.col("split") == "test"))
+    return scored.withColumn("pred", argmax("prob")).select("model", "id", "label", "pred")

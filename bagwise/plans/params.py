@@ -19,3 +19,4 @@ VOCAB_SIZE = 500
 TOP_K = 5                # subset rankings
 PREVIEW_N = 5
 VIEW_OF_TYPE = {"bert": "word", "gpt": "char3"}
+HEAD_EPOCHS = 15
