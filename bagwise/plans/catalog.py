@@ -32,7 +32,7 @@ def query(name: str):
 
 def labelled(spark, sf):
     lab, dim = normalise.normalise_records(read_records(spark, sf))
-    return lab, dim
+    return materialize(lab), dim
 
 
 def split_rows(spark, sf):

@@ -30,6 +30,7 @@ def preprocess(records: DataFrame, num_test: int = 100_000, upsample: str = "",
     """clean -> fill -> dedup6 -> code -> label -> split -> upsample train ->
     text (R14)."""
     lab, dim = normalise.normalise_records(records, clean_fn, order="preprocess")
+    lab = materialize(lab)          # read by the class histogram and by the rank
     sp = materialize(resample.stratified_split(lab, num_test=num_test, seed=seed))
     train = sp.where(F.col("split") == "train")
     test = sp.where(F.col("split") == "test")
@@ -54,6 +55,7 @@ def bagging(records: DataFrame, num_test: int, estimators: int, num_samples: int
     (R15).  Per-bag steps use (bag_id, label) as the stratum.
     ``num_samples=None`` requests half of the training rows."""
     lab, dim = normalise.normalise_records(records, order="bagging")
+    lab = materialize(lab)          # read by the class histogram and by the rank
     sp = materialize(resample.stratified_split(lab, num_test=num_test, seed=split_seed))
     cols = ["id", "label", *TEXT_COLS]
     train = sp.where(F.col("split") == "train").select(*cols)

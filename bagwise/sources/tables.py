@@ -72,15 +72,13 @@ def embedding_class_dim(rows: DataFrame) -> DataFrame:
 
 def history_view(events: DataFrame) -> DataFrame:
     """Epoch-history stand-in: run = user_id, epoch = 0-based order of the
-    run's events by (ts, event_id), loss = value, acc = props.k / 100.  Ranked with the bucketed
-    exact rank so that a hot run does not become one task."""
-    from bagwise.operators.strata import stratified_rank
-    ts_us = F.unix_micros(F.col("ts").cast("timestamp"))
-    # buckets of one day keep the order and bound the per-task sort
-    ranked = stratified_rank(
-        events.select(F.col("user_id").alias("run"), "ts", "event_id",
-                      F.col("value").alias("loss"),
-                      (F.get_json_object("props", "$.k").cast("double") / 100).alias("acc")),
-        ["run"], [F.col("ts"), F.col("event_id")],
-        F.floor(ts_us / F.lit(86_400_000_000)).cast("long"), "rank")
+    run's events by (ts, event_id), loss = value, acc = props.k / 100.
+    Ranked with the bucketed exact rank (buckets are ranges of the
+    timestamp sized from the data), so a hot run is never one task."""
+    from bagwise.operators.strata import rank_by_number
+    ev = events.select(F.col("user_id").alias("run"),
+                       F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id",
+                       F.col("value").alias("loss"),
+                       (F.get_json_object("props", "$.k").cast("double") / 100).alias("acc"))
+    ranked = rank_by_number(ev, ["run"], "ts_us", tie_cols=["event_id"], rank_col="rank")
     return ranked.select("run", (F.col("rank") - 1).alias("epoch"), "loss", "acc")
