@@ -302,7 +302,7 @@ def upsample(df: DataFrame, method: str, minimum: int = 500, seed: int = 42,
     strata = list(strata)
     base = df.select(*strata, "id", *text_cols).withColumn("draw", F.lit(0))
     if method == "":
-        return base
+        return base.withColumn("draw", F.col("draw").cast("long"))
     if method not in UPSAMPLE_METHODS:
         raise ValueError(f"unknown upsample method {method!r}")
     hist = (df.groupBy(*strata).agg(
@@ -321,7 +321,8 @@ def upsample(df: DataFrame, method: str, minimum: int = 500, seed: int = 42,
         gen = _upsample_random(rows, minimum, seed, strata, text_cols)
     else:
         gen = _upsample_shuffle(rows, hist, minimum, seed, strata, text_cols)
-    return base.unionByName(gen.select(*strata, "id", *text_cols, "draw"))
+    return base.unionByName(gen.select(*strata, "id", *text_cols, "draw")) \
+        .withColumn("draw", F.col("draw").cast("long"))
 
 
 def _class_rank(rows: DataFrame, strata, order: Column, name: str) -> DataFrame:

@@ -30,7 +30,7 @@ def subset_table(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     arr = F.array(*[F.lit(n) for n in names])
     t = spark.range(1, 2 ** k).withColumnRenamed("id", "mask")
     chosen = F.expr(f"filter(sequence(0, {k - 1}), i -> ((mask >> i) & 1) = 1)")
-    return t.select("mask", F.size(chosen).alias("size"),
+    return t.select("mask", F.size(chosen).cast("long").alias("size"),
                     F.array_join(F.transform(chosen, lambda i: F.element_at(arr, i + 1)),
                                  "|").alias("subset"))
 

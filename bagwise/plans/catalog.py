@@ -480,7 +480,7 @@ def q_subset_per_type(spark, sf):
     for n in (1, 2):
         w = subsets.per_type_pool(sc, names, n)
         ens = subsets.weighted_mean_ensemble(sc, w)
-        m = metrics.macro(ens, emb_classes(spark, sf)).withColumn("n", F.lit(n))
+        m = metrics.macro(ens, emb_classes(spark, sf)).withColumn("n", F.lit(n).cast("long"))
         out = m if out is None else out.unionByName(m)
     return out.select("n", "accuracy", "precision", "recall", "f1score")
 

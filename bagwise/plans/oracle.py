@@ -401,7 +401,7 @@ ORACLE["centroid_scores"] = f"WITH {EMB} SELECT model, id, cls AS class, p AS pr
 ORACLE["score_all_models"] = f"WITH {EMB} SELECT model, id, label, pred FROM bp"
 ORACLE["one_hot"] = f"WITH {EMB} " + """
 SELECT e.id, CAST(g.range AS INTEGER) AS class,
-       CASE WHEN g.range = e.label THEN 1.0 ELSE 0.0 END AS t
+       CASE WHEN g.range = e.label THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS t
 FROM emb e, range(10) g WHERE e.split = 'test'"""
 ORACLE["ensemble_mean"] = f"WITH {EMB} SELECT id, label, pred FROM mean_pred"
 ORACLE["ensemble_vote"] = f"WITH {EMB} SELECT id, label, pred FROM vote_pred"
@@ -489,7 +489,8 @@ SELECT pc.label, 'centroid' AS run,
        max(CASE WHEN epoch = 1 THEN f1score END) AS epoch_1,
        max(CASE WHEN epoch = 2 THEN f1score END) AS epoch_2,
        max(CASE WHEN epoch = 3 THEN f1score END) AS epoch_3,
-       coalesce(any_value(cnt.n_train), 0) AS n_train, coalesce(any_value(cnt.n_valid), 0) AS n_valid,
+       CAST(coalesce(any_value(cnt.n_train), 0) AS BIGINT) AS n_train,
+       CAST(coalesce(any_value(cnt.n_valid), 0) AS BIGINT) AS n_valid,
        any_value(c.digit) AS digit
 FROM pc LEFT JOIN cnt ON cnt.label = pc.label JOIN cls c ON c.label = pc.label
 GROUP BY pc.label"""
