@@ -691,3 +691,52 @@ SELECT b.bag_id, b.id, r.view,
        CASE WHEN r.view = 'word' THEN w.input_ids ELSE c.input_ids END AS input_ids
 FROM bags b JOIN route r ON r.bag_id = b.bag_id
 JOIN w_e w ON w.id = b.id JOIN c_e c ON c.id = b.id"""
+
+# ---------------------------------------------------------------- random bags
+
+
+def _size(bag: str, attempt: str) -> str:
+    key = f"'{P.BAG_SEED}:size:' || {bag} || ':' || {attempt} || ':' || label"
+    return f"(least({P.MIN_CAT}, n) + floor({u(key)} * (n - least({P.MIN_CAT}, n) + 1)))"
+
+
+ORACLE["bag_random"] = "WITH RECURSIVE " + SPLIT + f""",
+bhist AS (SELECT label, count(*) AS n FROM train GROUP BY label),
+tt AS (SELECT sum(n) // {P.BAG_DIVISOR} AS total FROM bhist),
+st(bag_id, attempt, cut, mode) AS (
+  SELECT CAST(range AS INTEGER), 0, {P.CUT_STD}, CAST(NULL AS VARCHAR) FROM range({P.ESTIMATORS})
+  UNION ALL
+  SELECT st.bag_id,
+         CASE WHEN a.s < a.total OR (a.s > a.total AND a.small > a.total)
+              THEN st.attempt + 1 ELSE st.attempt END,
+         CASE WHEN a.s > a.total AND a.small > a.total THEN st.cut - 100 ELSE st.cut END,
+         CASE WHEN a.s = a.total THEN 'exact'
+              WHEN a.s > a.total AND a.small <= a.total THEN 'cut' END
+  FROM st, LATERAL (
+    SELECT sum(s) AS s, sum(CASE WHEN s < st.cut THEN s ELSE 0 END) AS small,
+           any_value(total) AS total
+    FROM (SELECT {_size('st.bag_id', 'st.attempt')} AS s, total FROM bhist, tt)) a
+  WHERE st.mode IS NULL),
+fin AS (SELECT * FROM st WHERE mode IS NOT NULL),
+sz AS (SELECT f.bag_id, f.mode, f.cut, h.label, h.n,
+              CAST({_size('f.bag_id', 'f.attempt')} AS BIGINT) AS s
+       FROM fin f, bhist h),
+sv AS (SELECT bag_id, (SELECT total FROM tt) - sum(CASE WHEN s < cut THEN s ELSE 0 END) AS save
+       FROM sz GROUP BY bag_id),
+pool AS (SELECT bag_id, label, unnest(generate_series(1, s)) AS tok
+         FROM sz WHERE mode = 'cut' AND s >= cut),
+ppr AS (SELECT bag_id, label, row_number() OVER (PARTITION BY bag_id
+              ORDER BY md5('{P.BAG_SEED}:pool:' || bag_id || ':' || label || ':' || tok), label) AS r
+       FROM pool),
+got AS (SELECT ppr.bag_id, ppr.label, count(*) AS got FROM ppr JOIN sv ON sv.bag_id = ppr.bag_id
+        WHERE ppr.r <= sv.save GROUP BY ppr.bag_id, ppr.label),
+rk_k AS (SELECT z.bag_id, z.label,
+              CASE WHEN z.mode = 'cut' AND z.s >= z.cut THEN coalesce(g.got, 0) ELSE z.s END AS k
+       FROM sz z LEFT JOIN got g ON g.bag_id = z.bag_id AND g.label = z.label),
+rpairs AS (SELECT CAST(b.range AS INTEGER) AS bag_id, t.id, t.label FROM train t, range({P.ESTIMATORS}) b),
+rbags AS (
+  SELECT p.bag_id, p.id, p.label FROM (
+    SELECT *, row_number() OVER (PARTITION BY bag_id, label
+              ORDER BY md5('{P.BAG_SEED}:bag:' || bag_id || ':' || id), id) AS rk FROM rpairs) p
+  JOIN rk_k ON rk_k.bag_id = p.bag_id AND rk_k.label = p.label WHERE p.rk <= rk_k.k)
+SELECT bag_id, id, label FROM rbags"""
