@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from bagwise.functions.codes import TEXT_COLS, any_text
 from bagwise.functions.hashing import draw_index, order_key, uniform, uniform_from_key
-from bagwise.operators.strata import checked_broadcast, rank_by_key
+from bagwise.operators.strata import checked_broadcast, first_k, rank_by_key
 
 # ---------------------------------------------------------------- sizes
 
@@ -44,14 +44,8 @@ def _outer(strata: Sequence[str], label: str = "label") -> list[str]:
 def _take_first_k(df: DataFrame, hist_k: DataFrame, strata: Sequence[str],
                   key: Column, flag: str) -> DataFrame:
     """Flag the first k rows (by ``key`` then id) of every stratum."""
-    hk = hist_k.cache()
-    max_n = hk.agg(F.max("n")).first()[0] or 0
-    ranked = rank_by_key(df.withColumn("_key", key), strata, "_key", "id",
-                         rank_col="_rank", max_rows=int(max_n))
-    small = checked_broadcast(hk.select(*strata, "_k"))
-    return (ranked.join(small, on=list(strata), how="inner")
-            .withColumn(flag, F.col("_rank") <= F.col("_k"))
-            .drop("_key", "_rank", "_k"))
+    return first_k(df.withColumn("_key", key), hist_k, strata, "_key", "id", flag) \
+        .drop("_key")
 
 
 # ---------------------------------------------------------------- split
@@ -158,12 +152,11 @@ def _bags_from_sizes(train: DataFrame, k_table: DataFrame, estimators: int, seed
                 pairs = pairs.where(~F.col("label").isin(redo)).unionByName(full)
     hk = hk.withColumn("bag_id", F.col("bag_id").cast("int"))
     pairs = pairs.withColumn("bag_id", F.col("bag_id").cast("int"))
-    max_n = hk.agg(F.max("n")).first()[0] or 0
-    ranked = rank_by_key(pairs, strata, "_key", "id", rank_col="_rank", max_rows=int(max_n))
-    small = checked_broadcast(hk.select(*strata, "_k"))
-    return (ranked.join(small, on=strata, how="inner")
-            .where(F.col("_rank") <= F.col("_k"))
-            .drop("_key", "_rank", "_k"))
+    # stratum size for the bucket width: rows of the class (an upper bound
+    # of the pairs kept after pruning)
+    return (first_k(pairs.drop("_q", "n") if "n" in pairs.columns else pairs,
+                    hk.select(*strata, "n", "_k"), strata, "_key", "id", "_in")
+            .where(F.col("_in")).drop("_key", "_in"))
 
 
 def bag_random(train: DataFrame, estimators: int, num_samples: int, min_cat_data: int = 2,

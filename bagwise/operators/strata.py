@@ -87,6 +87,45 @@ def rank_by_number(df: DataFrame, strata: Sequence[str], num_col: str,
     return stratified_rank(df, strata, order, bucket, rank_col)
 
 
+def prefix_len_col(n: Column, target: int = TARGET_BUCKET_ROWS) -> Column:
+    """Per-stratum hex-prefix length: <= target rows per bucket on average."""
+    p = F.ceil(F.log(16.0, n.cast("double") / F.lit(float(target))))
+    return F.when(n <= target, F.lit(1)).otherwise(F.least(F.lit(8), F.greatest(F.lit(1), p))) \
+        .cast("int")
+
+
+def first_k(df: DataFrame, k_table: DataFrame, strata: Sequence[str], key_col: str,
+            tie_col: str = "id", flag: str = "_in",
+            target: int = TARGET_BUCKET_ROWS) -> DataFrame:
+    """Flag the first ``_k`` rows of every stratum in the order (key, tie).
+
+    ``k_table`` has (strata..., n, _k).  Rows are bucketed by a key prefix
+    whose length depends on the stratum size; per-bucket counts give running
+    offsets.  A bucket wholly before the k-th row is in, one wholly after is
+    out; only the (at most one per stratum) bucket holding the boundary is
+    ranked.  The rows themselves are not shuffled when the offset table is
+    small enough to broadcast (checked); only boundary buckets are sorted."""
+    strata = list(strata)
+    kt = checked_broadcast(k_table.select(*strata, "_k", prefix_len_col(F.col("n"), target)
+                                          .alias("_p")))
+    b = df.join(kt, strata).withColumn("_bkt", F.col(key_col).substr(F.lit(1), F.col("_p")))
+    counts = b.groupBy(*strata, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"),
+                                             F.first("_k").alias("_k"))
+    w_off = Window.partitionBy(*strata).orderBy("_bkt").rowsBetween(
+        Window.unboundedPreceding, -1)
+    off = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w_off), F.lit(0)))
+    state = (F.when(F.col("_off") + F.col("_cnt") <= F.col("_k"), F.lit(1))
+             .when(F.col("_off") >= F.col("_k"), F.lit(0)).otherwise(F.lit(2)))
+    offs = checked_broadcast(off.select(*strata, "_bkt", "_off", state.alias("_st")))
+    j = b.drop("_k", "_p").join(offs, strata + ["_bkt"])
+    decided = j.where(F.col("_st") < 2).withColumn(flag, F.col("_st") == 1)
+    edge = j.where(F.col("_st") == 2).join(kt.select(*strata, "_k"), strata)
+    w_in = Window.partitionBy(*strata, "_bkt").orderBy(F.col(key_col), F.col(tie_col))
+    edge = edge.withColumn(flag, F.col("_off") + F.row_number().over(w_in) <= F.col("_k")) \
+        .drop("_k")
+    return decided.unionByName(edge).drop("_bkt", "_off", "_st")
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` only after checking its size; otherwise leave the join
     to Spark (sort-merge / AQE).  Meant for class-, model- or vocab-sized

@@ -50,8 +50,8 @@ def bag_total(train):
     return train.count() // P.BAG_DIVISOR
 
 
-def same_bags(spark, sf, formula="same"):
-    train = train_rows(spark, sf)
+def same_bags(spark, sf, formula="same", train=None):
+    train = train if train is not None else train_rows(spark, sf)
     return materialize(resample.bag_same(train, P.ESTIMATORS, bag_total(train),
                                          P.MIN_CAT, P.BAG_SEED, formula))
 
@@ -155,15 +155,16 @@ def q_bag_stats(spark, sf):
 
 @query("oob_rows")
 def q_oob_rows(spark, sf):
-    train = train_rows(spark, sf).select("id", "label", *TEXT_COLS)
-    bags = same_bags(spark, sf).select("bag_id", "id", "label", *TEXT_COLS)
-    return resample.oob_by_rows(train, bags)
+    full = train_rows(spark, sf)
+    bags = same_bags(spark, sf, train=full).select("bag_id", "id", "label", *TEXT_COLS)
+    return resample.oob_by_rows(full.select("id", "label", *TEXT_COLS), bags)
 
 
 @query("oob_ids")
 def q_oob_ids(spark, sf):
-    train = train_rows(spark, sf).select("id", "label", *TEXT_COLS)
-    return resample.oob_by_id(train, same_bags(spark, sf))
+    full = train_rows(spark, sf)
+    return resample.oob_by_id(full.select("id", "label", *TEXT_COLS),
+                              same_bags(spark, sf, train=full))
 
 
 @query("test_plus_oob")
@@ -171,8 +172,8 @@ def q_test_plus_oob(spark, sf):
     sp, _ = split_rows(spark, sf)
     cols = ["id", "label", *TEXT_COLS]
     test = sp.where(F.col("split") == "test").select(*cols)
-    train = sp.where(F.col("split") == "train").select(*cols)
-    oob = resample.oob_by_id(train, same_bags(spark, sf))
+    full = sp.where(F.col("split") == "train").drop("split")
+    oob = resample.oob_by_id(full.select(*cols), same_bags(spark, sf, train=full))
     return resample.test_plus_oob(test, oob)
 
 

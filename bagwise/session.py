@@ -14,6 +14,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.hadoop.mapreduce.fileoutputcommitter.algorithm.version": "2",
 }
 
 
@@ -50,9 +51,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut the lineage at a stage boundary: a reliable checkpoint into the
-    cluster's checkpoint folder (survives executor loss; never a local one).
-    Chained stages that read their input twice (counts + rank) would
-    otherwise grow the plan exponentially."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage at a stage boundary: write the rows once as a parquet
+    table under the cluster's checkpoint folder and read it back.
+
+    Survives executor loss (shared folder, never a local checkpoint), is
+    computed once (an eager RDD checkpoint computes its plan twice), and
+    later reads get column pruning and filter pushdown.  Chained stages that
+    read their input twice (counts + rank) would otherwise grow the plan
+    exponentially."""
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -188,3 +188,18 @@ def test_charset_detection(spark, tmp_path):
     b = read_delimited(spark, str(p2)).orderBy("id").collect()
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
     assert a[0].text_obj == "가나다" and a[1].digit_2 == 7
+
+
+def test_first_k_equals_window(spark):
+    from pyspark.sql import Window
+    from bagwise.operators.strata import first_k
+    rows = [(i, 0 if i % 3 else i % 7) for i in range(3000)]   # label 0 is hot
+    df = spark.createDataFrame(rows, "id long, label int").withColumn(
+        "key", order_key(11, "t", "id"))
+    hist = df.groupBy("label").agg(F.count("*").alias("n")) \
+        .withColumn("_k", (F.col("n") * 0.37).cast("long"))
+    got = first_k(df, hist, ["label"], "key", "id", "_in", target=5)
+    ref = df.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("key", "id"))) \
+        .join(hist, "label").withColumn("_ref", F.col("r") <= F.col("_k"))
+    bad = got.join(ref.select("id", "_ref"), "id").where(F.col("_in") != F.col("_ref"))
+    assert got.count() == 3000 and bad.count() == 0
