@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 # rows per bucket we aim for; a bucket is sorted inside one task
 TARGET_BUCKET_ROWS = 200_000
-# above this many rows a derived table is not broadcast
+# above this many rows or bytes a derived table is not broadcast
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 
 
 def prefix_len_for(max_rows: int, target: int = TARGET_BUCKET_ROWS) -> int:
@@ -126,10 +127,19 @@ def first_k(df: DataFrame, k_table: DataFrame, strata: Sequence[str], key_col: s
     return decided.unionByName(edge).drop("_bkt", "_off", "_st")
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its size; otherwise leave the join
-    to Spark (sort-merge / AQE).  Meant for class-, model- or vocab-sized
-    tables; the table is cached because it is counted and then reused."""
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                      max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after checking its size (rows, and bytes of the
+    cached table, since model tables have wide rows); otherwise leave the
+    join to Spark (sort-merge / AQE).  Meant for class-, model- or
+    vocab-sized tables; the table is cached because it is counted and then
+    reused."""
     df = df.cache()
     n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    if n > max_rows:
+        return df
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:   # statistics unavailable: rely on the row bound
+        size = 0
+    return F.broadcast(df) if size <= max_bytes else df

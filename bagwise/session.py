@@ -65,3 +65,16 @@ def materialize(df):
     path = f"{base}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables written by ``materialize`` in this session's
+    checkpoint folder (call when the DataFrames read from them are done)."""
+    base = spark.sparkContext.getCheckpointDir()
+    if not base:
+        return
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base.rstrip("/") + "/tables")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        fs.delete(path, True)
