@@ -258,15 +258,19 @@ def emb_ensemble(spark, sf, sc=None):
     return ens.withColumn("loss_mean", ce_row("prob_mean", "label"))
 
 
-def emb_names(spark, sf):
+def emb_names(spark, sf, sc=None):
+    """Learner type, loss and name of every base model found in the scored
+    predictions (one model per bag)."""
+    sc = sc if sc is not None else emb_scored(spark, sf)
     ranges = assignment.learner_ranges(spark, P.EMB_MODEL_TYPES)
-    bag_ids = spark.range(tables.EMB_MODELS).select(F.col("id").cast("int").alias("bag_id"))
+    bag_ids = sc.select(F.col("model").cast("int").alias("bag_id")).distinct()
     return assignment.assign_learners(bag_ids, ranges, loss="mix")
 
 
-def emb_gathered_by_name(spark, sf):
-    names = emb_names(spark, sf).select(F.col("bag_id").alias("model"), "name")
-    sc = emb_scored(spark, sf).join(F.broadcast(names), "model")
+def emb_gathered_by_name(spark, sf, sc=None):
+    sc = sc if sc is not None else emb_scored(spark, sf)
+    names = emb_names(spark, sf, sc).select(F.col("bag_id").alias("model"), "name")
+    sc = sc.join(F.broadcast(names), "model")
     return (sc.groupBy("id", "label")
             .agg(F.sort_array(F.collect_list(F.struct("name", "prob"))).alias("_np"))
             .select("id", "label", F.col("_np.prob").alias("probs")))
@@ -274,10 +278,12 @@ def emb_gathered_by_name(spark, sf):
 
 @query("learner_assignment")
 def q_learner_assignment(spark, sf):
+    """Learner type of every bag built from the embedding training rows."""
     ranges = assignment.learner_ranges(spark, P.EMB_MODEL_TYPES)
-    return assignment.assign_learners(
-        spark.range(tables.EMB_MODELS).select(F.col("id").cast("int").alias("bag_id")),
-        ranges, loss="mix").join(ranges.select("type", "lo", "hi"), "type")
+    train = emb_rows(spark, sf).where(F.col("split") == "train")
+    bags = resample.bag_same(train, tables.EMB_MODELS, bag_total(train), P.MIN_CAT, P.BAG_SEED)
+    return assignment.assign_learners(bags.select("bag_id").distinct(), ranges, loss="mix") \
+        .join(ranges.select("type", "lo", "hi"), "type")
 
 
 @query("model_names")
@@ -449,8 +455,9 @@ def q_predictions(spark, sf):
 
 @query("subset_metrics")
 def q_subset_metrics(spark, sf):
-    names = [r[0] for r in emb_names(spark, sf).select("name").collect()]
-    return subsets.subset_metrics(emb_gathered_by_name(spark, sf), names,
+    sc = emb_scored(spark, sf)
+    names = [r[0] for r in emb_names(spark, sf, sc).select("name").collect()]  # one per model
+    return subsets.subset_metrics(emb_gathered_by_name(spark, sf, sc), names,
                                   emb_classes(spark, sf))
 
 
@@ -475,8 +482,8 @@ def q_subset_top_weighted(spark, sf):
 
 @query("subset_per_type")
 def q_subset_per_type(spark, sf):
-    names = emb_names(spark, sf).select(F.col("bag_id").alias("model"), "name")
     sc = emb_scored(spark, sf)
+    names = emb_names(spark, sf, sc).select(F.col("bag_id").alias("model"), "name")
     out = None
     for n in (1, 2):
         w = subsets.per_type_pool(sc, names, n)
@@ -541,9 +548,8 @@ def q_route_views(spark, sf):
     docs = doc_texts(spark, sf)
     ev = materialize(enc.encode_views(docs, _vocab(spark, sf), VIEWS, P.MAX_LEN))
     bags = same_bags(spark, sf).select("bag_id", "id")
-    asg = assignment.assign_learners(
-        spark.range(P.ESTIMATORS).select(F.col("id").cast("int").alias("bag_id")),
-        assignment.learner_ranges(spark, P.EMB_MODEL_TYPES))
+    asg = assignment.assign_learners(bags.select("bag_id").distinct(),
+                                     assignment.learner_ranges(spark, P.EMB_MODEL_TYPES))
     r = enc.route_views(bags, ev, asg, P.VIEW_OF_TYPE, VIEWS)
     return r.select("bag_id", "id", "view", _ids_str(F.col("input_ids")).alias("input_ids"))
 
