@@ -13,12 +13,20 @@ def _c(x) -> Column:
 
 
 def softmax(scores) -> Column:
-    """exp(s - max) / sum."""
+    """exp(s - max) / sum (P11), in one pass: the accumulator keeps the
+    running max and the sum rescaled to it; the finish step builds the
+    output from the bound accumulator.  (A row-level max or sum referenced
+    inside a per-element lambda would be re-evaluated for every element.)"""
     s = _c(scores)
-    m = F.array_max(s)
-    e = F.transform(s, lambda x: F.exp(x - m))
-    tot = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / tot)
+
+    def step(acc, x):
+        m = F.greatest(acc["m"], x)
+        return F.struct(m.alias("m"),
+                        (acc["z"] * F.exp(acc["m"] - m) + F.exp(x - m)).alias("z"))
+
+    init = F.struct(F.element_at(s, 1).alias("m"), F.lit(0.0).alias("z"))
+    return F.aggregate(s, init, step,
+                       lambda acc: F.transform(s, lambda x: F.exp(x - acc["m"]) / acc["z"]))
 
 
 def round_array(p, places: int = 9) -> Column:
@@ -48,6 +56,15 @@ def vote_one_hot(p, num_classes: int) -> Column:
     return one_hot(argmax(p), num_classes)
 
 
+def class_counts(values, num_classes) -> Column:
+    """Counts of each class 0..n-1 in an int array, in one pass (votes)."""
+    n = num_classes if isinstance(num_classes, Column) else F.lit(num_classes)
+    init = F.array_repeat(F.lit(0.0), n)
+    return F.aggregate(_c(values), init,
+                       lambda acc, v: F.transform(acc, lambda x, i: x + F.when(i == v, 1.0)
+                                                  .otherwise(0.0)))
+
+
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y),
                        F.lit(0.0), lambda acc, x: acc + x)

@@ -106,7 +106,7 @@ def encode(docs: DataFrame, vocab_df: DataFrame, view: View, max_len: int,
     d = with_tokens(docs, text, view, "_tok", max_len - 2)
     d = d.withColumn("_ids", lookup(F.col("_tok")))
     seq = F.concat(F.array(F.lit(CLS)), F.col("_ids"), F.array(F.lit(SEP)))
-    n = F.size(seq)
+    n = F.size(F.col("_ids")) + 2      # cheap inside the mask lambda
     input_ids = F.concat(seq, F.array_repeat(F.lit(PAD), F.lit(max_len) - n))
     mask = F.transform(F.sequence(F.lit(1), F.lit(max_len)),
                        lambda i: F.when(i <= n, 1).otherwise(0))

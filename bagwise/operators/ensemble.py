@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagwise.functions.arrays import argmax, elementwise_mean
+from bagwise.functions.arrays import argmax, class_counts, elementwise_mean
 
 
 def gather_models(preds: DataFrame, keys=("id", "label")) -> DataFrame:
@@ -30,9 +30,7 @@ def vote_ensemble(preds: DataFrame, keys=("id", "label"), places: int = 9) -> Da
     """Majority vote of the models' argmax; ties -> lowest class."""
     g = gather_models(preds, keys)
     votes = F.transform("probs", lambda p: argmax(p, places))
-    n_cls = F.size(F.element_at("probs", 1))
-    counts = F.transform(F.sequence(F.lit(0), n_cls - 1),
-                         lambda c: F.size(F.filter(votes, lambda v: v == c)).cast("double"))
+    counts = class_counts(votes, F.size(F.element_at("probs", 1)))
     return g.select(*keys, counts.alias("votes")).withColumn("pred", argmax("votes", None))
 
 
@@ -40,9 +38,7 @@ def mean_and_vote(preds: DataFrame, keys=("id", "label"), places: int = 9) -> Da
     """Both ensembles from one gather: (keys..., prob_mean, pred_mean, pred_vote)."""
     g = gather_models(preds, keys)
     votes = F.transform("probs", lambda p: argmax(p, places))
-    n_cls = F.size(F.element_at("probs", 1))
-    counts = F.transform(F.sequence(F.lit(0), n_cls - 1),
-                         lambda c: F.size(F.filter(votes, lambda v: v == c)).cast("double"))
+    counts = class_counts(votes, F.size(F.element_at("probs", 1)))
     return g.select(*keys, elementwise_mean("probs").alias("prob_mean"),
                     counts.alias("votes")) \
         .withColumn("pred_mean", argmax("prob_mean", places)) \

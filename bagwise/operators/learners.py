@@ -59,9 +59,9 @@ def score_centroids(docs: DataFrame, model_table: DataFrame, scale: float = 1.0,
     ids = [r[0] for r in model_table.select(model_col).orderBy(model_col).collect()]
     d = docs.withColumn(model_col, F.explode(F.array(*[F.lit(i) for i in ids])))
     d = d.join(mt, model_col)
-    v = feature_slice(vec_col, model_col, width)
-    scores = F.transform(F.col("W"), lambda w: F.lit(scale) * dot(v, w))
-    return d.select(model_col, *keep, softmax(scores).alias("prob"))
+    d = d.withColumn("_v", feature_slice(vec_col, model_col, width))
+    d = d.withColumn("_s", F.transform(F.col("W"), lambda w: F.lit(scale) * dot("_v", w)))
+    return d.select(model_col, *keep, softmax("_s").alias("prob"))
 
 
 def predict(scored: DataFrame, places: int = 9) -> DataFrame:
