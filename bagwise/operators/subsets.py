@@ -136,9 +136,14 @@ def weighted_mean_ensemble(preds: DataFrame, weights: DataFrame, places: int = 9
     from bagwise.functions.arrays import argmax
     p = preds.join(F.broadcast(weights), "model").where(F.col("weight") > 0)
     g = (p.groupBy(*keys).agg(F.collect_list(F.struct("weight", "prob")).alias("_wp")))
-    num = F.aggregate(
-        "_wp", F.array_repeat(F.lit(0.0), F.size(F.element_at("_wp", 1).prob)),
-        lambda acc, x: F.zip_with(acc, x.prob, lambda a, b: a + b * x.weight))
-    den = F.aggregate("_wp", F.lit(0.0), lambda acc, x: acc + x.weight)
-    return g.select(*keys, F.transform(num, lambda v: v / den).alias("prob")) \
-        .withColumn("pred", argmax("prob", places))
+    # one pass: weighted sums and total weight in the accumulator, divided in
+    # the finish step (a row-level total inside the per-class lambda would be
+    # recomputed for every class)
+    init = F.struct(F.array_repeat(F.lit(0.0), F.size(F.element_at("_wp", 1).prob)).alias("s"),
+                    F.lit(0.0).alias("w"))
+    step = lambda acc, x: F.struct(
+        F.zip_with(acc["s"], x.prob, lambda a, b: a + b * x.weight).alias("s"),
+        (acc["w"] + x.weight).alias("w"))
+    prob = F.aggregate("_wp", init, step,
+                       lambda acc: F.transform(acc["s"], lambda v: v / acc["w"]))
+    return g.select(*keys, prob.alias("prob")).withColumn("pred", argmax("prob", places))
