@@ -76,8 +76,11 @@ def history_view(events: DataFrame) -> DataFrame:
     Ranked with the bucketed exact rank (buckets are ranges of the
     timestamp sized from the data), so a hot run is never one task."""
     from bagwise.operators.strata import rank_by_number
-    ev = events.select(F.col("user_id").alias("run"),
-                       F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id",
+    if dict(events.dtypes)["ts"] == "timestamp_ntz":   # no session-zone conversion
+        ts_us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    else:
+        ts_us = F.unix_micros(F.col("ts"))
+    ev = events.select(F.col("user_id").alias("run"), ts_us.alias("ts_us"), "event_id",
                        F.col("value").alias("loss"),
                        (F.get_json_object("props", "$.k").cast("double") / 100).alias("acc"))
     ranked = rank_by_number(ev, ["run"], "ts_us", tie_cols=["event_id"], rank_col="rank")
