@@ -79,7 +79,11 @@ if __name__ == "__main__":
     from bagwise.plans.oracle import ORACLE
     from bagwise.session import get_session
     sf = "/root/testdata/sf0.01"
-    names = sys.argv[1:] or list(REGISTRY)
+    args = sys.argv[1:]
+    if args and args[0] == "--entry":      # as the driver sees them
+        import __spark_entry__ as entry
+        REGISTRY, ORACLE, args = entry.queries(), entry.oracle_sql(), args[1:]
+    names = args or list(REGISTRY)
     spark = get_session("local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
     bad = 0

@@ -57,3 +57,20 @@ def test_entry_contract(spark):
     df = e.entry(spark)
     assert df.count() >= 0 and "agg_fn" in df.columns
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["test_summary", "centroid_scores", "subset_top_acc",
+                                  "class_size_quantiles", "early_stop"])
+def test_entry_wrappers_match(spark, name):
+    """queries() / oracle_sql() as the driver sees them (rounded doubles)."""
+    import __spark_entry__ as e
+    ok, msg = compare(spark, name, e.queries()[name], e.oracle_sql()[name], SF)
+    assert ok, msg
+
+
+def test_float_cols_up_to_date(spark):
+    from bagwise.plans.float_cols import FLOAT_COLS
+    for name in ["test_summary", "epoch_summary", "loss_ice", "subset_metrics", "one_hot"]:
+        df = REGISTRY[name](spark, SF)
+        cols = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
+        assert FLOAT_COLS.get(name, []) == cols, name
