@@ -203,3 +203,22 @@ def test_first_k_equals_window(spark):
         .join(hist, "label").withColumn("_ref", F.col("r") <= F.col("_k"))
     bad = got.join(ref.select("id", "_ref"), "id").where(F.col("_in") != F.col("_ref"))
     assert got.count() == 3000 and bad.count() == 0
+
+
+def test_registries_raise_and_names(spark):
+    from bagwise.operators import assignment, learners, losses
+    with pytest.raises(ValueError):
+        losses.loss_column("XYZ")
+    with pytest.raises(ValueError):
+        learners.make_learner("transformer", 4, 2)
+    df = spark.createDataFrame([("runs/exp3/bert_FCE_same",)], "path string")
+    assert df.select(assignment.model_name_from_path("path")).first()[0] == "bert_FCE_same"
+    r = assignment.learner_ranges(spark, [("bert", 2), ("gpt", 0), ("albert", 3)])
+    a = assignment.assign_learners(spark.range(5).selectExpr("cast(id as int) as bag_id"), r,
+                                   loss="mix", dist="same")
+    got = {x.bag_id: (x.type, x.ith, x.name) for x in a.collect()}
+    assert got == {0: ("bert", 0, "bert_ICE_same"), 1: ("bert", 1, "bert_FCE_same"),
+                   2: ("albert", 0, "albert_ICE_same"), 3: ("albert", 1, "albert_FCE_same"),
+                   4: ("albert", 2, "albert_ICE_same")}
+    with pytest.raises(ValueError):
+        assignment.learner_ranges(spark, [("bert", 0)])
