@@ -22,11 +22,15 @@ def learner_ranges(spark: SparkSession, types: Sequence[tuple[str, int]]) -> Dat
 
 def assign_learners(bag_ids: DataFrame, ranges: DataFrame, loss: str = "mix",
                     dist: str | None = None) -> DataFrame:
-    """Range join bag_id -> type (lo <= bag_id < hi) (J10); ``ith`` = index
-    inside the type; loss 'mix' -> odd ith FCE, even ICE (L8); name =
-    type_loss[_dist] (P16).  The ranges table has one row per type."""
-    r = F.broadcast(ranges.select("type", "lo", "hi"))
-    j = bag_ids.join(r, (F.col("bag_id") >= F.col("lo")) & (F.col("bag_id") < F.col("hi")))
+    """bag_id -> type where lo <= bag_id < hi (J10); ``ith`` = index inside
+    the type; loss 'mix' -> odd ith FCE, even ICE (L8); name =
+    type_loss[_dist] (P16).  The range condition becomes an equi-join: each
+    type's range is exploded into its estimator ids (bounded by the number
+    of estimators), so no nested-loop join is planned."""
+    per_bag = (ranges.where(F.col("n") > 0)
+               .select("type", "lo", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1))
+                       .alias("bag_id")))
+    j = bag_ids.join(F.broadcast(per_bag), "bag_id")
     j = j.withColumn("ith", (F.col("bag_id") - F.col("lo")).cast("int"))
     if loss == "mix":
         lcol = F.when(F.col("ith") % 2 == 1, F.lit("FCE")).otherwise(F.lit("ICE"))

@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def confusion(pred: DataFrame, by: Sequence[str] = (), label="label", pred_col="pred"
-              ) -> DataFrame:
-    """Sparse confusion matrix (by..., label, pred, n) (A5)."""
+def confusion(pred: DataFrame, by: Sequence[str] = (), label="label", pred_col="pred",
+              loss_col: str | None = None) -> DataFrame:
+    """Sparse confusion matrix (by..., label, pred, n [, loss_sum]) (A5)."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if loss_col:
+        aggs.append(F.sum(loss_col).alias("loss_sum"))
     return pred.groupBy(*by, F.col(label).alias("label"), F.col(pred_col).alias("pred")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(*aggs)
 
 
 def class_list(classes: DataFrame) -> list[int]:
@@ -34,14 +37,17 @@ def class_grid(classes: DataFrame, groups: DataFrame | None) -> DataFrame:
 
 
 def per_class(pred: DataFrame, classes: DataFrame, by: Sequence[str] = (),
-              label="label", pred_col="pred") -> DataFrame:
-    """(by..., label, n_true, n_pred, tp, precision, recall, f1score) for every
-    class of ``classes`` (A7, J4, J5); 0 where a denominator is 0."""
+              label="label", pred_col="pred", loss_col: str | None = None) -> DataFrame:
+    """(by..., label, n_true, n_pred, tp, precision, recall, f1score [,
+    loss_sum]) for every class of ``classes`` (A7, J4, J5); 0 where a
+    denominator is 0."""
     by = list(by)
-    cm = confusion(pred, by, label, pred_col)
-    true = cm.groupBy(*by, "label").agg(F.sum("n").alias("n_true"),
-                                         F.sum(F.when(F.col("label") == F.col("pred"), F.col("n"))
-                                               .otherwise(0)).alias("tp"))
+    cm = confusion(pred, by, label, pred_col, loss_col)
+    true_aggs = [F.sum("n").alias("n_true"),
+                 F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp")]
+    if loss_col:
+        true_aggs.append(F.sum("loss_sum").alias("loss_sum"))
+    true = cm.groupBy(*by, "label").agg(*true_aggs)
     npred = cm.groupBy(*by, F.col("pred").alias("label")).agg(F.sum("n").alias("n_pred"))
     cls = class_grid(classes, pred.select(*by).distinct() if by else None)
     out = (cls.join(true, by + ["label"], "left").join(npred, by + ["label"], "left")
@@ -57,21 +63,17 @@ def per_class(pred: DataFrame, classes: DataFrame, by: Sequence[str] = (),
 def macro(pred: DataFrame, classes: DataFrame, by: Sequence[str] = (),
           label="label", pred_col="pred", loss_col: str | None = None) -> DataFrame:
     """(by..., n, [loss], accuracy, precision, recall, f1score): accuracy =
-    trace / total; macro scores are means over all classes (A6, A8, A9)."""
+    trace / total; macro scores are means over all classes; the loss is the
+    mean row loss (A6, A8, A9).  Everything comes from one per-class table."""
     by = list(by)
-    pc = per_class(pred, classes, by, label, pred_col)
-    m = pc.groupBy(*by).agg(F.avg("precision").alias("precision"),
-                            F.avg("recall").alias("recall"),
-                            F.avg("f1score").alias("f1score"))
-    aggs = [F.count(F.lit(1)).alias("n"),
-            F.avg((F.col(label) == F.col(pred_col)).cast("double")).alias("accuracy")]
+    pc = per_class(pred, classes, by, label, pred_col, loss_col)
+    n = F.sum("n_true")
+    aggs = [n.alias("n"), (F.sum("tp") / n).alias("accuracy")]
     if loss_col:
-        aggs.append(F.avg(loss_col).alias("loss"))
-    a = pred.groupBy(*by).agg(*aggs)
-    if not by:   # two one-row tables
-        a, m, by = a.withColumn("_one", F.lit(1)), m.withColumn("_one", F.lit(1)), ["_one"]
-        return a.join(m, by).drop("_one")
-    return a.join(m, by, "inner")
+        aggs.append((F.sum("loss_sum") / n).alias("loss"))
+    aggs += [F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
+             F.avg("f1score").alias("f1score")]
+    return pc.groupBy(*by).agg(*aggs)
 
 
 def rounded(df: DataFrame, cols: Sequence[str], places: int = 6) -> DataFrame:
