@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EPS = 1e-9
+from bagwise.functions.constants import ARGMAX_PLACES, EPS, FOCAL_ALPHA, FOCAL_GAMMA  # noqa: E402,F401
 
 
 def _c(x) -> Column:
@@ -86,7 +86,7 @@ def ce_row(p, label) -> Column:
     return -F.log(prob_at(p, label) + F.lit(EPS))
 
 
-def fce_row(p, label, alpha: float = 1.0, gamma: float = 2.0) -> Column:
+def fce_row(p, label, alpha: float = FOCAL_ALPHA, gamma: float = FOCAL_GAMMA) -> Column:
     """-alpha (1-p_y)^gamma log(p_y + 1e-9) (L2)."""
     py = prob_at(p, label)
     return -(F.pow(F.lit(1.0) - py, F.lit(gamma)) * F.lit(alpha) * F.log(py + F.lit(EPS)))

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bagwise.functions import constants as K
 from bagwise.functions.codes import TEXT_COLS, any_text
 from bagwise.functions.hashing import draw_index, order_key, uniform, uniform_from_key
 from bagwise.operators.strata import checked_broadcast, first_k, rank_by_key
@@ -25,10 +26,12 @@ def test_size(n: Column, ratio: Column) -> Column:
     """Test rows of a class of size n (R1): <3 -> 0, <=5 -> 1, <=10 -> 2,
     <100 -> int(8/90 n + 10/9), else int(n * ratio); DOUBLE arithmetic."""
     nd = n.cast("double")
-    return (F.when(n < 3, F.lit(0))
-            .when(n <= 5, F.lit(1))
-            .when(n <= 10, F.lit(2))
-            .when(n < 100, F.floor(F.lit(8.0) / F.lit(90.0) * nd + F.lit(10.0) / F.lit(9.0)))
+    slope = F.lit(K.SPLIT_SLOPE[0]) / F.lit(K.SPLIT_SLOPE[1])
+    icept = F.lit(K.SPLIT_INTERCEPT[0]) / F.lit(K.SPLIT_INTERCEPT[1])
+    return (F.when(n < K.SPLIT_NONE_BELOW, F.lit(0))
+            .when(n <= K.SPLIT_ONE_UP_TO, F.lit(1))
+            .when(n <= K.SPLIT_TWO_UP_TO, F.lit(2))
+            .when(n < K.SPLIT_LINEAR_BELOW, F.floor(slope * nd + icept))
             .otherwise(F.floor(nd * ratio))).cast("long")
 
 
@@ -111,7 +114,8 @@ def _bag_pairs(df: DataFrame, k_table: DataFrame, estimators: int, seed: int,
             .drop("_q"))
 
 
-def bag_same(train: DataFrame, estimators: int, num_samples: int, min_cat_data: int = 2,
+def bag_same(train: DataFrame, estimators: int, num_samples: int,
+             min_cat_data: int = K.MIN_CAT_DATA,
              seed: int = 42, formula: str = "same", prune: bool = True) -> DataFrame:
     """K bags in one DataFrame keyed by ``bag_id`` (R3, R4, R6): per class
     the first k rows in the bag's own hash order, so no row twice in a bag."""
@@ -159,16 +163,17 @@ def _bags_from_sizes(train: DataFrame, k_table: DataFrame, estimators: int, seed
             .where(F.col("_in")).drop("_key", "_in"))
 
 
-def bag_random(train: DataFrame, estimators: int, num_samples: int, min_cat_data: int = 2,
-               seed: int = 42, cut_std: int = 1000, max_attempts: int = 10_000) -> DataFrame:
+def bag_random(train: DataFrame, estimators: int, num_samples: int,
+               min_cat_data: int = K.MIN_CAT_DATA, seed: int = 42, cut_std: int = K.CUT_STD, max_attempts: int = 10_000) -> DataFrame:
     """Bags with random class sizes (R5, F4); rows as in ``bag_same``."""
     sizes = random_bag_sizes(train, estimators, num_samples, min_cat_data, seed,
                              cut_std, max_attempts)
     return _bags_from_sizes(train, sizes, estimators, seed, prune=False, per_bag=True)
 
 
-def random_bag_sizes(train: DataFrame, estimators: int, total: int, min_cat_data: int = 2,
-                     seed: int = 42, cut_std: int = 1000,
+def random_bag_sizes(train: DataFrame, estimators: int, total: int,
+                     min_cat_data: int = K.MIN_CAT_DATA, seed: int = 42,
+                     cut_std: int = K.CUT_STD,
                      max_attempts: int = 10_000) -> DataFrame:
     """Class sizes per bag for the 'random' bag distribution.
 
@@ -208,7 +213,7 @@ def random_bag_sizes(train: DataFrame, estimators: int, total: int, min_cat_data
                 done[b] = (a, c, "cut")
             else:
                 # the cut keeps falling; at <= min size no class is small
-                state[b] = (a + 1, c - 100)
+                state[b] = (a + 1, c - K.CUT_STEP)
     else:
         raise ValueError("no size draw reached the total within max_attempts")
     final = spark.createDataFrame([(b, a, c, m) for b, (a, c, m) in done.items()],
@@ -285,7 +290,7 @@ def bag_stats(bags: DataFrame) -> DataFrame:
 UPSAMPLE_METHODS = ("uniform", "random", "shuffle")
 
 
-def upsample(df: DataFrame, method: str, minimum: int = 500, seed: int = 42,
+def upsample(df: DataFrame, method: str, minimum: int = K.UPSAMPLE_MINIMUM, seed: int = 42,
              strata: Sequence[str] = ("label",), text_cols: Sequence[str] = TEXT_COLS
              ) -> DataFrame:
     """Bring every stratum below ``minimum`` rows up to ``minimum``.

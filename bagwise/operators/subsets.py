@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bagwise.functions.constants import TOP_K, W_ACC
 from bagwise.operators.metrics import class_grid
 
 MAX_MODELS = 20
@@ -103,8 +104,8 @@ def subset_metrics(gathered: DataFrame, names: Sequence[str], classes: DataFrame
             .select("subset", "size", "accuracy", "precision", "recall", "f1score"))
 
 
-def top_subsets(metrics: DataFrame, by: str = "accuracy", k: int = 5,
-                w_acc: float = 0.6) -> DataFrame:
+def top_subsets(metrics: DataFrame, by: str = "accuracy", k: int = TOP_K,
+                w_acc: float = W_ACC) -> DataFrame:
     """Top-k subsets by rounded score, name descending on ties (C3, T3-T5);
     by = 'accuracy', 'f1score' or 'weighted' (0.6 acc + 0.4 f1, P15)."""
     if by == "weighted":
