@@ -127,7 +127,8 @@ def bag_same(train: DataFrame, estimators: int, num_samples: int,
     if e > 1:
         raise ValueError(f"num_samples {num_samples} exceeds the {total} rows")
     k_table = hist.withColumn("_k", same_size_expr(F.col("n"), e, min_cat_data, formula)).cache()
-    if k_table.where(F.col("_k") < 0).limit(1).count():
+    # 'same' sizes are >= min_cat_data; the notebook formula can go negative
+    if formula != "same" and k_table.where(F.col("_k") < 0).limit(1).count():
         raise ValueError("negative bag size for some class; raise num_samples")
     return _bags_from_sizes(train, k_table, estimators, seed, prune)
 
