@@ -222,3 +222,20 @@ def test_registries_raise_and_names(spark):
                    4: ("albert", 2, "albert_ICE_same")}
     with pytest.raises(ValueError):
         assignment.learner_ranges(spark, [("bert", 0)])
+
+
+def test_hot_class_is_spread(spark):
+    """A class with a third of the rows is split into many small buckets:
+    the largest bucket (what one window task sorts) stays near the target."""
+    from bagwise.operators.strata import prefix_len_col
+    n_rows, target = 9000, 100
+    rows = [(i, 0 if i % 3 == 0 else 1 + i % 50) for i in range(n_rows)]
+    df = spark.createDataFrame(rows, "id long, label int").withColumn(
+        "key", order_key(5, "t", "id"))
+    hist = df.groupBy("label").agg(F.count("*").alias("n"))
+    b = df.join(hist.select("label", prefix_len_col(F.col("n"), target).alias("p")), "label") \
+        .withColumn("bkt", F.col("key").substr(F.lit(1), F.col("p")))
+    sizes = b.groupBy("label", "bkt").count()
+    hot = sizes.where("label = 0")
+    assert hot.count() > 100                       # 3000 rows over > 100 buckets
+    assert hot.agg(F.max("count")).first()[0] <= 4 * target // 3
