@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bagwise.llm import exact_dedup, mixing, packing, sharding
+from bagwise.llm import exact_dedup, mixing, packing, pii, quality_rules, secrets, sharding
 
 SHARDS = 8
 
@@ -42,14 +42,86 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir))
 
 
+def op8_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir))
+
+
+def op2_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(documents(spark, sf_dir))
+
+
+def op9_weak_label_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(documents(spark, sf_dir))
+
+
 REGISTRY = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
+    "op2_secret_randomness": op2_secret_randomness,
     "op3_chunk_recipes": op3_chunk_recipes,
     "op5_jump_hash_shards": op5_jump_hash_shards,
     "op6_source_mix": op6_source_mix,
+    "op8_adaptive_quality_rules": op8_adaptive_quality_rules,
+    "op9_weak_label_pii": op9_weak_label_pii,
 }
 
+WORDS = "list_filter(string_split_regex(t, '[ \\t-\\r]+'), lambda x: x <> '')"
+
+#: The rules of op8 with its sketches, bin by bin.
+OP8_MEASURES = {"symbols_per_word": "n_symbols / greatest(n_words, 1)",
+                "dup_lines_per_line": "n_dup_lines / greatest(n_lines, 1)",
+                "chars_per_word": "word_chars / greatest(n_words, 1)"}
+
+
+def _op8_sql() -> str:
+    q = quality_rules
+    values = " UNION ALL ".join(f"SELECT rid, lang, source, '{m}' AS m, {e} AS v FROM b" for m, e in OP8_MEASURES.items())
+    spread = "CASE m " + " ".join(f"WHEN '{m}' THEN {x[2]}" for m, x in q.MEASURES.items()) + " END"
+    lower = ", ".join(f"'{m}'" for m, x in q.MEASURES.items() if x[3])
+
+    def level(name: str, by: str) -> str:
+        return f"""
+            {name} AS (SELECT {by}, any_value(n) AS n, min(CASE WHEN c >= 0.25 * n THEN edge END) AS q25,
+                              min(CASE WHEN c >= 0.75 * n THEN edge END) AS q75
+                       FROM (SELECT {by}, bin, CASE WHEN bin = 0 THEN 0 ELSE {q.SMALLEST} * pow({q.RESOLUTION}, bin) END AS edge,
+                                    sum(count(*)) OVER (PARTITION BY {by} ORDER BY bin) AS c,
+                                    sum(count(*)) OVER (PARTITION BY {by}) AS n
+                             FROM v WHERE n_words > 0 GROUP BY {by}, bin) GROUP BY {by})"""
+
+    pick = "CASE WHEN o.n >= {0} THEN o.{1} WHEN l.n >= {0} THEN l.{1} ELSE a.{1} END"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, {WORDS} AS ws,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS ls FROM d),
+        win AS (SELECT rid, i, list_slice(ws, i, i + {q.WINDOW - 1}) AS k
+                FROM (SELECT rid, ws, unnest(range(1, len(ws) - {q.WINDOW - 2})) AS i FROM w WHERE len(ws) >= {q.WINDOW})),
+        rep AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
+        cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + {q.WINDOW})) AS p FROM rep) GROUP BY rid),
+        b AS (SELECT rid, doc_id, lang, source, len(ws)::BIGINT AS n_words,
+                     length(regexp_replace(t, '[ \t-\r]', '', 'g'))::BIGINT AS word_chars,
+                     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                     len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+                     coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+              FROM w LEFT JOIN cov USING (rid)),
+        v AS (SELECT x.*, n_words, CASE WHEN v <= {q.SMALLEST} THEN 0
+                     ELSE floor(ln(v / {q.SMALLEST}) / ln({q.RESOLUTION})) + 1 END AS bin
+              FROM ({values}) x JOIN b USING (rid)),
+        {level("own", "lang, source, m")}, {level("langs", "lang, m")}, {level("every", "m")},
+        f AS (SELECT o.lang, o.source, o.m, {pick.format(q.LEAST_ROWS, "q25")} AS q25, {pick.format(q.LEAST_ROWS, "q75")} AS q75
+              FROM own o JOIN langs l ON o.lang IS NOT DISTINCT FROM l.lang AND o.m = l.m JOIN every a ON o.m = a.m),
+        g AS (SELECT lang, source, m, q75 + {q.REACH} * greatest(q75 - q25, {spread}) AS high,
+                     CASE WHEN m IN ({lower}) THEN q25 - {q.REACH} * greatest(q75 - q25, {spread}) ELSE -1 END AS low FROM f),
+        bad AS (SELECT rid, string_agg(v.m, ',' ORDER BY list_position({list(q.MEASURES)}, v.m)) AS failed
+                FROM v JOIN g ON v.lang IS NOT DISTINCT FROM g.lang AND v.source IS NOT DISTINCT FROM g.source AND v.m = g.m
+                WHERE v > high OR v < low GROUP BY rid)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+               NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND failed IS NULL AS kept,
+               coalesce(failed, '') AS failed
+        FROM b LEFT JOIN bad USING (rid)"""
+
+
 ORACLE = {
+    "op8_adaptive_quality_rules": _op8_sql(),
     "op3_chunk_recipes": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
