@@ -57,3 +57,16 @@ def gapless(df: DataFrame, group: list[str], order: list[Column], spread: Column
     return (dealt.join(starts, keys)
             .withColumn(name, F.col("__start") + F.row_number().over(within) - 1)
             .drop("__bucket", "__start"))
+
+
+#: Rows sent to a Python worker at a time by operators that send whole texts.
+TEXT_ROWS = 500
+
+
+def small_batches(df: DataFrame) -> None:
+    """Lower the session's Arrow batch size, so that a batch of long texts
+    stays small (Spark 4.1 has no limit in bytes)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if int(conf.get(name)) <= 0 or int(conf.get(name)) > TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))

@@ -14,67 +14,83 @@ cutting documents, so at most one window a block is not full.
 
 from __future__ import annotations
 
-import zlib
+import base64
+import os
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagwise.llm.common import bucket_count
+from bagwise.llm.common import bucket_count, small_batches
 
 WINDOW = 2048
 END_ID = 1
 DOCS_PER_BLOCK = 20_000
-#: Distinct text segments whose ids a worker remembers at most.
-REMEMBERED = 200_000
-
-#: The White_Space characters of Unicode, for a character class.
-WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Texts beyond these characters go to the full tokenizer: on them the rank
+#: encoder's pattern does not depend on the age of its Unicode tables.
+LATIN = "\u024f"
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-class SegmentEncoder:
-    """Ids of a text as little-endian 32-bit bytes.  The byte-level rules
-    never join characters across a change from white space's left neighbour
-    to white space, so the text is encoded segment by segment (white space
-    and what follows it) and frequent segments are remembered."""
+@dataclass(frozen=True)
+class Vocabulary:
+    """Files of one byte-level vocabulary: the tokenizer, which defines the
+    ids, and its merge ranks with their splitting pattern, which give the
+    same ids in less time."""
+
+    tokenizer: str
+    ranks: str | None = None
+    pattern: str = ""
+
+
+@lru_cache(maxsize=2)
+def encoder(vocabulary: Vocabulary):
+    """(text -> ids as a numpy array, bytes an id needs); kept by a worker
+    from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    model = Tokenizer.from_file(vocabulary.tokenizer)
+    width = 2 if model.get_vocab_size() <= 1 << 16 else 4
 
-    def __init__(self, path: str):
-        import os
-        import re
+    def full(text: str) -> np.ndarray:
+        return np.array(model.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.segments = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+    if not vocabulary.ranks:
+        return full, width
+    import tiktoken
+    with open(vocabulary.ranks, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    special = {t.content: i for i, t in model.get_added_tokens_decoder().items()}
+    fast = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens=special)
+    beyond = re.compile(f"[^\\x00-{LATIN}]").search
+    known = set(special)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.segments(t) for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({s for parts in split for s in parts if s not in known})
-        for s, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
-            known[s] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+    def quick(text: str) -> np.ndarray:
+        if beyond(text):
+            return full(text)
+        return fast.encode_to_numpy(text, allowed_special=known, disallowed_special=())
 
+    return quick, width
 
-def _encoded(path: str):
-    end = np.array([END_ID], dtype="<u4").tobytes()
 
+def _encoded(vocabulary: Vocabulary):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = SegmentEncoder(path)
+        encode, width = encoder(vocabulary)
+        end = np.array([END_ID], dtype="<u4")
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at:at + 256]
-                ids = [x + end for x in encoder.encode(part["text"].tolist())]
-                rows = [(block, doc, start // 4, len(x) // 4, x[start:start + 4 * WINDOW])
-                        for block, doc, x in zip(part["block"], part["doc_id"], ids)
-                        for start in range(0, len(x), 4 * WINDOW)]
+                rows = []
+                for block, doc, text in zip(part["block"], part["doc_id"], part["text"]):
+                    ids = np.concatenate([encode(text), end]).astype(f"<u{width}")
+                    rows += [(block, doc, start, len(ids), ids[start:start + WINDOW].tobytes())
+                             for start in range(0, len(ids), WINDOW)]
                 yield pd.DataFrame(rows, columns=["block", "doc_id", "start", "doc_tokens", "ids"]).astype(
                     {"doc_id": "Int64"})
     return run
@@ -119,61 +135,57 @@ class Packer:
         at every full window."""
         rest = [held for level in sorted(self.open, reverse=True) for held in self.open[level]]
         full, now, room = [], [], self.window
-        for piece in (p for held in rest for p in held):
-            doc, start, total, ids = piece
-            while len(ids) > 4 * room:
-                now.append((doc, start, total, ids[:4 * room]))
-                full.append(now)
-                start, ids = start + room, ids[4 * room:]
-                now, room = [], self.window
+        for doc, start, total, ids in (p for held in rest for p in held):
+            while len(ids) > room:
+                full.append([*now, (doc, start, total, ids[:room])])
+                start, ids, now, room = start + room, ids[room:], [], self.window
             now.append((doc, start, total, ids))
-            room -= len(ids) // 4
+            room -= len(ids)
             if not room:
                 full.append(now)
                 now, room = [], self.window
         return full + [now] * bool(now)
 
 
-def _packed(blocks: int):
+def _packed(blocks: int, vocabulary: Vocabulary):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, width = encoder(vocabulary)
         block, packer, made, out = None, None, 0, []
 
-        def laid(held):
+        def lay(windows) -> None:
             nonlocal made
-            at = 0
-            for doc, start, total, ids in held:
-                n = len(ids) // 4
-                out.append((doc, start, n, ids, total, block + blocks * made, at))
-                at += n
-            made += 1
-
-        def frame():
+            for held in windows:
+                at = 0
+                for doc, start, total, ids in held:
+                    out.append((doc, start, len(ids), ids.astype("<u4").tobytes(), total, block + blocks * made, at))
+                    at += len(ids)
+                made += 1
+
+        def frame() -> pd.DataFrame:
             f = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
             out.clear()
             return f.astype({"doc_id": "Int64"})
 
         for batch in batches:
-            for b, *piece in zip(batch["block"].tolist(), batch["doc_id"].astype("object").tolist(), batch["start"].tolist(),
-                                 batch["doc_tokens"].tolist(), batch["ids"].tolist()):
+            columns = (batch[c] for c in ("block", "doc_id", "start", "doc_tokens", "ids"))
+            for b, doc, start, total, ids in zip(*columns):
                 if b != block:
                     if packer:
-                        for held in packer.finish():
-                            laid(held)
+                        lay(packer.finish())
                     block, packer, made = b, Packer(), 0
-                piece[0] = None if pd.isna(piece[0]) else int(piece[0])
-                full = packer.add(len(piece[3]) // 4, tuple(piece))
+                ids = np.frombuffer(ids, dtype=f"<u{width}")
+                full = packer.add(len(ids), (None if pd.isna(doc) else int(doc), start, total, ids))
                 if full:
-                    laid(full)
-                if len(out) > 2000:
+                    lay([full])
+                if len(out) >= 1000:
                     yield frame()
         if packer:
-            for held in packer.finish():
-                laid(held)
+            lay(packer.finish())
         yield frame()
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: Vocabulary, docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
     """Pieces with their ids: doc_id, start, length, ids (little-endian
     unsigned 32-bit), doc_tokens, sequence_id, offset.
 
@@ -183,15 +195,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, docs_per_block: int = DOCS_P
     in the order of another, so reruns agree; rows alike in both are
     interchangeable.  An empty table gives no pieces; other columns are not
     read.  sequence_id is unique, not dense."""
+    small_batches(docs)
     blocks = bucket_count(docs, docs_per_block)
     text = F.coalesce(F.col("text"), F.lit(""))
     dealt = docs.select(
         F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(blocks)).alias("block"), "doc_id", text.alias("text"))
-    pieces = dealt.mapInPandas(_encoded(tokenizer), "block long, doc_id long, start long, doc_tokens long, ids binary")
+    pieces = dealt.mapInPandas(_encoded(vocabulary), "block long, doc_id long, start long, doc_tokens long, ids binary")
     ordered = pieces.repartition(blocks, "block").sortWithinPartitions(
         "block", F.xxhash64("doc_id", "doc_tokens", "start"), "doc_id", "ids")
-    return ordered.mapInPandas(_packed(blocks), PIECES)
-
-
-def ids_crc32(ids: pd.Series) -> pd.Series:
-    return ids.map(zlib.crc32)
+    return ordered.mapInPandas(_packed(blocks, vocabulary), PIECES)

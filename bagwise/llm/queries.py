@@ -18,15 +18,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
+def vocabulary() -> packing.Vocabulary:
+    import public_tokenizers as files
+    return packing.Vocabulary(files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN)
 
 
 def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    crc = F.pandas_udf(packing.ids_crc32, "long")
-    pieces = packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
-    return pieces.select("doc_id", "start", "length", crc("ids").alias("ids_crc32"), "doc_tokens",
+    pieces = packing.pack_documents(documents(spark, sf_dir), vocabulary())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
 
 

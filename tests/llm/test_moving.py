@@ -125,8 +125,8 @@ def test_chunks_are_the_text(spark):
 def test_packing_is_a_round_trip(spark, extra):
     from tokenizers import Tokenizer
     rows = awkward() + [(1000 + i, prose(i, (i * 37) % 900), "en", "s", 1) for i in range(150)]
-    model = Tokenizer.from_file(queries.tokenizer_path())
-    out = packing.pack_documents(frame(spark, rows, extra), queries.tokenizer_path(), 60).collect()
+    model = Tokenizer.from_file(queries.vocabulary().tokenizer)
+    out = packing.pack_documents(frame(spark, rows, extra), queries.vocabulary(), 60).collect()
     pieces, windows = defaultdict(list), defaultdict(list)
     for r in out:
         ids = np.frombuffer(r.ids, "<u4").tolist()
@@ -157,6 +157,17 @@ def test_packing_is_a_round_trip(spark, extra):
     assert short <= -(-len(rows) // 60)
 
 
+def test_rank_file_gives_the_tokenizers_ids():
+    quick, width = packing.encoder(queries.vocabulary())
+    full, _ = packing.encoder(packing.Vocabulary(queries.vocabulary().tokenizer))
+    r = __import__("random").Random(4)
+    texts = [r[1] for r in awkward() if r[1]] + [
+        "".join(r.choice("ab Z9'\n\t ,.é\xa0\x85\x1cßñ<|endoftext|>$#\u0180") for _ in range(r.randint(1, 200))) for _ in range(500)]
+    assert width == 2
+    for t in texts:
+        assert quick(t).tolist() == full(t).tolist()
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert sharding.shard_documents(empty, 8).count() == 0
@@ -164,4 +175,4 @@ def test_empty_tables(spark):
     assert mixing.emit(empty).count() == 0
     assert exact_dedup.dedup_report(empty).count() == 0
     assert exact_dedup.drop_copies(empty).count() == 0
-    assert packing.pack_documents(empty, queries.tokenizer_path()).count() == 0
+    assert packing.pack_documents(empty, queries.vocabulary()).count() == 0
