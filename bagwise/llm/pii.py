@@ -10,13 +10,13 @@ hashed log-linear span classifier, whose verdict decides on the looser kinds.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bagwise.llm.spans import apart, matches, place, report, scan
+from bagwise.llm.weak_labels import estimate
 from bagwise.session import materialize
 
 #: Base kinds in order and their patterns.  The look-behinds
@@ -60,7 +60,6 @@ CUES = {
 }
 COUNTER_CUES = r"(?i)(version|release|chapter|section|page|isbn|order|invoice|serial|build|v)\.?\x20?(no\.?|number|#)?[:\x20]*$"
 
-EM_ROUNDS = 30
 HASHED = 1 << 12
 SMOOTH = 1.0
 
@@ -142,36 +141,6 @@ def votes() -> dict[str, Column]:
             {"pattern": pattern, "gazetteer": gazetteer, "context": context, "shape": shape}.items()}
 
 
-def estimate(counts: list[tuple[str, tuple, int]], rounds: int = EM_ROUNDS) -> dict[tuple, float]:
-    """EM (Dawid and Skene, two classes) on (kind, votes, n) of equal vote
-    patterns: (kind, votes) -> posterior of personal data.  Shares and
-    reliabilities belong to a kind and start at 'better than chance'."""
-    kinds = sorted({k for k, _, _ in counts})
-    labelers = range(len(counts[0][1])) if counts else ()
-    share = {k: 0.5 for k in kinds}
-    says = {(k, j, c): 0.8 if c else 0.2 for k in kinds for j in labelers for c in (0, 1)}  # P(vote 1 | class c)
-    post: dict[tuple, float] = {}
-    for _ in range(rounds):
-        for kind, vote, _ in counts:
-            odds = math.log(share[kind] / (1 - share[kind]))
-            for j, v in enumerate(vote):
-                if v is not None:
-                    p, q = says[kind, j, 1], says[kind, j, 0]
-                    odds += math.log(p / q) if v else math.log((1 - p) / (1 - q))
-            post[kind, vote] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-        for k in kinds:
-            mine = [(v, n, post[k, v]) for kk, v, n in counts if kk == k]
-            total = sum(n for _, n, _ in mine)
-            share[k] = (sum(n * p for _, n, p in mine) + 1) / (total + 2)
-            for j in labelers:
-                for c in (0, 1):
-                    weight = [(v[j], n * (p if c else 1 - p)) for v, n, p in mine if v[j] is not None]
-                    # Four votes' worth of the starting reliability keep the classes from trading places.
-                    start = 0.8 if c else 0.2
-                    says[k, j, c] = (sum(w for v, w in weight if v) + 4 * start) / (sum(w for _, w in weight) + 4)
-    return post
-
-
 def features() -> Column:
     """Hashed features of a candidate."""
     kind, token = F.col("kind"), F.col("token")

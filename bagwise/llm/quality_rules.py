@@ -54,21 +54,22 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), of).cast("long")
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """The base counts of every row; a null text has no words."""
-    text = text_or_empty(F.col("text"))
-    words = words_of(text)
+def base_measures(text: Column) -> Column:
+    """Struct of the base counts of a non-null text."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SEP}]"))
-    counted = docs.select(
-        "doc_id", "lang", "source",
-        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("repeat"))).alias("w"),
-        F.length(F.translate(text, SEP_CHARS, "")).cast("long").alias("word_chars"),
+    by_word = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("twice")))
+    by_line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (
+        F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
+    return let(F.struct(by_word.alias("w"), by_line.alias("l")), lambda c: F.struct(
+        c["w"]["n"].alias("n_words"), F.length(F.translate(text, SEP_CHARS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"),
-                                      (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"))
-    return counted.select("doc_id", "lang", "source", F.col("w.n").alias("n_words"), "word_chars", "n_symbols",
-                          F.col("l.n").alias("n_lines"), F.col("l.dup").alias("n_dup_lines"),
-                          F.col("w.repeat").alias("n_repeat_words"))
+        c["l"]["n"].alias("n_lines"), c["l"]["dup"].alias("n_dup_lines"), c["w"]["twice"].alias("n_repeat_words")))
+
+
+def measure(docs: DataFrame) -> DataFrame:
+    """The base counts of every row; a null text has no words."""
+    counted = docs.select("doc_id", "lang", "source", base_measures(text_or_empty(F.col("text"))).alias("m"))
+    return counted.select("doc_id", "lang", "source", "m.*")
 
 
 def value(name: str) -> Column:

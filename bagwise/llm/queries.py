@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bagwise.llm import exact_dedup, mixing, packing, pii, quality_rules, secrets, sharding
+from bagwise.llm import (exact_dedup, mixing, near_dedup, packing, pii, quality_model, quality_rules, secret_scan,
+                         sharding, substring_dedup)
 
 SHARDS = 8
 
@@ -46,21 +47,37 @@ def op8_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_report(documents(spark, sf_dir))
+    return secret_scan.secret_report(documents(spark, sf_dir))
 
 
 def op9_weak_label_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(documents(spark, sf_dir))
 
 
+def op4_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(documents(spark, sf_dir), words=4, per_cent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op7_relative_lz_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_report(documents(spark, sf_dir))
+
+
+def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_report(documents(spark, sf_dir))
+
+
 REGISTRY = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op2_secret_randomness": op2_secret_randomness,
     "op3_chunk_recipes": op3_chunk_recipes,
+    "op4_setsketch_near_dedup": op4_setsketch_near_dedup,
     "op5_jump_hash_shards": op5_jump_hash_shards,
     "op6_source_mix": op6_source_mix,
+    "op7_relative_lz_spans": op7_relative_lz_spans,
     "op8_adaptive_quality_rules": op8_adaptive_quality_rules,
     "op9_weak_label_pii": op9_weak_label_pii,
+    "op10_weak_label_quality": op10_weak_label_quality,
 }
 
 WORDS = "list_filter(string_split_regex(t, '[ \\t-\\r]+'), lambda x: x <> '')"

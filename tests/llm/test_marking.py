@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from bagwise.llm import pii, quality_rules, secrets
+from bagwise.llm import pii, quality_rules, secret_scan, weak_labels
 from tests.llm.rows import SCHEMA, awkward, frame, prose
 
 
@@ -44,7 +44,7 @@ def digest(spans):
 @pytest.mark.parametrize("extra", [False, True])
 def test_secrets_match_brute_force(spark, extra):
     rows = awkward() + [(500 + i, t, "en", "s", 1) for i, t in enumerate(SECRET_TEXTS)]
-    out = secrets.secret_report(frame(spark, rows, extra)).collect()
+    out = secret_scan.secret_report(frame(spark, rows, extra)).collect()
     want = Counter()
     for r in rows:
         b = secret_base(r[1] or "")
@@ -63,13 +63,13 @@ def test_secrets_match_brute_force(spark, extra):
 
 def test_battery_tells_random_from_ordered(spark):
     rnd = random.Random(3)
-    chars = secrets.ENCODINGS["base62"][1]
+    chars = secret_scan.ENCODINGS["base62"][1]
     even = ["".join(rnd.choice(chars) for _ in range(40)) for _ in range(200)]
     text = [prose(i, 12).replace(" ", "")[:40] for i in range(200)]
     ordered = [chars[i:i + 40] for i in range(10)]
     df = spark.createDataFrame([(i, "random", i, i + 40, t) for i, t in enumerate(even + text + ordered)],
                                "row long, kind string, start long, end long, token string")
-    got = {r.row for r in secrets.discoveries(secrets.battery(df)).collect()}
+    got = {r.row for r in secret_scan.discoveries(secret_scan.battery(df)).collect()}
     assert len([i for i in got if i < 200]) > 185 and not [i for i in got if i >= 200]
 
 
@@ -127,7 +127,7 @@ def test_em_learns_who_to_trust():
     counts = Counter()
     for (vote, _), n in tally.items():
         counts[vote] += n
-    post = pii.estimate([("k", v, n) for v, n in counts.items()])
+    post = weak_labels.estimate([("k", v, n) for v, n in counts.items()])
     right = sum(n for (v, true), n in tally.items() if (post["k", v] > 0.5) == true)
     assert right / 4000 > 0.93
 
@@ -168,6 +168,6 @@ def test_quality_sketches_merge(spark):
 
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
-    assert secrets.secret_report(empty).count() == 0
+    assert secret_scan.secret_report(empty).count() == 0
     assert pii.pii_report(empty).count() == 0
     assert quality_rules.judge(empty).count() == 0
