@@ -23,8 +23,11 @@ def num2code(x, digits: int) -> Column:
 
 
 def make_code(d1="digit_1", d2="digit_2", d3="digit_3") -> Column:
-    """digit_1 + pad2(digit_2) + pad3(digit_3)."""
-    return F.concat(_c(d1).cast("string"), num2code(d2, 2), num2code(d3, 3))
+    """digit_1 + pad2(digit_2) + pad3(digit_3) (P2); a null part counts as
+    empty (P3), so no row loses its code: A, null, 1 -> 'A00001'."""
+    def part(x) -> Column:
+        return F.coalesce(_c(x).cast("string"), F.lit(""))
+    return F.concat(part(d1), num2code(part(d2), 2), num2code(part(d3), 3))
 
 
 def split_code(code="digit") -> list[Column]:
@@ -37,8 +40,10 @@ def split_code(code="digit") -> list[Column]:
 
 
 def fill_text(df: DataFrame, cols: Sequence[str] = TEXT_COLS) -> DataFrame:
-    """Nulls -> '' on the text columns."""
-    return df.fillna("", subset=list(cols))
+    """Nulls -> '' on the text columns and a text digit_1 (P3); numeric code
+    parts stay null and count as empty in the code."""
+    own = [c for c, t in df.dtypes if c == "digit_1" and t == "string"]
+    return df.fillna("", subset=list(cols) + own)
 
 
 def concat_text(cols: Sequence[str] = TEXT_COLS) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,10 +39,13 @@ def with_tokens(df: DataFrame, text: str, view: View, out: str,
     window is O(1) (a substring by position rescans the string)."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     if view.kind == "word":
-        toks = F.filter(F.split(low, WS), lambda t: F.length(t) > 0)
+        # a leading empty part, ``limit`` tokens and the rest, left unsplit
+        parts = F.split(low, WS, limit + 2) if limit else F.split(low, WS)
+        toks = F.filter(parts, lambda t: F.length(t) > 0)
         return df.withColumn(out, F.slice(toks, 1, limit) if limit else toks)
     if view.kind == "char":
         # one entry per code point ('.' in a Java regex matches a whole one)
+        low = F.substring(low, 1, limit + view.n - 1) if limit else low
         d = df.withColumn("_chars", F.regexp_extract_all(low, F.lit("(?s)."), F.lit(0)))
         chars = F.col("_chars")
         n_pos = F.size(chars) - view.n + 1
@@ -77,7 +81,7 @@ def vocab(docs: DataFrame, views: Sequence[View], size: int, text: str = "text")
     return out.withColumn("token_id", (F.row_number().over(w) - 1 + N_RESERVED).cast("int"))
 
 
-def _lookup_udf(table: dict):
+def _lookup_udf(table: tuple[np.ndarray, np.ndarray]):
     bc = None
 
     def build(spark):
@@ -86,8 +90,13 @@ def _lookup_udf(table: dict):
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def lookup(toks: pd.Series) -> pd.Series:
-        m = bc.value
-        return toks.map(lambda ts: [m.get(t, UNK) for t in ts])
+        # one indexed lookup over the tokens of the whole batch
+        tokens, ids = bc.value
+        sizes = toks.map(len).to_numpy()
+        flat = np.concatenate([*toks.to_numpy(), np.zeros(0, dtype=object)])
+        at = pd.Index(tokens).get_indexer(flat)
+        found = np.where(at >= 0, ids[at] if len(ids) else UNK, UNK).astype(np.int32)
+        return pd.Series(np.split(found, np.cumsum(sizes)[:-1]) if len(sizes) else [], dtype=object)
     return build, lookup
 
 
@@ -100,7 +109,8 @@ def encode(docs: DataFrame, vocab_df: DataFrame, view: View, max_len: int,
     rows = vocab_df.where(F.col("view") == view.name).select("token", "token_id").collect()
     if len(rows) > MAX_VOCAB:
         raise ValueError("vocabulary too large to broadcast")
-    build, lookup = _lookup_udf({r[0]: int(r[1]) for r in rows})
+    build, lookup = _lookup_udf((np.array([r[0] for r in rows], dtype=object),
+                                 np.array([r[1] for r in rows], dtype=np.int32)))
     build(docs.sparkSession)
     out = out or view.name
     d = with_tokens(docs, text, view, "_tok", max_len - 2)

@@ -196,25 +196,28 @@ def random_bag_sizes(train: DataFrame, estimators: int, total: int,
         todo = [b for b in state if b not in done]
         if not todo:
             break
-        att = spark.createDataFrame([(b, a, c) for b, (a, c) in state.items() if b in todo],
+        att = spark.createDataFrame([(b, a + i, c) for b, (a, c) in state.items() if b in todo
+                                     for i in range(ATTEMPT_BLOCK)],
                                     "bag_id int, attempt int, cut int")
         drawn = _draw_sizes(grid.join(F.broadcast(att), "bag_id"), seed, min_cat_data)
-        sums = {r["bag_id"]: (r["s"], r["small"]) for r in drawn.groupBy("bag_id").agg(
+        sums = {(r["bag_id"], r["attempt"]): (r["s"], r["small"])
+                for r in drawn.groupBy("bag_id", "attempt").agg(
             F.sum("s").alias("s"),
             F.sum(F.when(F.col("s") < F.col("cut"), F.col("s")).otherwise(0)).alias("small"))
             .collect()}
         for b in todo:
             a, c = state[b]
-            s, small = sums[b]
-            if s < total:
-                state[b] = (a + 1, c)
-            elif s == total:
-                done[b] = (a, c, "exact")
-            elif small <= total:
-                done[b] = (a, c, "cut")
-            else:
-                # the cut keeps falling; at <= min size no class is small
-                state[b] = (a + 1, c - K.CUT_STEP)
+            for i in range(a, a + ATTEMPT_BLOCK):
+                s, small = sums[b, i]
+                state[b] = (i + 1, c)
+                if s == total or (s > total and small <= total):
+                    done[b] = (i, c, "exact" if s == total else "cut")
+                    break
+                if s > total:
+                    # the cut keeps falling; at <= min size no class is small.
+                    # Later draws of this block were summed under the old cut.
+                    state[b] = (i + 1, c - K.CUT_STEP)
+                    break
     else:
         raise ValueError("no size draw reached the total within max_attempts")
     final = spark.createDataFrame([(b, a, c, m) for b, (a, c, m) in done.items()],
@@ -223,6 +226,12 @@ def random_bag_sizes(train: DataFrame, estimators: int, total: int,
     return _share_large(drawn, total, seed)
 
 
+# tokens made in one go, partitions of the token pool, size draws tried in one job
+POOL_BLOCK = 100_000
+MAX_POOL_PARTITIONS = 2_000
+ATTEMPT_BLOCK = 32
+
+
 def _draw_sizes(grid: DataFrame, seed: int, m: int) -> DataFrame:
     lo = F.least(F.lit(m), F.col("n"))
     u = uniform(seed, "size", "bag_id", "attempt", "label")
@@ -237,8 +246,16 @@ def _share_large(drawn: DataFrame, total: int, seed: int) -> DataFrame:
         .over(Window.partitionBy("bag_id"))
     d = drawn.withColumn("_save", F.lit(total) - small_sum)
     is_large = (F.col("mode") == "cut") & (F.col("s") >= F.col("cut"))
-    pool = (d.where(is_large)
-            .withColumn("tok", F.explode(F.sequence(F.lit(1), F.col("s"))))
+    # Tokens are made block by block, the blocks dealt over the cluster: no
+    # task and no array holds a whole class.
+    last = F.floor((F.col("s") - 1) / POOL_BLOCK)
+    blocks = d.where(is_large).withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    n_blocks = blocks.count()
+    pool = (blocks.repartition(min(MAX_POOL_PARTITIONS, max(2, n_blocks)), "bag_id", "label", "_blk")
+            .withColumn("tok", F.explode(F.sequence(
+                F.col("_blk") * POOL_BLOCK + 1,
+                F.least(F.col("s"), (F.col("_blk") + 1) * POOL_BLOCK))))
+            .drop("_blk")
             .withColumn("_key", order_key(seed, "pool", "bag_id", "label", "tok"))
             .withColumn("id", F.col("tok")))
     max_pool = pool.groupBy("bag_id").count().agg(F.max("count")).first()[0] or 0
@@ -364,16 +381,17 @@ SHUFFLE_BLOCK = 4
 
 
 def shuffle_block(d: Column) -> Column:
-    """Candidates per class and round: 4 per missing row, plus 16."""
+    """Candidates per class of the first round: 4 per missing row, plus 16."""
     return d * SHUFFLE_BLOCK + 16
 
 
-def _upsample_shuffle(rows, hist, minimum, seed, strata, text_cols, max_rounds: int = 64):
+def _upsample_shuffle(rows, hist, minimum, seed, strata, text_cols):
     """Each text column drawn independently with replacement from the class;
     candidates j = 1, 2, ... are tried in order and the first minimum - n
     with some text are kept -- the law of the reference's redraw loop
-    (R10, J8).  Round r tries block r of every class still short; the result
-    does not depend on the block size."""
+    (R10, J8).  Each round tries as many candidates of every class still
+    short as all before, so a class of mostly empty draws needs a logarithmic
+    number of rounds; the result does not depend on the block size."""
     outer = _outer(strata)
     id_type = dict(rows.dtypes)["id"]
     ranked = _class_rank(rows, strata, F.col("id"), "_rk")
@@ -381,10 +399,12 @@ def _upsample_shuffle(rows, hist, minimum, seed, strata, text_cols, max_rounds:
     need = hist.select(*strata, "n", (F.lit(minimum) - F.col("n")).alias("_d"))
     accepted = None
     todo = need
-    for r in range(max_rounds):
-        size = shuffle_block(F.col("_d"))
-        cand = todo.withColumn("_j", F.explode(F.sequence(F.lit(r) * size + 1,
-                                                          F.lit(r + 1) * size)))
+    tried = 0                 # in blocks of the first round
+    while True:
+        size, upto = shuffle_block(F.col("_d")), max(1, 2 * tried)
+        cand = todo.withColumn("_j", F.explode(F.sequence(F.lit(tried) * size + 1,
+                                                          F.lit(upto) * size)))
+        tried = upto
         for c in text_cols:
             cand = cand.withColumn(f"_i_{c}", draw_index(
                 uniform(seed, f"shuffle:{c}", *outer, "label", "_j"), F.col("n")))
@@ -396,8 +416,6 @@ def _upsample_shuffle(rows, hist, minimum, seed, strata, text_cols, max_rounds:
                 .where(F.coalesce("_g", F.lit(0)) < F.col("_d")).drop("_g")).cache()
         if todo.isEmpty():
             break
-    else:
-        raise ValueError("shuffle upsampling found too few non-empty draws")
     w = Window.partitionBy(*strata).orderBy("_j")
     out = accepted.withColumn("draw", F.row_number().over(w)).join(
         need.select(*strata, "_d"), strata).where(F.col("draw") <= F.col("_d"))

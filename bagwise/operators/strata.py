@@ -3,7 +3,7 @@
 ``row_number().over(partitionBy(label))`` puts a whole class into one task; a
 class may hold a third of all rows.  ``stratified_rank`` splits each stratum
 into buckets by a key that is monotone in the sort order (a prefix of the md5
-order key, or ``id div width``), counts rows per (stratum, bucket) -- a small
+order key, or the ranges of a range partitioning), counts rows per (stratum, bucket) -- a small
 table -- turns the counts into running offsets, ranks rows inside their bucket
 and adds the offset.  The result equals the plain window rank exactly.
 """
@@ -75,17 +75,20 @@ def rank_by_key(df: DataFrame, strata: Sequence[str], key_col: str,
 def rank_by_number(df: DataFrame, strata: Sequence[str], num_col: str,
                    tie_cols: Sequence[str] = (), rank_col: str = "rank",
                    target: int = TARGET_BUCKET_ROWS) -> DataFrame:
-    """Rank by a numeric column (e.g. ``id``) inside strata: buckets are
-    ``(x - min) div width`` with a width from the value range."""
-    stats = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"),
-                                    F.min(num_col).alias("lo"), F.max(num_col).alias("hi")) \
-        .agg(F.max("n"), F.min("lo"), F.max("hi")).first()
-    n, lo, hi = int(stats[0] or 0), stats[1] or 0, stats[2] or 0
-    n_buckets = max(1, math.ceil(n / target))
-    width = max(1, math.ceil((float(hi) - float(lo) + 1) / n_buckets))
-    bucket = F.floor((F.col(num_col) - F.lit(lo)) / F.lit(width)).cast("long")
-    order = [F.col(num_col)] + [F.col(c) for c in tie_cols]
-    return stratified_rank(df, strata, order, bucket, rank_col)
+    """Rank by any orderable column (e.g. ``id``, a number or text) inside
+    strata.  Buckets are the ranges of a range partitioning of the strata and
+    the order columns, whose bounds Spark takes from a sample of the rows, so
+    they stay near ``target`` rows however the values cluster.  The ranges
+    are written once, since counts and ranks must see the same ones."""
+    from bagwise.session import materialize
+    keys = [num_col, *tie_cols]
+    order = [F.col(c) for c in keys]
+    n = df.count()
+    if n <= target:
+        return stratified_rank(df, strata, order, F.lit(0), rank_col)
+    ranged = df.repartitionByRange(math.ceil(n / target), *strata, *keys)
+    ranged = materialize(ranged.withColumn("_range", F.spark_partition_id()))
+    return stratified_rank(ranged, strata, order, F.col("_range"), rank_col).drop("_range")
 
 
 def prefix_len_col(n: Column, target: int = TARGET_BUCKET_ROWS) -> Column:
@@ -138,8 +141,5 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     n = df.count()
     if n > max_rows:
         return df
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:   # statistics unavailable: rely on the row bound
-        size = 0
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= max_bytes else df

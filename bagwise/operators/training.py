@@ -80,16 +80,19 @@ def _score_fn(bc, vec: str, label: str):
             z -= z.max(axis=1, keepdims=True)
             p = np.exp(z)
             p /= p.sum(axis=1, keepdims=True)
-            yield pd.DataFrame({"id": pdf["id"], label: pdf[label], "prob": list(p)})
+            yield pdf.drop(columns=vec).assign(prob=list(p))
     return fn
 
 
 def score_head(df: DataFrame, W: np.ndarray, b: np.ndarray, vec: str = "vec",
                label: str = "label") -> DataFrame:
-    """(id, label, prob) with the head broadcast once per job."""
+    """(id, label, prob), and the row's weight if it has one, with the head
+    broadcast once per job.  ``id`` keeps its type."""
     bc = df.sparkSession.sparkContext.broadcast((W, b))
-    return df.select("id", vec, label).mapInPandas(
-        _score_fn(bc, vec, label), f"id long, {label} int, prob array<double>")
+    kinds = dict(df.dtypes)
+    keep = ["id", label] + [c for c in df.columns if c == "weight"]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", prob array<double>"
+    return df.select(*keep, vec).mapInPandas(_score_fn(bc, vec, label), schema)
 
 
 def train_head(train: DataFrame, valid: DataFrame, classes: DataFrame, num_classes: int,
@@ -106,7 +109,8 @@ def train_head(train: DataFrame, valid: DataFrame, classes: DataFrame, num_class
     tr = train.select(*cols)
     if loss == "ICE":
         tr = ice_weights(tr, label, batch_size, num_classes)
-    tr = tr.cache()
+        valid = ice_weights(valid.select(*cols), label, batch_size, num_classes)
+    tr, valid = tr.cache(), valid.cache()
     C, d = num_classes, dim
     W, b = np.zeros((C, d)), np.zeros(C)
     best = (None, None, W.copy(), b.copy())      # (loss, epoch, W, b)
@@ -126,10 +130,13 @@ def train_head(train: DataFrame, valid: DataFrame, classes: DataFrame, num_class
         W = W - lr * G[:, :d]
         b = b - lr * G[:, d]
         ev = None
-        for split, df in (("train", train), ("valid", valid)):
+        for split, df in (("train", tr), ("valid", valid)):
             sc = score_head(df, W, b, vec, label)
             from bagwise.functions.arrays import argmax, ce_row, fce_row
+            # the criterion of the training also picks the best epoch
             row_loss = fce_row("prob", label, 1.0, gamma) if loss == "FCE" else ce_row("prob", label)
+            if loss == "ICE":
+                row_loss = row_loss * F.col("weight")
             sc = sc.withColumn("pred", argmax("prob")).withColumn("loss", row_loss) \
                 .withColumn("split", F.lit(split))
             ev = sc if ev is None else ev.unionByName(sc)
@@ -146,6 +153,7 @@ def train_head(train: DataFrame, valid: DataFrame, classes: DataFrame, num_class
             if since >= patience:
                 break
     tr.unpersist()
+    valid.unpersist()
     hist = spark.createDataFrame(hist_rows, "run string, epoch int, split string, loss double, "
                                             "accuracy double, precision double, recall double, "
                                             "f1score double")

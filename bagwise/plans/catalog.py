@@ -214,7 +214,9 @@ def q_bagging_pipeline(spark, sf):
     b = bagging(read_records(spark, sf), P.NUM_TEST, P.ESTIMATORS, None,
                 P.NUM_SUB_VALID, dist="same", upsample="random", minimum=P.UP_MIN,
                 min_cat_data=P.MIN_CAT, seed=P.BAG_SEED, split_seed=P.SPLIT_SEED)
-    return b.bags
+    held_out = b.test.select(F.lit(None).cast("int").alias("bag_id"), F.col("source").alias("part"),
+                             "id", F.lit(0).cast("long").alias("draw"), "label", "text")
+    return b.bags.unionByName(held_out)
 
 
 # ------------------------------------------------------------ learners / ensembles
@@ -282,13 +284,17 @@ def q_learner_assignment(spark, sf):
     ranges = assignment.learner_ranges(spark, P.EMB_MODEL_TYPES)
     train = emb_rows(spark, sf).where(F.col("split") == "train")
     bags = resample.bag_same(train, tables.EMB_MODELS, bag_total(train), P.MIN_CAT, P.BAG_SEED)
-    return assignment.assign_learners(bags.select("bag_id").distinct(), ranges, loss="mix") \
-        .join(ranges.select("type", "lo", "hi"), "type")
+    sizes = materialize(bags.groupBy("bag_id").agg(F.count(F.lit(1)).alias("rows")))
+    return (assignment.assign_learners(sizes.select("bag_id"), ranges, loss="mix")
+            .join(ranges.select("type", "lo", "hi"), "type").join(sizes, "bag_id"))
 
 
 @query("model_names")
 def q_model_names(spark, sf):
-    return emb_names(spark, sf).select(F.col("bag_id").alias("model"), "name")
+    sc = emb_scored(spark, sf)
+    scored = sc.groupBy("model").agg(F.count(F.lit(1)).alias("rows"))
+    names = emb_names(spark, sf, sc).select(F.col("bag_id").alias("model"), "name")
+    return names.join(scored, "model")
 
 
 @query("centroid_scores")
@@ -554,6 +560,46 @@ def q_route_views(spark, sf):
     return r.select("bag_id", "id", "view", _ids_str(F.col("input_ids")).alias("input_ids"))
 
 
+# ------------------------------------------------------------ text learners, end to end
+
+def text_scored(spark, sf, keys=("id", "label")):
+    """(model, keys..., prob) of the hold-out rows by one centroid learner per
+    bag over hashed text features, and the label dictionary."""
+    from bagwise.operators.textfeat import hashed_terms
+    sp, dim = split_rows(spark, sf)
+    texts = sp.select("id", concat_text().alias("text"))
+    vecs = materialize(hashed_terms(texts, P.TEXT_DIMS))
+    train, test = (sp.where(F.col("split") == s) for s in ("train", "test"))
+    bags = same_bags(spark, sf, train=train.drop("split"))
+    model = learners.fit_centroids(
+        bags.select(F.col("bag_id").alias("model"), "id", "label").join(vecs, "id"))
+    scored = learners.score_centroids(test.select(*keys).join(vecs, "id"), materialize(model),
+                                      scale=P.TEXT_SCALE, keep=keys)
+    return materialize(scored), dim
+
+
+@query("text_bagging_summary")
+def q_text_bagging_summary(spark, sf):
+    """Records -> bags -> text features -> a learner per bag -> mean and vote
+    ensembles -> scores on the hold-out texts."""
+    scored, dim = text_scored(spark, sf)
+    ens = ensemble.mean_and_vote(scored)
+    both = [ens.select(F.lit(k).alias("agg_fn"), "id", "label", F.col(f"pred_{k}").alias("pred"))
+            for k in ("mean", "vote")]
+    m = metrics.macro(both[0].unionByName(both[1]), dim, by=["agg_fn"])
+    return metrics.rounded(m, ["accuracy", "precision", "recall", "f1score"])
+
+
+@query("inference_codes")
+def q_inference_codes(spark, sf):
+    """Texts without labels -> all models -> mean -> code parts on the source rows."""
+    scored, dim = text_scored(spark, sf, keys=("id",))
+    ens = ensemble.mean_ensemble(scored, keys=("id",))
+    source = scored.select("id").distinct().select(
+        "id", *[F.lit(None).cast("string").alias(f"digit_{i}") for i in (1, 2, 3)])
+    return reports.submission(source, ens, dim, "pred")
+
+
 # ------------------------------------------------------------ trained learners (rows-only)
 
 @query("train_head")

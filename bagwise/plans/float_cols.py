@@ -23,5 +23,6 @@ FLOAT_COLS = {
     'subset_top_f1': ['score'],
     'subset_top_weighted': ['score'],
     'test_summary': ['test_loss', 'accuracy', 'precision', 'recall', 'f1score'],
+    'text_bagging_summary': ['accuracy', 'precision', 'recall', 'f1score'],
     'train_head': ['loss', 'accuracy', 'precision', 'recall', 'f1score'],
 }

@@ -31,7 +31,8 @@ records AS (
   SELECT id, digit_1, digit_2,
          CAST(CASE WHEN lang <> 'en' THEN n_chars % 100 // 10
                    WHEN digit_2 >= 3 AND n_chars < 800 THEN 101 ELSE 102 END AS BIGINT) AS digit_3,
-         parts[1] AS text_obj, parts[2] AS text_mthd, parts[3] AS text_deal
+         parts[1] AS text_obj, parts[2] AS text_mthd,
+         CASE WHEN len(parts) > 2 THEN array_to_string(parts[3:], chr(10)) END AS text_deal
   FROM r0)"""
 
 FILLED = """
@@ -122,7 +123,7 @@ ORACLE: dict[str, str] = {}
 ORACLE["records_normalise"] = f"WITH {LABELLED} " \
     "SELECT id, digit, label, text_obj || ' ' || text_mthd || ' ' || text_deal AS text FROM lab"
 
-ORACLE["records_clean_hook"] = RECORDS.join(["WITH ", ""]) if False else (
+ORACLE["records_clean_hook"] = (
     "WITH " + RECORDS + """,
 cleaned AS (
   SELECT id, digit_1, digit_2, digit_3,
@@ -317,7 +318,12 @@ SELECT bag_id, part, id, 0 AS draw, label, {TEXT} AS text FROM parts
 UNION ALL
 SELECT d.bag_id, 'train' AS part, o.id, d.draw, d.label,
        o.text_obj || ' ' || o.text_mthd || ' ' || o.text_deal AS text
-FROM draws d JOIN okr o ON d.bag_id = o.bag_id AND d.label = o.label AND d.rk = o.rk"""
+FROM draws d JOIN okr o ON d.bag_id = o.bag_id AND d.label = o.label AND d.rk = o.rk
+UNION ALL
+SELECT NULL AS bag_id, 'test' AS part, id, 0 AS draw, label, {TEXT} AS text FROM test
+UNION ALL
+SELECT NULL AS bag_id, 'oob' AS part, id, 0 AS draw, label, {TEXT} AS text FROM train
+WHERE id NOT IN (SELECT id FROM bags)"""
 
 # ---------------------------------------------------------------- embeddings
 
@@ -395,8 +401,13 @@ macro AS (SELECT {by}, avg(precision) AS precision, avg(recall) AS recall,
 
 
 ORACLE["learner_assignment"] = f"WITH {EMB} " + \
-    "SELECT type, bag_id, ith, loss, type || '_' || loss AS name, lo, hi FROM asg"
-ORACLE["model_names"] = f"WITH {EMB} SELECT model, name FROM names"
+    f"""SELECT type, bag_id, ith, loss, type || '_' || loss AS name, lo, hi, rows FROM asg,
+  (SELECT CAST(sum(CASE WHEN n <= {P.MIN_CAT} THEN n
+                        ELSE floor(e * n + ({P.MIN_CAT} - {P.MIN_CAT} * e)) END) AS BIGINT) AS rows
+   FROM (SELECT n, CAST(sum(n) OVER () // {P.BAG_DIVISOR} AS DOUBLE) / sum(n) OVER () AS e
+         FROM (SELECT count(*) AS n FROM emb WHERE split = 'train' GROUP BY label)))"""
+ORACLE["model_names"] = f"WITH {EMB} SELECT model, name, count(*) AS rows FROM names " \
+    "JOIN bp USING (model) GROUP BY model, name"
 ORACLE["centroid_scores"] = f"WITH {EMB} SELECT model, id, cls AS class, p AS prob FROM pr"
 ORACLE["score_all_models"] = f"WITH {EMB} SELECT model, id, label, pred FROM bp"
 ORACLE["one_hot"] = f"WITH {EMB} " + """
@@ -740,3 +751,46 @@ rbags AS (
               ORDER BY md5('{P.BAG_SEED}:bag:' || bag_id || ':' || id), id) AS rk FROM rpairs) p
   JOIN rk_k ON rk_k.bag_id = p.bag_id AND rk_k.label = p.label WHERE p.rk <= rk_k.k)
 SELECT bag_id, id, label FROM rbags"""
+
+# ---------------------------------------------------------------- text learners
+
+TEXT_MODEL = bags_cte("same") + f""",
+tx AS (SELECT id, label, split, {TEXT} AS text FROM split),
+tok AS (SELECT id, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % {P.TEXT_DIMS} AS pos
+        FROM (SELECT id, unnest({WORDS}) AS w FROM tx)),
+tf AS (SELECT id, pos, count(*) / CAST(sum(count(*)) OVER (PARTITION BY id) AS DOUBLE) AS v
+       FROM tok GROUP BY id, pos),
+cn AS (SELECT bag_id AS model, label, count(*) AS n FROM bags GROUP BY bag_id, label),
+ct AS (SELECT b.bag_id AS model, b.label, tf.pos, sum(tf.v) AS s
+       FROM bags b JOIN tf ON tf.id = b.id GROUP BY ALL),
+w AS (SELECT ct.model, ct.label, ct.pos, ct.s / cn.n AS w
+      FROM ct JOIN cn ON cn.model = ct.model AND cn.label = ct.label),
+hit AS (SELECT t.id, w.model, w.label AS cls, sum(tf.v * w.w) AS s
+        FROM tx t JOIN tf ON tf.id = t.id JOIN w ON w.pos = tf.pos
+        WHERE t.split = 'test' GROUP BY ALL),
+sc AS (SELECT t.id, t.label, cn.model, cn.label AS cls, {P.TEXT_SCALE} * coalesce(h.s, 0) AS s
+       FROM tx t CROSS JOIN cn
+       LEFT JOIN hit h ON h.id = t.id AND h.model = cn.model AND h.cls = cn.label
+       WHERE t.split = 'test'),
+ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY model, id)) AS e FROM sc),
+pr AS (SELECT model, id, label, cls, e / sum(e) OVER (PARTITION BY model, id) AS p FROM ex),
+bp AS (SELECT model, id, label, cls AS pred FROM pr
+       QUALIFY row_number() OVER (PARTITION BY model, id ORDER BY round(p, 9) DESC, cls) = 1),
+pm AS (SELECT id, label, cls, avg(p) AS p FROM pr GROUP BY id, label, cls),
+mean_pred AS (SELECT id, label, cls AS pred FROM pm
+              QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(p, 9) DESC, cls) = 1),
+vote_pred AS (SELECT id, label, pred FROM bp GROUP BY id, label, pred
+              QUALIFY row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, pred) = 1),
+cls AS (SELECT label FROM dim),
+ens AS (SELECT 'mean' AS agg_fn, id, label, pred FROM mean_pred
+        UNION ALL SELECT 'vote' AS agg_fn, id, label, pred FROM vote_pred)"""
+
+ORACLE["text_bagging_summary"] = f"WITH {TEXT_MODEL}, {per_class_sql('ens', 'agg_fn')} " + """
+SELECT a.agg_fn, a.n, a.accuracy, m.precision, m.recall, m.f1score
+FROM (SELECT agg_fn, count(*) AS n, avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) AS accuracy
+      FROM ens GROUP BY agg_fn) a JOIN macro m ON m.agg_fn = a.agg_fn"""
+
+ORACLE["inference_codes"] = f"WITH {TEXT_MODEL} " + """
+SELECT m.id, substr(d.digit, 1, 1) AS digit_1, substr(d.digit, 2, 2) AS digit_2,
+       substr(d.digit, 4) AS digit_3
+FROM mean_pred m JOIN dim d ON d.label = m.pred"""

@@ -14,9 +14,11 @@ EMB_MODEL_TYPES = (("bert", 2), ("gpt", 2))   # learner types and counts
 BATCH_SIZE = 32
 EMB_CLASSES = 10
 PATIENCE = 5
-MAX_LEN = 16             # encoded length
-VOCAB_SIZE = 500
+MAX_LEN = 50             # encoded length
+VOCAB_SIZE = 30_000
 TOP_K = 5                # subset rankings
 PREVIEW_N = 5
 VIEW_OF_TYPE = {"bert": "word", "gpt": "char3"}
 HEAD_EPOCHS = 15
+TEXT_DIMS = 64           # hashed text features
+TEXT_SCALE = 50.0

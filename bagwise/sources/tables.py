@@ -21,8 +21,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def records_view(documents: DataFrame) -> DataFrame:
     """Labelled records from ``documents``: id, digit_1 STRING, digit_2 INT,
-    digit_3 BIGINT, text_obj/mthd/deal (first three lines, null if missing)."""
-    lines = F.split(F.col("text"), "\n")
+    digit_3 BIGINT, text_obj/mthd/deal (first line, second line and all the
+    others; null if missing), so the fields hold the whole text."""
+    lines = F.split(F.col("text"), "\n", 3)
     d2 = F.expr("cast(substring(source, 4) as int) % 5")
     base = documents.select(
         F.col("doc_id").alias("id"),
