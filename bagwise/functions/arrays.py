@@ -12,6 +12,12 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once: the optimizer puts an
+    expression named in a lambda in its place, once per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(scores) -> Column:
     """exp(s - max) / sum (P11), in one pass: the accumulator keeps the
     running max and the sum rescaled to it; the finish step builds the

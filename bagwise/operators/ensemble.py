@@ -1,8 +1,9 @@
 """Ensembles of base-model probabilities.
 
-Input is the long prediction table (model, id, label, prob ARRAY<DOUBLE>).
-One shuffle on id gathers the models of a document (at most one row per
-model, so a group is bounded by the number of models)."""
+Input is either the wide prediction table (keys..., scores of all models),
+which needs no shuffle, or the long one (model, keys..., prob ARRAY<DOUBLE>),
+whose models are gathered by one shuffle on the keys (a group is bounded by
+the number of models)."""
 
 from __future__ import annotations
 
@@ -14,6 +15,8 @@ from bagwise.functions.arrays import argmax, class_counts, elementwise_mean
 
 def gather_models(preds: DataFrame, keys=("id", "label")) -> DataFrame:
     """(keys..., probs ARRAY<ARRAY<DOUBLE>>) ordered by model."""
+    if "scores" in preds.columns:
+        return preds.select(*keys, F.col("scores.prob").alias("probs"))
     return (preds.groupBy(*keys)
             .agg(F.sort_array(F.collect_list(F.struct("model", "prob"))).alias("_mp"))
             .select(*keys, F.col("_mp.prob").alias("probs")))

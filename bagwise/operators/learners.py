@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagwise.functions.arrays import argmax, dot, softmax
+from bagwise.functions.arrays import argmax, dot, let, softmax
 from bagwise.operators.strata import checked_broadcast
 
 
@@ -50,18 +50,40 @@ def fit_centroids(train: DataFrame, models: int | None = None, width: int | None
 def score_centroids(docs: DataFrame, model_table: DataFrame, scale: float = 1.0,
                     width: int | None = None, model_col: str = "model",
                     vec_col: str = "vec", keep: Sequence[str] = ("id", "label")) -> DataFrame:
-    """Every doc scored by every model (M6, M7): (model, keep..., prob
-    ARRAY<DOUBLE>) with prob[i] for class labels[i]; labels are 0..C-1.
-
-    The model table is model-sized and broadcast after a size check; the
-    docs side is never shuffled."""
-    mt = checked_broadcast(model_table)
-    ids = [r[0] for r in model_table.select(model_col).orderBy(model_col).collect()]
-    d = docs.withColumn(model_col, F.explode(F.array(*[F.lit(i) for i in ids])))
-    d = d.join(mt, model_col)
-    d = d.withColumn("_v", feature_slice(vec_col, model_col, width))
-    d = d.withColumn("_s", F.transform(F.col("W"), lambda w: F.lit(scale) * dot("_v", w)))
-    return d.select(model_col, *keep, softmax("_s").alias("prob"))
+    """Every doc scored by every model, long form (M6, M7): (model, keep...,
+    prob ARRAY<DOUBLE>) with prob[i] for class labels[i]; labels are 0..C-1."""
+    return scores_long(score_wide(docs, model_table, scale, width, model_col, vec_col, keep), model_col, keep)
+
+
+def scores_long(wide: DataFrame, model_col: str = "model", keep: Sequence[str] = ("id", "label")) -> DataFrame:
+    """(model, keep..., prob), a row per model, of ``score_wide`` rows."""
+    return wide.select(*keep, F.explode("scores").alias("_m")).select(
+        F.col(f"_m.{model_col}").alias(model_col), *keep, F.col("_m.prob").alias("prob"))
+
+
+def score_wide(docs: DataFrame, model_table: DataFrame, scale: float = 1.0,
+               width: int | None = None, model_col: str = "model",
+               vec_col: str = "vec", keep: Sequence[str] = ("id", "label")) -> DataFrame:
+    """(keep..., scores ARRAY<STRUCT<model, prob>> in model order): all models
+    of a document in its row, so ensembles need no shuffle.
+
+    The models become one row (model-sized) that is broadcast after a size
+    check; the docs side is never shuffled."""
+    table = model_table.agg(F.sort_array(F.collect_list(F.struct(model_col, "W"))).alias("_models"))
+    d = docs.withColumn("_one", F.lit(1)).join(
+        checked_broadcast(table.withColumn("_one", F.lit(1))), "_one")
+
+    def part(m) -> F.Column:
+        whole = F.col(vec_col)
+        return whole if width is None else F.slice(whole, m[model_col] * width + 1, width)
+
+    def prob(m) -> F.Column:
+        return let(part(m), lambda v: let(
+            F.transform(m["W"], lambda w: F.lit(scale) * dot(v, w)), softmax))
+
+    scores = F.transform("_models", lambda m: F.struct(
+        m[model_col].alias(model_col), prob(m).alias("prob")))
+    return d.select(*keep, scores.alias("scores"))
 
 
 def predict(scored: DataFrame, places: int = 9) -> DataFrame:

@@ -3,8 +3,9 @@
 All 2^k - 1 model subsets are scored with the mean ensemble.  Scoring is a
 ``mapInPandas`` over documents that hold every model's probabilities: each
 task walks the subset tree depth-first (a subset's sum = its parent's sum +
-one model, so only k partial sums are alive) and emits confusion counts per
-(subset, label, pred) only; Spark sums them.  Documents x subsets rows are
+one model, so only k partial sums are alive) and adds up, over its whole
+partition, true, predicted and correct counts per (subset, class) -- arrays
+of 2^k x classes -- which it emits once; Spark sums them.  Documents x subsets rows are
 never materialised."""
 
 from __future__ import annotations
@@ -36,43 +37,52 @@ def subset_table(spark: SparkSession, names: Sequence[str]) -> DataFrame:
                                  "|").alias("subset"))
 
 
+# documents whose partial sums are alive at a time
+SUBSET_DOCS = 2_000
+
+
 def _subset_counts(k: int, places: int):
     def fn(batches):
+        n_true = n_pred = tp = None
         for pdf in batches:
-            if pdf.empty:
-                continue
-            P = np.stack([np.stack(x) for x in pdf["probs"].to_numpy()])  # (B, k, C)
-            y = pdf["label"].to_numpy().astype(np.int64)
-            B, _, C = P.shape
-            out_mask, out_code, out_n = [], [], []
-
-            def visit(start, mask, acc, size):
-                for m in range(start, k):
-                    nmask = mask | (1 << m)
-                    s = acc + P[:, m, :]
-                    mean = np.round(s / (size + 1), places)
-                    pred = mean.argmax(axis=1)          # first maximum
-                    codes, n = np.unique(y * C + pred, return_counts=True)
-                    out_mask.append(np.full(len(codes), nmask, dtype=np.int64))
-                    out_code.append(codes)
-                    out_n.append(n)
-                    visit(m + 1, nmask, s, size + 1)
-
-            visit(0, 0, np.zeros((B, C)), 0)
-            codes = np.concatenate(out_code)
-            yield pd.DataFrame({"mask": np.concatenate(out_mask),
-                                "label": (codes // C).astype(np.int32),
-                                "pred": (codes % C).astype(np.int32),
-                                "n": np.concatenate(out_n).astype(np.int64)})
+            for at in range(0, len(pdf), SUBSET_DOCS):
+                part = pdf.iloc[at:at + SUBSET_DOCS]
+                P = np.stack([np.stack(x) for x in part["probs"].to_numpy()])  # (B, k, C)
+                y = part["label"].to_numpy().astype(np.int64)
+                B, _, C = P.shape
+                if tp is None:
+                    n_true = np.zeros(C, dtype=np.int64)
+                    n_pred, tp = np.zeros((1 << k, C), dtype=np.int64), np.zeros((1 << k, C), dtype=np.int64)
+                n_true += np.bincount(y, minlength=C)
+
+                def visit(start, mask, acc, size):
+                    for m in range(start, k):
+                        nmask = mask | (1 << m)
+                        s = acc + P[:, m, :]
+                        pred = np.round(s / (size + 1), places).argmax(axis=1)   # first maximum
+                        n_pred[nmask] += np.bincount(pred, minlength=C)
+                        tp[nmask] += np.bincount(y[pred == y], minlength=C)
+                        visit(m + 1, nmask, s, size + 1)
+
+                visit(0, 0, np.zeros((B, C)), 0)
+        if tp is not None:
+            for first in range(1, 1 << k, 1024):      # mask 0 carries the true counts
+                mask, label = np.nonzero(n_pred[first:first + 1024])
+                yield pd.DataFrame({"mask": mask + first, "label": label.astype(np.int32), "n_true": 0,
+                                    "n_pred": n_pred[mask + first, label], "tp": tp[mask + first, label]})
+            label = np.flatnonzero(n_true)
+            yield pd.DataFrame({"mask": 0, "label": label.astype(np.int32), "n_true": n_true[label],
+                                "n_pred": 0, "tp": 0})
     return fn
 
 
-def subset_confusion(gathered: DataFrame, k: int, places: int = 9) -> DataFrame:
-    """(mask, label, pred, n) over all subsets; ``gathered`` has (label,
-    probs ARRAY<ARRAY<DOUBLE>>) with models in sorted-name order (C2, J9)."""
+def subset_counts(gathered: DataFrame, k: int, places: int = 9) -> DataFrame:
+    """(mask, label, n_true, n_pred, tp) over all subsets, n_true under mask 0;
+    ``gathered`` has (label, probs ARRAY<ARRAY<DOUBLE>>) with models in
+    sorted-name order (C2, J9).  A task holds 2 x 2^k x classes counts."""
     counts = gathered.select("label", "probs").mapInPandas(
-        _subset_counts(k, places), "mask long, label int, pred int, n long")
-    return counts.groupBy("mask", "label", "pred").agg(F.sum("n").alias("n"))
+        _subset_counts(k, places), "mask long, label int, n_true long, n_pred long, tp long")
+    return counts.groupBy("mask", "label").agg(*[F.sum(c).alias(c) for c in ("n_true", "n_pred", "tp")])
 
 
 def subset_metrics(gathered: DataFrame, names: Sequence[str], classes: DataFrame,
@@ -80,18 +90,14 @@ def subset_metrics(gathered: DataFrame, names: Sequence[str], classes: DataFrame
     """(subset, size, accuracy, precision, recall, f1score) per subset."""
     spark = gathered.sparkSession
     k = len(names)
-    cm = subset_confusion(gathered, k, places)
-    # expand counts to rows for the per-class scorer: weight by n instead
-    tot = cm.groupBy("mask").agg(
-        (F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0))
-         / F.sum("n")).alias("accuracy"))
-    true = cm.groupBy("mask", "label").agg(F.sum("n").alias("n_true"),
-                                           F.sum(F.when(F.col("label") == F.col("pred"),
-                                                        F.col("n")).otherwise(0)).alias("tp"))
-    npred = cm.groupBy("mask", F.col("pred").alias("label")).agg(F.sum("n").alias("n_pred"))
+    from bagwise.session import materialize
+    counts = materialize(subset_counts(gathered, k, places))
+    found = counts.where(F.col("mask") > 0).drop("n_true")
+    true = counts.where(F.col("mask") == 0).select("label", "n_true")
+    tot = found.groupBy("mask").agg((F.sum("tp") / F.sum("n_pred")).alias("accuracy"))
     subs = subset_table(spark, names)
     grid = class_grid(classes, subs.select("mask"))
-    pc = (grid.join(true, ["mask", "label"], "left").join(npred, ["mask", "label"], "left")
+    pc = (grid.join(found, ["mask", "label"], "left").join(true, "label", "left")
           .fillna(0, subset=["n_true", "tp", "n_pred"]))
     p = F.when(F.col("n_pred") == 0, 0.0).otherwise(F.col("tp") / F.col("n_pred"))
     r = F.when(F.col("n_true") == 0, 0.0).otherwise(F.col("tp") / F.col("n_true"))

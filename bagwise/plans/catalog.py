@@ -241,12 +241,17 @@ def emb_models(spark, sf):
                                   models=tables.EMB_MODELS, width=tables.EMB_SLICE)
 
 
-def emb_scored(spark, sf, which=("test",)):
-    """(model, id, label, split, prob) for the rows of the given splits."""
+def emb_wide(spark, sf, which=("test",)):
+    """(id, label, split, scores of all models) for the rows of the given splits."""
     rows = emb_rows(spark, sf).where(F.col("split").isin(*which))
-    sc = learners.score_centroids(rows, emb_models(spark, sf), scale=tables.EMB_SCALE,
-                                  width=tables.EMB_SLICE, keep=("id", "label", "split"))
-    return materialize(sc)
+    return learners.score_wide(rows, emb_models(spark, sf), scale=tables.EMB_SCALE,
+                               width=tables.EMB_SLICE, keep=("id", "label", "split"))
+
+
+def emb_scored(spark, sf, which=("test",), wide=None):
+    """(model, id, label, split, prob) for the rows of the given splits."""
+    wide = wide if wide is not None else materialize(emb_wide(spark, sf, which))
+    return learners.scores_long(wide, keep=("id", "label", "split"))
 
 
 def emb_base(spark, sf, sc=None):
@@ -255,8 +260,8 @@ def emb_base(spark, sf, sc=None):
     return sc.withColumn("pred", argmax("prob")).withColumn("loss", ce_row("prob", "label"))
 
 
-def emb_ensemble(spark, sf, sc=None):
-    ens = ensemble.mean_and_vote(sc if sc is not None else emb_scored(spark, sf))
+def emb_ensemble(spark, sf, wide=None):
+    ens = ensemble.mean_and_vote(wide if wide is not None else emb_wide(spark, sf))
     return ens.withColumn("loss_mean", ce_row("prob_mean", "label"))
 
 
@@ -316,12 +321,12 @@ def q_one_hot(spark, sf):
 
 @query("ensemble_mean")
 def q_ensemble_mean(spark, sf):
-    return ensemble.mean_ensemble(emb_scored(spark, sf)).select("id", "label", "pred")
+    return ensemble.mean_ensemble(emb_wide(spark, sf)).select("id", "label", "pred")
 
 
 @query("ensemble_vote")
 def q_ensemble_vote(spark, sf):
-    return ensemble.vote_ensemble(emb_scored(spark, sf)).select("id", "label", "pred")
+    return ensemble.vote_ensemble(emb_wide(spark, sf)).select("id", "label", "pred")
 
 
 @query("ensemble_submission")
@@ -333,7 +338,7 @@ def q_ensemble_submission(spark, sf):
 
 
 def _ens_long(spark, sf):
-    ens = emb_ensemble(spark, sf)
+    ens = materialize(emb_ensemble(spark, sf))
     return (ens.select(F.lit("mean").alias("agg_fn"), "id", "label",
                        F.col("pred_mean").alias("pred"))
             .unionByName(ens.select(F.lit("vote").alias("agg_fn"), "id", "label",
@@ -447,8 +452,9 @@ def q_class_epoch_pivot(spark, sf):
 
 @query("test_summary")
 def q_test_summary(spark, sf):
-    sc = emb_scored(spark, sf)
-    return reports.test_summary(emb_ensemble(spark, sf, sc), emb_base(spark, sf, sc),
+    wide = materialize(emb_wide(spark, sf))
+    sc = emb_scored(spark, sf, wide=wide)
+    return reports.test_summary(emb_ensemble(spark, sf, wide), emb_base(spark, sf, sc),
                                 emb_classes(spark, sf))
 
 
@@ -563,8 +569,8 @@ def q_route_views(spark, sf):
 # ------------------------------------------------------------ text learners, end to end
 
 def text_scored(spark, sf, keys=("id", "label")):
-    """(model, keys..., prob) of the hold-out rows by one centroid learner per
-    bag over hashed text features, and the label dictionary."""
+    """(keys..., scores of all models) of the hold-out rows by one centroid
+    learner per bag over hashed text features, and the label dictionary."""
     from bagwise.operators.textfeat import hashed_terms
     sp, dim = split_rows(spark, sf)
     texts = sp.select("id", concat_text().alias("text"))
@@ -573,8 +579,8 @@ def text_scored(spark, sf, keys=("id", "label")):
     bags = same_bags(spark, sf, train=train.drop("split"))
     model = learners.fit_centroids(
         bags.select(F.col("bag_id").alias("model"), "id", "label").join(vecs, "id"))
-    scored = learners.score_centroids(test.select(*keys).join(vecs, "id"), materialize(model),
-                                      scale=P.TEXT_SCALE, keep=keys)
+    scored = learners.score_wide(test.select(*keys).join(vecs, "id"), materialize(model),
+                                 scale=P.TEXT_SCALE, keep=keys)
     return materialize(scored), dim
 
 
