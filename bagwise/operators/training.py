@@ -160,6 +160,17 @@ def train_head(train: DataFrame, valid: DataFrame, classes: DataFrame, num_class
     return Head(best[2], best[3], best[1], hist)
 
 
+def save_head(spark, head: Head, path: str) -> None:
+    """Write the best state (M9) as a model-sized Parquet table."""
+    head_table(spark, head).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_head(spark, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(W, b) of a saved head, for ``score_head``; a row per class."""
+    rows = spark.read.parquet(path).orderBy("label").collect()
+    return np.array([r["w"] for r in rows]), np.array([r["b"] for r in rows])
+
+
 def head_table(spark, head: Head) -> DataFrame:
     """(label, w ARRAY<DOUBLE>, b) of a trained head (model-sized)."""
     return spark.createDataFrame([(c, [float(v) for v in head.W[c]], float(head.b[c]))
