@@ -69,9 +69,12 @@ def score_wide(docs: DataFrame, model_table: DataFrame, scale: float = 1.0,
 
     The models become one row (model-sized) that is broadcast after a size
     check; the docs side is never shuffled."""
-    table = model_table.agg(F.sort_array(F.collect_list(F.struct(model_col, "W"))).alias("_models"))
-    d = docs.withColumn("_one", F.lit(1)).join(
-        checked_broadcast(table.withColumn("_one", F.lit(1))), "_one")
+    # The key is 0 on both sides, worked out from a column: a hash join with
+    # one broadcast row, where a constant key would become a nested loop.
+    table = model_table.agg(F.sort_array(F.collect_list(F.struct(model_col, "W"))).alias("_models"),
+                            F.min(F.pmod(F.col(model_col).cast("long"), F.lit(1))).alias("_zero"))
+    d = docs.withColumn("_zero", F.pmod(F.xxhash64("id"), F.lit(1))).join(
+        checked_broadcast(table), "_zero")
 
     def part(m) -> F.Column:
         whole = F.col(vec_col)
