@@ -104,12 +104,13 @@ def references(indexed: DataFrame) -> DataFrame:
     """Per document, its anchors that stand in several documents, each with
     the first place in the first of these: doc, print, found."""
     each = indexed.select("doc", "print", F.inline("anchors"))
-    first = each.groupBy(F.col("hash").alias("same")).agg(
-        F.min(F.struct("doc", "at")).alias("ref"), F.max("doc").alias("last"))
-    several = materialize(first.where("ref.doc < last").select("same", "ref"))
-    shared = each.join(several, F.col("hash") == F.col("same")).select(
-        "doc", "print", F.struct("at", F.col("ref.doc").alias("ref"), F.col("ref.at").alias("ref_at")).alias("f"))
-    return shared.groupBy("doc", "print").agg(F.collect_set("f").alias("found"))
+    first = each.groupBy(F.col("hash").alias("same")).agg(F.min("doc").alias("ref"), F.max("doc").alias("last"))
+    several = materialize(first.where("ref < last").select("same", "ref"))
+    shared = materialize(each.join(several, F.col("hash") == F.col("same")).select("doc", "print", "hash", "at", "ref"))
+    places = materialize(shared.where("doc = ref").groupBy(F.col("hash").alias("same")).agg(
+        F.min("at").alias("ref_at")))
+    found = shared.join(places, F.col("hash") == F.col("same"))
+    return found.groupBy("doc", "print").agg(F.collect_set(F.struct("at", "ref", "ref_at")).alias("found"))
 
 
 def parse(words: np.ndarray, at: np.ndarray, ref: np.ndarray, ref_at: np.ndarray,
