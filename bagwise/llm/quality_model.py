@@ -11,7 +11,7 @@ posteriors and judges every document; labels are not used.
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,8 @@ from bagwise.llm.weak_labels import estimate
 from bagwise.session import materialize
 
 HASHED = 1 << 12
+#: Hashed positions of the binned measures.
+BINS = 1 << 9
 #: The scorer is fitted on this many documents at most, drawn by a hash of
 #: doc_id and text; labelers, EM and scores cover all.
 TRAIN_ROWS = 20_000
@@ -37,15 +39,26 @@ def shaped(text: Column) -> Column:
     return words_of(text)
 
 
+def count_of(text: Column, part: str) -> Column:
+    """How often ``part`` occurs."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
+
+
+def chars_of(text: Column, pattern: str) -> Column:
+    """Characters in matches of a pattern."""
+    return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
+
+
 def labelers() -> dict[str, Column]:
     """1 where the labeler fires (evidence of junk), else 0."""
     n = F.greatest(F.col("n_words"), F.lit(1))
+    letters = F.greatest(F.col("n_upper") + F.col("n_lower"), F.lit(1))
     fires = {
         "symbols": F.col("n_symbols") / n >= 0.3,
-        "capitals": (F.col("n_capital") / n >= 0.5) & (F.col("n_words") >= 8),
+        "symbol_runs": F.col("n_symbol_runs") / n >= 0.5,
+        "capitals": (F.col("n_upper") / letters >= 0.5) & (F.col("n_words") >= 8),
         "shouting": F.col("n_shout") / n >= 0.2,
         "cells": F.col("n_cells") / n >= 0.1,
-        "odd_words": (F.col("n_plain") / n < 0.5) & (F.col("n_words") >= 8),
         "repeats": F.col("n_repeat_words") / n >= 0.3,
         "loops": F.col("n_repeat_words") / n >= 0.5,
         "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)) >= 0.5,
@@ -67,23 +80,23 @@ def observe(docs: DataFrame) -> DataFrame:
     """doc_id, prints, n_words, firings and hashed features of every row,
     kept in the checkpoint folder; the text is read once."""
     text = text_or_empty(F.col("text"))
-    rows = docs.select("doc_id", *prints(), base_measures(text).alias("m"), shaped(text).alias("shapes"))
-
-    def count(test) -> Column:
-        return F.size(F.filter("shapes", test)).cast("long")
-
-    rows = rows.select(
-        "doc_id", "print", "print2", "m.*", "shapes",
-        count(lambda w: w.rlike("^A[^a]*$")).alias("n_capital"), count(lambda w: w.rlike("!!")).alias("n_shout"),
-        count(lambda w: w.isin("|", "||")).alias("n_cells"),
-        count(lambda w: w.rlike("^[\"'(¿¡]?(A|a|Aa|9)[.,;:!?\"')]{0,2}$")).alias("n_plain"))
+    rows = docs.select(
+        "doc_id", *prints(), base_measures(text).alias("m"), shaped(text).alias("shapes"),
+        chars_of(text, "[#*$%&]{2,}").alias("n_symbol_runs"), chars_of(text, "\\p{Lu}+").alias("n_upper"),
+        chars_of(text, "\\p{Ll}+").alias("n_lower"), count_of(text, "!!").alias("n_shout"),
+        count_of(text, " | ").alias("n_cells")).select("*", "m.*").drop("m")
     n, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
-    measures = F.array(*[share_bin(k, F.col(k) / n) for k in (
-        "n_symbols", "n_capital", "n_shout", "n_cells", "n_plain", "n_repeat_words")],
-        share_bin("n_dup_lines", F.col("n_dup_lines") / lines))
-    rows = rows.withColumn("words", F.concat("shapes", F.flatten(F.array_repeat(measures, F.size("shapes") + 1))))
-    hashed = Normalizer(inputCol="tf", outputCol="features").transform(
-        HashingTF(numFeatures=HASHED, inputCol="words", outputCol="tf").transform(rows))
+    letters = F.greatest(F.col("n_upper") + F.col("n_lower"), F.lit(1))
+    rows = rows.withColumn("bins", F.array(
+        *[share_bin(k, F.col(k) / n) for k in ("n_symbols", "n_symbol_runs", "n_shout", "n_cells", "n_repeat_words")],
+        share_bin("n_upper", F.col("n_upper") / letters), share_bin("n_dup_lines", F.col("n_dup_lines") / lines)))
+    steps = [HashingTF(numFeatures=HASHED, inputCol="shapes", outputCol="tf"),
+             Normalizer(inputCol="tf", outputCol="shape_share"),
+             HashingTF(numFeatures=BINS, inputCol="bins", outputCol="binned"),
+             VectorAssembler(inputCols=["shape_share", "binned"], outputCol="features")]
+    hashed = rows
+    for step in steps:
+        hashed = step.transform(hashed)
     return materialize(hashed.select("doc_id", "print", "print2", "n_words", "features",
                                      *[v.alias(f"fires_{k}") for k, v in labelers().items()]))
 
