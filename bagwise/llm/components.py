@@ -16,15 +16,14 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours', and then its label's label, so labels travel over paths in
     steps that double.  Rounds write tables to the checkpoint folder; only
     the number of changes reaches the driver."""
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()
-    both = materialize(both)
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select(
         "node", F.least("node", "near").alias("component")))
     while True:
-        offered = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(
-            F.min("component").alias("offer"))
-        nearer = labels.join(offered, "node").select(
-            "node", F.col("component").alias("was"), F.least("component", "offer").alias("component"))
+        offered = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "component")
+        own = labels.select("node", "component", F.col("component").alias("was"))
+        nearer = own.unionByName(offered, allowMissingColumns=True).groupBy("node").agg(
+            F.min("component").alias("component"), F.max("was").alias("was"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
         moved = materialize(nearer.join(up, "component").select(
             "node", "was", F.least("component", "above").alias("component")))

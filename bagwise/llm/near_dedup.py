@@ -8,13 +8,15 @@ candidates; the joint likelihood of two sketches, given both set sizes, sets
 aside those that the threshold all but rules out; the others are verified on
 their full shingle sets.
 
-Bands are not multiplied out.  Texts with equal sets are one node.  In every
-band bucket one member, a lead, is compared with the others; nodes linked so
-far are one component, and a bucket is done when its members are in one
-component or every member outside the largest has been a lead.  Buckets that
-hold many components are divided by further registers first.  So the
-components are those of all pairs that share a band, found in rounds of about
-as many comparisons as there are bucket members.
+Bands are not multiplied out.  Texts with equal sets are one node.  A node
+whose set is too much its own (shingles that no other bucket member has) has
+no link and goes.  In every band bucket one member, a lead, is compared with
+the others; nodes linked so far are one component.  Then the members outside
+the largest component lead, and are compared with the members of other
+components whose own shingles leave room for the threshold, until a bucket is
+one component or each of them has led.  Buckets that hold many components are
+divided by further registers first.  So the components are those of all pairs
+that share a band, without comparing all pairs.
 """
 
 from __future__ import annotations
@@ -44,8 +46,8 @@ LIMIT = (1 << 16) - 2
 #: estimate by this factor (natural logarithm).
 SET_ASIDE = 14.0
 #: Leads of a bucket in one round, and components in a bucket that is divided first.
-LEADS = 8
-CROWDED = 256
+LEADS = 512
+CROWDED = 4096
 
 _DRAWN = np.random.default_rng(4_060)
 MULTIPLIERS = _DRAWN.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,26 +145,47 @@ def _plausible(threshold: float):
     return run
 
 
+def _shingled(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, nodes = batch.column("text"), batch.column("node").to_numpy()
+            for a, e in pieces(texts):
+                hashes, at = hash_words(texts[a:e], lower=True)
+                sets = [shingles(hashes[i:j], words) for i, j in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(nodes[a:e], [len(s) for s in sets])),
+                     pa.array(np.concatenate(sets).view(np.int64))], names=["node", "hash"])
+    return run
+
+
+VERIFIED = "a long, b long, n_a long, common long, linked boolean"
+
+
 def _verified(words: int, per_cent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("common", pa.int64()),
+                        ("linked", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
-            linked = []
+            rows = []
             for a, b, left, right in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(),
                                          batch.column("text_a"), batch.column("text_b")):
                 if a != last:
                     last, held = a, shingles(hash_words(pa.array([left.as_py()]), True)[0], words)
                 other = shingles(hash_words(pa.array([right.as_py()]), True)[0], words)
                 common = len(np.intersect1d(held, other, assume_unique=True))
-                if 100 * common >= per_cent * (len(held) + len(other) - common):
-                    linked.append((a, b))
+                rows.append((a, b, len(held), common, 100 * common >= per_cent * (len(held) + len(other) - common)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in linked], pa.int64()) for i in (0, 1)], schema=schema)
+                [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
     return run
 
 
+#: What a bucket member carries: the bucket's band (-1: a divided bucket) and its own keys of all bands, its
+#: shingles n, of which u its own, the lead it met, the lead's shingles and what it lacks of them.
+MEMBER = ("node", "band", "bands", "n", "u", "lead", "n_lead", "lack")
+
+
 class Search:
     """The rounds over one corpus.  Nodes are distinct shingle sets."""
 
@@ -170,97 +193,151 @@ class Search:
         small_batches(docs)
         self.words, self.per_cent = words, per_cent
         self.rows = sketch(docs, words)
-        first = self.rows.where("n > 0").groupBy("set").agg(F.min("row").alias("node"))
-        self.classes = materialize(first)
+        one = F.min_by(F.struct("n", "print", "print2", "regs"), "row").alias("of")
+        self.classes = materialize(self.rows.where("n > 0").groupBy("set").agg(
+            F.min("row").alias("node"), one).select("set", "node", "of.*"))
         # Sets too small to reach the threshold unless equal take no part: n - 1 of n is too little.
         least = -(-per_cent // (100 - per_cent)) if per_cent < 100 else 1 << 62
-        nodes = self.rows.join(first.select(F.col("node").alias("row")), "row").where(F.col("n") >= least)
-        self.nodes = materialize(nodes.select(F.col("row").alias("node"), "print", "print2", "n", "regs"))
-        bands = F.array(*[F.xxhash64(F.lit(i), register_slice(i * ROWS, ROWS)) for i in range(BANDS)])
-        self.buckets = self._shared(self.nodes.select(F.explode(bands).alias("key"), "node"))
+        self.nodes = self.classes.where(F.col("n") >= least).drop("set")
+        self.bands = F.array(*[F.xxhash64(F.lit(i), register_slice(i * ROWS, ROWS)) for i in range(BANDS)])
+        self.buckets = self._shared(self.nodes.select(F.posexplode(self.bands).alias("band", "key"), "node"))
         self.texts = self._texts(docs)
-        self.edges = None
-        self.tested = None
+        self.buckets = self._hopeful()
+        self.links: list[DataFrame] = []
 
     def _shared(self, rows: DataFrame) -> DataFrame:
-        """The rows of keys with more than one node."""
-        keys = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
+        """The rows of keys with more than one node, with the least node."""
+        keys = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+        keys = materialize(keys.where("least < most").select("key", "least"))
         return materialize(rows.join(keys, "key"))
 
     def _texts(self, docs: DataFrame) -> DataFrame:
         """(node, text) of the nodes in buckets."""
-        wanted = self.nodes.join(self.buckets.select("node").distinct(), "node", "left_semi")
-        found = docs.select(*prints(), "text").join(
-            materialize(wanted.select("print", "print2", "node")), ["print", "print2"])
+        wanted = self.nodes.join(self.buckets.select("node"), "node", "left_semi").select("print", "print2", "node")
+        found = docs.select(*prints(), "text").join(wanted, ["print", "print2"])
         once = F.row_number().over(Window.partitionBy("print", "print2").orderBy("node"))
         return materialize(found.withColumn("k", once).where("k = 1").select("node", "text"))
 
-    def compare(self, pairs: DataFrame) -> None:
-        """Verify (a, b) pairs that are new; the links join ``edges``."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+    def _hopeful(self) -> DataFrame:
+        """(key, node, n, u) of the bucket members that can have a link: u of
+        a node's n shingles stand in no other member of any bucket, so no
+        other set shares more than n - u of them."""
+        each = self.texts.mapInArrow(_shingled(self.words), "node long, hash long")
+        once = each.groupBy("hash").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("c")).where("c = 1")
+        alone = once.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+        sizes = self.nodes.select("node", "n", self.bands.alias("bands")).join(alone, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+        hopeful = (F.col("n") - F.col("u")) * 100 >= F.col("n") * self.per_cent
+        return materialize(self.buckets.select("key", "band", "node").join(sizes.where(hopeful), "node"))
+
+    def possible(self) -> Column:
+        """Whether a and b can reach the threshold.  Their own shingles lie
+        outside each other.  If both met the same lead, what they lack of it
+        differs by the difference of the counts at least, and that adds to
+        their own shingles; and they share of the lead no more than either
+        has of it, and outside it no more than either has there that is not
+        its own.  The lead itself has met them."""
+        common = F.least(F.col("n_a") - F.col("u_a"), F.col("n_b") - F.col("u_b"))
+        room = common * 100 >= F.greatest(F.col("n_a") + F.col("u_b"), F.col("n_b") + F.col("u_a")) * self.per_cent
+        apart = F.col("u_a") + F.col("u_b") + F.abs(F.col("lack_a") - F.col("lack_b"))
+        both = F.col("n_a") + F.col("n_b")
+        outside = [F.col(f"n_{x}") - F.col(f"n_lead_{x}") + F.col(f"lack_{x}") - F.col(f"u_{x}") for x in "ab"]
+        shared = F.col("n_lead_a") - F.greatest("lack_a", "lack_b") + F.least(*outside)
+        near = ((both - apart) * 100 >= (both + apart) * self.per_cent) & (
+            shared * 100 >= (both - shared) * self.per_cent) & (
+            F.col("node_a") != F.col("lead_a")) & (F.col("node_b") != F.col("lead_b"))
+        same = F.coalesce(F.col("lead_a") == F.col("lead_b"), F.lit(False))
+        # A pair is taken up in the first band that it shares.
+        first = [F.slice(F.col(f"bands_{x}"), F.lit(1), F.greatest(F.col("band_a"), F.lit(0))) for x in "ab"]
+        before = F.exists(F.zip_with(*first, lambda x, y: x == y), lambda z: z)
+        return room & (~same | near) & ~before
+
+    def compare(self, pairs: DataFrame) -> DataFrame:
+        """Verify distinct (a, b) pairs; the links are added to ``links``."""
         small = self.nodes.select("node", "n", "regs")
         pairs = pairs.join(small.toDF("b", "n_b", "regs_b"), "b").join(small.toDF("a", "n_a", "regs_a"), "a")
         near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.per_cent
-        likely = materialize(pairs.where(near).select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(
-            _plausible(self.per_cent / 100), "a long, b long"))
+        likely = pairs.where(near).select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(
+            _plausible(self.per_cent / 100), "a long, b long")
         both = likely.join(self.texts.toDF("b", "text_b"), "b").join(self.texts.toDF("a", "text_a"), "a")
-        links = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(
-            _verified(self.words, self.per_cent), "a long, b long"))
-        self.edges = links if self.edges is None else materialize(self.edges.union(links))
-        self.tested = likely if self.tested is None else materialize(self.tested.union(likely))
-
-    def _labelled(self) -> DataFrame:
-        """Buckets with components, of keys that still hold several."""
-        found = components(self.edges).withColumnRenamed("component", "comp")
-        named = materialize(self.buckets.join(found, "node", "left").select(
-            "key", "node", F.coalesce("comp", "node").alias("comp")))
-        several = materialize(named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-                              .where("x <> y").select("key"))
-        return materialize(named.join(several, "key"))
-
-    def _divided(self, named: DataFrame, depth: int) -> DataFrame:
-        """Buckets of many components, divided by other registers; a pair at
-        the threshold stays together in one of the parts with a probability
-        as in the first bands."""
-        crowds = named.groupBy("key", "comp").count().groupBy("key").count().where(F.col("count") > CROWDED)
-        crowds = materialize(crowds.select("key"))
-        if crowds.isEmpty():
-            return named
+        scored = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(
+            _verified(self.words, self.per_cent), VERIFIED))
+        self.links.append(scored.where("linked").select("a", "b"))
+        return scored
+
+    def found(self) -> DataFrame:
+        """(node, component) of every node with a link so far."""
+        edges = self.links[0]
+        for more in self.links[1:]:
+            edges = edges.union(more)
+        return components(edges)
+
+    def _divided(self, named: DataFrame, crowds: DataFrame, depth: int) -> DataFrame:
+        """The crowds' members, divided by other registers; a pair at the
+        threshold stays together in one of the parts with a probability as in
+        the first bands."""
         inside = named.join(crowds, "key").join(self.nodes.select("node", "regs"), "node")
+        names = [F.lit(-1).alias("band") if c == "band" else F.col(c) for c in (*MEMBER, "comp")]
         drawn = np.random.default_rng(depth)
         parts = F.array(*[F.xxhash64("key", F.lit(depth), F.lit(i), F.concat(
             *[register_slice(int(r), 1) for r in drawn.choice(REGISTERS, ROWS, replace=False)]))
             for i in range(BANDS)])
-        split = self._shared(inside.select(F.explode(parts).alias("key"), "node", "comp").distinct())
-        return materialize(named.join(crowds, "key", "left_anti").unionByName(split))
+        return self._shared(inside.select(F.explode(parts).alias("key"), *names)).select("key", *MEMBER, "comp")
+
+    def _sizes(self, named: DataFrame) -> DataFrame:
+        """Of the keys that hold several components: how many, the members,
+        the largest component and its members."""
+        by_comp = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+        by_key = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("members"),
+                                            F.max(F.struct("c", "comp")).alias("top"))
+        return materialize(by_key.where("comps > 1").select(
+            "key", "comps", "members", F.col("top.c").alias("most"), F.col("top.comp").alias("largest")))
 
     def run(self) -> DataFrame:
         """(node, component) of every node with a link."""
-        leads = materialize(self.buckets.groupBy("key").agg(F.min("node").alias("a")))
-        # First each node meets one lead only, the least: most copies link up so.
-        self.compare(self.buckets.join(leads, "key").where("node <> a").groupBy(F.col("node").alias("b"))
-                     .agg(F.min("a").alias("a")))
-        depth = 0
+        # First each node meets one lead only, a member with the fewest shingles of its own: copies of
+        # one text differ least from the one that was changed least.
+        own = F.struct("u", "node")
+        leads = self.buckets.groupBy("key").agg(F.min(own).alias("lead"))
+        first = self.compare(self.buckets.join(leads, "key").where("node <> lead.node").groupBy(F.col("node").alias("b")).agg(
+            F.min("lead").alias("lead")).select("b", F.col("lead.node").alias("a")))
+        # Shingles of its lead that a node lacks; a lead lacks none of its own.
+        lacks = first.select(F.col("b").alias("node"), F.col("a").alias("lead"), F.col("n_a").alias("n_lead"),
+                             (F.col("n_a") - F.col("common")).alias("lack"))
+        lacks = lacks.unionByName(lacks.select(F.col("lead").alias("node"), "lead", "n_lead").distinct().withColumn(
+            "lack", F.lit(0).cast("long")))
+        lacks = materialize(lacks.groupBy("node").agg(
+            F.min(F.struct("lead", "n_lead", "lack")).alias("l")).select("node", "l.*"))
+        depth, found = 0, self.found()
+        buckets = self.buckets.join(lacks, "node", "left")
         while True:
-            named = self._labelled()
-            if named.isEmpty():
-                return components(self.edges)
+            named = materialize(buckets.join(found, "node", "left").select(
+                "key", *MEMBER, F.coalesce("component", "node").alias("comp")))
+            sizes = self._sizes(named)
+            if sizes.isEmpty():
+                return found
+            crowds = sizes.where(F.col("comps") > CROWDED).select("key")
             depth += 1
-            named = self._divided(named, depth) if depth <= 8 else named
-            sizes = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-            largest = sizes.groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("largest"))
-            largest = materialize(largest)
+            if depth <= 8 and not crowds.isEmpty():
+                split = self._divided(named, crowds, depth)
+                named = materialize(named.join(crowds, "key", "left_anti").unionByName(split))
+                sizes = self._sizes(named)
             nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-            leads = named.join(largest, "key").where("comp <> largest").withColumn("nth", nth).where(
-                F.col("nth") <= LEADS).select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-            leads = materialize(leads)
-            self.compare(named.withColumnRenamed("node", "b").join(leads, "key").where("comp <> comp_a")
-                         .select("a", "b"))
-            # A lead has met its whole bucket and leaves it.
-            self.buckets = materialize(named.select("key", "node").join(
-                leads.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti"))
+            leads = materialize(named.join(sizes, "key").where("comp <> largest").withColumn("nth", nth).where(
+                F.col("nth") <= LEADS).select("key", *[F.col(c).alias(f"{c}_a") for c in (*MEMBER, "comp")]))
+            links = len(self.links)
+            met = named.select("key", *[F.col(c).alias(f"{c}_b") for c in (*MEMBER, "comp")]).join(
+                leads, ["key"]).where((F.col("comp_a") != F.col("comp_b")) & self.possible())
+            self.compare(met.select(F.least("node_a", "node_b").alias("a"),
+                                    F.greatest("node_a", "node_b").alias("b")).distinct())
+            if not self.links[links].isEmpty():
+                found = self.found()
+            # A lead has met its whole bucket and leaves it; a bucket all of
+            # whose members outside the largest component were leads is done.
+            more = sizes.where(F.col("members") - F.col("most") > LEADS).select("key")
+            if more.isEmpty():
+                return found
+            buckets = materialize(named.join(more, "key", "left_semi").select("key", *MEMBER).join(
+                leads.select("key", F.col("node_a").alias("node")), ["key", "node"], "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, per_cent: int = THRESHOLD) -> DataFrame:
