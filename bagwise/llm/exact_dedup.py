@@ -22,6 +22,8 @@ from bagwise.session import materialize
 MIN_CHUNK = 512
 MAX_CHUNK = 4096
 SALTS = ("", "b", "c", "d")
+#: A group is hot if it holds more than one row in so many.
+HOT_SHARE = 1000
 
 
 def chunks(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Column:
@@ -53,14 +55,26 @@ def group_rows(rows: DataFrame, order: list[Column]) -> DataFrame:
     """(doc_id, recipe, ...) -> plus keep_id, group_size and kept.
 
     Recipes are compared whole.  Groups are counted with partial sums before
-    the shuffle and joined back, so a third of all rows may be copies of one
-    text.  The row of the largest doc_id stays; of several rows under that
-    doc_id and recipe the first by ``order``.  A null doc_id is smaller than
-    any other; a group of nothing else keeps one row (keep_id null)."""
+    the shuffle and joined back: those of more than one row in HOT_SHARE, of
+    which there are fewer than HOT_SHARE, by broadcast, so that a third of all
+    rows may be copies of one text; the other groups by a shuffle, and a text
+    without copies is its own group.  The row of the largest doc_id stays; of
+    several rows under that doc_id and recipe the first by ``order``.  A null
+    doc_id is smaller than any other; a group of nothing else keeps one row
+    (keep_id null)."""
     groups = rows.groupBy(F.col("recipe").alias("same")).agg(
         F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialize(groups.where("group_size > 1"))
+    least = rows.count() // HOT_SHARE
+    hot, cool = groups.where(F.col("group_size") > least), groups.where(F.col("group_size") <= least)
     tie = F.row_number().over(Window.partitionBy("doc_id", "recipe").orderBy(*order))
-    joined = rows.withColumn("tie", tie).join(groups, F.col("recipe") == F.col("same")).drop("same")
+    on = F.col("recipe") == F.col("same")
+    spread = rows.withColumn("tie", tie).join(F.broadcast(hot), on, "left")
+    names = [*rows.columns, "tie"]
+    rest = spread.where("same IS NULL").select(*names).join(cool, on, "left").withColumns({
+        "keep_id": F.when(F.col("same").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")),
+        "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
+    joined = spread.where("same IS NOT NULL").unionByName(rest).drop("same")
     return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("tie") == 1))
 
 
