@@ -30,7 +30,7 @@ from bagwise.llm.common import bucket_count, small_batches
 
 WINDOW = 2048
 END_ID = 1
-DOCS_PER_BLOCK = 20_000
+DOCS_PER_BLOCK = 4_000
 #: Texts beyond these characters go to the full tokenizer: on them the rank
 #: encoder's pattern does not depend on the age of its Unicode tables.
 LATIN = "\u024f"
