@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bagwise.llm.spans import apart, matches, place, report, scan
 from bagwise.llm.weak_labels import estimate
@@ -168,17 +169,19 @@ def classify(candidates: DataFrame) -> DataFrame:
     voted = voted.withColumn("posterior", F.create_map(*[F.lit(x) for kp in key.items() for x in kp])[pattern])
     both = voted.select(F.explode("f").alias("f"), F.col("posterior").alias("p")).groupBy("f").agg(
         F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
-    totals = both.agg((F.sum("yes") + SMOOTH).alias("y"), (F.sum("no") + SMOOTH).alias("n"))
+    every = Window.partitionBy()  # over HASHED rows at most
     # One row per hashed feature (HASHED at most), so the weights fit any task.
     even = F.lit(SMOOTH / HASHED)
-    weights = both.withColumn("one", F.lit(1)).join(F.broadcast(totals.withColumn("one", F.lit(1))), "one")
-    weights = weights.select(F.struct("f", (F.log((F.col("yes") + even) / F.col("y"))
+    weights = both.withColumns({"y": F.sum("yes").over(every) + SMOOTH, "n": F.sum("no").over(every) + SMOOTH})
+    weights = weights.select("f", F.struct("f", (F.log((F.col("yes") + even) / F.col("y"))
                                             - F.log((F.col("no") + even) / F.col("n"))).alias("w")).alias("fw"), "y", "n")
     table = weights.agg(F.map_from_entries(F.collect_list("fw")).alias("w"),
-                        F.first(F.log(F.col("y") / F.col("n"))).alias("prior"))
-    scored = voted.withColumn("one", F.lit(1)).join(F.broadcast(table.withColumn("one", F.lit(1))), "one")
+                        F.first(F.log(F.col("y") / F.col("n"))).alias("prior"),
+                        F.min(F.pmod("f", F.lit(1))).cast("long").alias("zero"))
+    # One row, joined on a key that is 0 on both sides.
+    scored = voted.withColumn("zero", F.pmod("row", F.lit(1))).join(F.broadcast(table), "zero")
     total = F.aggregate("f", F.col("prior"), lambda s, f: s + F.coalesce(F.col("w")[f], F.lit(0.0)))
-    return scored.withColumn("score", total).drop("one", "w", "prior")
+    return scored.withColumn("score", total).drop("zero", "w", "prior")
 
 
 def find_personal_data(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
