@@ -136,7 +136,37 @@ def _op8_sql() -> str:
         FROM b LEFT JOIN bad USING (rid)"""
 
 
+OP4 = f"""
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    w AS (SELECT rid, doc_id, {WORDS} AS ws FROM d),
+    s AS (SELECT DISTINCT rid, list_slice(ws, i, i + 3) AS g
+          FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+    n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+    c AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL),
+    l AS (SELECT x, y FROM c JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+    r AS (SELECT rid AS x, rid AS y FROM w UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+    m AS (SELECT r.x AS rid, min(w.doc_id) AS component_id FROM r JOIN w ON w.rid = r.y GROUP BY r.x)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM w JOIN m USING (rid) LEFT JOIN n USING (rid)"""
+
+OP7 = f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT rid, doc_id, {WORDS} AS ws FROM d),
+    win AS (SELECT rid, doc_id, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) AS k
+            FROM (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+    dup AS (SELECT rid, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY k) < doc_id),
+    gone AS (SELECT DISTINCT rid, unnest(range(i, i + 50)) AS p FROM dup),
+    each AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+    kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+             FROM each ANTI JOIN gone USING (rid, p) GROUP BY rid)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+           sha256(coalesce(text, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (rid)"""
+
 ORACLE = {
+    "op4_setsketch_near_dedup": OP4,
+    "op7_relative_lz_spans": OP7,
     "op8_adaptive_quality_rules": _op8_sql(),
     "op3_chunk_recipes": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

@@ -222,3 +222,17 @@ def test_empty_tables(spark):
     assert substring_dedup.substring_report(empty).count() == 0
     assert quality_model.quality_report(empty).count() == 0
     assert quality_model.keep_good(empty).count() == 0
+
+
+def test_pipeline_run_is_its_stages(spark):
+    held = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        held = stage(spark, held, SMALL)
+    rows = corpus_pipeline.run(spark, SMALL).collect()
+    assert Counter((r.doc_id, r.start, bytes(r.ids)) for r in rows) == Counter(
+        (r.doc_id, r.start, bytes(r.ids)) for r in held.collect())
+    windows = defaultdict(list)
+    for r in rows:
+        windows[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in w) <= 2048 and [o for o, _ in sorted(w)] == [
+        sum(n for _, n in sorted(w)[:i]) for i in range(len(w))] for w in windows.values())
