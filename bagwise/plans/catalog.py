@@ -568,18 +568,26 @@ def q_route_views(spark, sf):
 
 # ------------------------------------------------------------ text learners, end to end
 
-def text_scored(spark, sf, keys=("id", "label")):
-    """(keys..., scores of all models) of the hold-out rows by one centroid
-    learner per bag over hashed text features, and the label dictionary."""
+def text_model(spark, sf):
+    """Split rows, hashed text features of every source row by id, the model
+    table of one centroid learner per bag, and the label dictionary.  Rows that
+    normalising drops as copies have features too."""
     from bagwise.operators.textfeat import hashed_terms
     sp, dim = split_rows(spark, sf)
-    texts = sp.select("id", concat_text().alias("text"))
-    vecs = materialize(hashed_terms(texts, P.TEXT_DIMS))
-    train, test = (sp.where(F.col("split") == s) for s in ("train", "test"))
-    bags = same_bags(spark, sf, train=train.drop("split"))
+    source = fill_text(read_records(spark, sf))
+    vecs = materialize(hashed_terms(source.select("id", concat_text().alias("text")), P.TEXT_DIMS))
+    bags = same_bags(spark, sf, train=sp.where(F.col("split") == "train").drop("split"))
     model = learners.fit_centroids(
         bags.select(F.col("bag_id").alias("model"), "id", "label").join(vecs, "id"))
-    scored = learners.score_wide(test.select(*keys).join(vecs, "id"), materialize(model),
+    return sp, vecs, materialize(model), dim
+
+
+def text_scored(spark, sf, keys=("id", "label")):
+    """(keys..., scores of all models) of the hold-out rows by one centroid
+    learner per bag over hashed text features, and the label dictionary."""
+    sp, vecs, model, dim = text_model(spark, sf)
+    test = sp.where(F.col("split") == "test")
+    scored = learners.score_wide(test.select(*keys).join(vecs, "id"), model,
                                  scale=P.TEXT_SCALE, keep=keys)
     return materialize(scored), dim
 
@@ -598,7 +606,7 @@ def q_text_bagging_summary(spark, sf):
 
 @query("inference_codes")
 def q_inference_codes(spark, sf):
-    """Texts without labels -> all models -> mean -> code parts on the source rows."""
+    """Hold-out texts without their labels -> all models -> mean -> code parts."""
     scored, dim = text_scored(spark, sf, keys=("id",))
     ens = ensemble.mean_ensemble(scored, keys=("id",))
     source = scored.select("id").distinct().select(
@@ -606,6 +614,16 @@ def q_inference_codes(spark, sf):
     return reports.submission(source, ens, dim, "pred")
 
 
+@query("inference_all_codes")
+def q_inference_all_codes(spark, sf):
+    """Every row of documents, its label set aside -> all models -> mean ->
+    code parts on the source rows.  Only the predicted class of a row is
+    written, never its probabilities."""
+    _, vecs, model, dim = text_model(spark, sf)
+    pred = learners.predict_mean(vecs, model, scale=P.TEXT_SCALE)
+    return reports.submission(read_records(spark, sf).select("id"), pred, dim, "pred")
+
+
 # ------------------------------------------------------------ trained learners (rows-only)
 
 @query("train_head")

@@ -794,3 +794,24 @@ ORACLE["inference_codes"] = f"WITH {TEXT_MODEL} " + """
 SELECT m.id, substr(d.digit, 1, 1) AS digit_1, substr(d.digit, 2, 2) AS digit_2,
        substr(d.digit, 4) AS digit_3
 FROM mean_pred m JOIN dim d ON d.label = m.pred"""
+
+# Every record is scored by the models of the bags, copies and training rows too.
+ORACLE["inference_all_codes"] = f"WITH {TEXT_MODEL}" + f""",
+atx AS (SELECT id, {TEXT} AS text FROM filled),
+atok AS (SELECT id, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % {P.TEXT_DIMS} AS pos
+         FROM (SELECT id, unnest({WORDS}) AS w FROM atx)),
+atf AS (SELECT id, pos, count(*) / CAST(sum(count(*)) OVER (PARTITION BY id) AS DOUBLE) AS v
+        FROM atok GROUP BY id, pos),
+ahit AS (SELECT atf.id, w.model, w.label AS cls, sum(atf.v * w.w) AS s
+         FROM atf JOIN w ON w.pos = atf.pos GROUP BY ALL),
+asc0 AS (SELECT t.id, cn.model, cn.label AS cls, {P.TEXT_SCALE} * coalesce(h.s, 0) AS s
+         FROM atx t CROSS JOIN cn
+         LEFT JOIN ahit h ON h.id = t.id AND h.model = cn.model AND h.cls = cn.label),
+aex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY model, id)) AS e FROM asc0),
+apr AS (SELECT model, id, cls, e / sum(e) OVER (PARTITION BY model, id) AS p FROM aex),
+apm AS (SELECT id, cls, avg(p) AS p FROM apr GROUP BY id, cls),
+apred AS (SELECT id, cls AS pred FROM apm
+          QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(p, 9) DESC, cls) = 1)
+SELECT a.id, substr(d.digit, 1, 1) AS digit_1, substr(d.digit, 2, 2) AS digit_2,
+       substr(d.digit, 4) AS digit_3
+FROM apred a JOIN dim d ON d.label = a.pred"""
