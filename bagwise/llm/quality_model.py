@@ -61,6 +61,7 @@ def labelers() -> dict[str, Column]:
         "cells": F.col("n_cells") / n >= 0.1,
         "repeats": F.col("n_repeat_words") / n >= 0.3,
         "loops": F.col("n_repeat_words") / n >= 0.5,
+        "echoes": F.col("n_echo_words") / n >= 0.3,
         "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)) >= 0.5,
     }
     return {k: F.when(v, 1).otherwise(0) for k, v in fires.items()}
@@ -81,14 +82,15 @@ def observe(docs: DataFrame) -> DataFrame:
     kept in the checkpoint folder; the text is read once."""
     text = text_or_empty(F.col("text"))
     rows = docs.select(
-        "doc_id", *prints(), base_measures(text).alias("m"), shaped(text).alias("shapes"),
+        "doc_id", *prints(), base_measures(text, echoes=True).alias("m"), shaped(text).alias("shapes"),
         chars_of(text, "[#*$%&]{2,}").alias("n_symbol_runs"), chars_of(text, "\\p{Lu}+").alias("n_upper"),
         chars_of(text, "\\p{Ll}+").alias("n_lower"), count_of(text, "!!").alias("n_shout"),
         count_of(text, " | ").alias("n_cells")).select("*", "m.*").drop("m")
     n, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     letters = F.greatest(F.col("n_upper") + F.col("n_lower"), F.lit(1))
     rows = rows.withColumn("bins", F.array(
-        *[share_bin(k, F.col(k) / n) for k in ("n_symbols", "n_symbol_runs", "n_shout", "n_cells", "n_repeat_words")],
+        *[share_bin(k, F.col(k) / n) for k in ("n_symbols", "n_symbol_runs", "n_shout", "n_cells", "n_repeat_words",
+                                               "n_echo_words")],
         share_bin("n_upper", F.col("n_upper") / letters), share_bin("n_dup_lines", F.col("n_dup_lines") / lines)))
     steps = [HashingTF(numFeatures=HASHED, inputCol="shapes", outputCol="tf"),
              Normalizer(inputCol="tf", outputCol="shape_share"),

@@ -54,16 +54,25 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), of).cast("long")
 
 
-def base_measures(text: Column) -> Column:
-    """Struct of the base counts of a non-null text."""
+def echo_words(words: Column) -> Column:
+    """Words of an array that equal the word before them."""
+    return F.size(F.filter(words, lambda w, i: (i > 0) & (w == F.get(words, i - 1)))).cast("long")
+
+
+def base_measures(text: Column, echoes: bool = False) -> Column:
+    """Struct of the base counts of a non-null text, with ``echoes`` also of
+    the words equal to the word before them."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SEP}]"))
-    by_word = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("twice")))
+    by_word = let(words_of(text), lambda w: F.struct(
+        F.size(w).cast("long").alias("n"), repeat_words(w).alias("twice"),
+        *[echo_words(w).alias("echoes")] * echoes))
     by_line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (
         F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
     return let(F.struct(by_word.alias("w"), by_line.alias("l")), lambda c: F.struct(
         c["w"]["n"].alias("n_words"), F.length(F.translate(text, SEP_CHARS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        c["l"]["n"].alias("n_lines"), c["l"]["dup"].alias("n_dup_lines"), c["w"]["twice"].alias("n_repeat_words")))
+        c["l"]["n"].alias("n_lines"), c["l"]["dup"].alias("n_dup_lines"), c["w"]["twice"].alias("n_repeat_words"),
+        *[c["w"]["echoes"].alias("n_echo_words")] * echoes))
 
 
 def measure(docs: DataFrame) -> DataFrame:
