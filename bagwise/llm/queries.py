@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bagwise.llm import (exact_dedup, mixing, near_dedup, packing, pii, quality_model, quality_rules, secret_scan,
-                         sharding, substring_dedup)
+from bagwise.llm import (alignment, exact_dedup, fill_in_middle, mixing, near_dedup, packing, pii, quality_model,
+                         quality_rules, secret_scan, sharding, substring_dedup, topk_search)
 
 SHARDS = 8
 
@@ -24,6 +24,12 @@ def vocabulary() -> packing.Vocabulary:
     return packing.Vocabulary(files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN)
 
 
+def tokenizers() -> alignment.Tokenizers:
+    import public_tokenizers as files
+    return alignment.Tokenizers(files.path("byte_bpe_50k.json"), files.path("piece_bpe_32k.model"),
+                                files.path("byte_bpe_50k.tiktoken"), files.PATTERN)
+
+
 def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(documents(spark, sf_dir), vocabulary())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
@@ -67,6 +73,21 @@ def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_report(documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(documents(spark, sf_dir))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(documents(spark, sf_dir), tokenizers())
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 REGISTRY = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op2_secret_randomness": op2_secret_randomness,
@@ -78,6 +99,9 @@ REGISTRY = {
     "op8_adaptive_quality_rules": op8_adaptive_quality_rules,
     "op9_weak_label_pii": op9_weak_label_pii,
     "op10_weak_label_quality": op10_weak_label_quality,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_exact_top_k": op13_exact_top_k,
 }
 
 WORDS = "list_filter(string_split_regex(t, '[ \\t-\\r]+'), lambda x: x <> '')"
@@ -164,7 +188,34 @@ OP7 = f"""
            sha256(coalesce(text, '')) AS kept_sha256
     FROM w LEFT JOIN kept USING (rid)"""
 
+OP11 = """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+                      sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    c AS (SELECT *, len(u) AS n, [('0x' || substr(h, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS hs FROM d),
+    k AS (SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS b,
+                 CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR hs[3] % 100 >= 100
+                      THEN 'plain' WHEN hs[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c),
+    p AS (SELECT *, array_to_string(u[1:a], '') AS x, array_to_string(u[a + 1:b], '') AS y,
+                 array_to_string(u[b + 1:n], '') AS z FROM k)
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(x)::BIGINT END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(y)::BIGINT END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y
+                  ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256
+    FROM p"""
+
+OP13 = """
+    WITH v AS (SELECT row_number() OVER () AS rid, vec_id,
+                      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+               FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(
+                    embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+          FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
 ORACLE = {
+    "op11_fill_in_middle": OP11,
+    "op13_exact_top_k": OP13,
     "op4_setsketch_near_dedup": OP4,
     "op7_relative_lz_spans": OP7,
     "op8_adaptive_quality_rules": _op8_sql(),
