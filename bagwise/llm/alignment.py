@@ -42,6 +42,8 @@ FREQUENT = 100_000
 GAP = re.compile("[A-Za-z] (?=[A-Za-z])")
 #: The word mark of the B pieces, a fixed value.
 SPACE_MARK = "▁"
+#: Links of a group that are written out one by one at most.
+MANY = 1 << 10
 #: B ids below this in a pair's one number.
 WIDTH = 1 << 20
 
@@ -204,15 +206,15 @@ def fragment(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarra
     head, tail = (a[:at_a[0]], b[:at_b[0]]), (a[at_a[-1]:], b[at_b[-1]:])
     size_a, size_b = np.diff(at_a), np.diff(at_b)
     inner_a, inner_b = a[at_a[0]:at_a[-1]], b[at_b[0]:at_b[-1]]
-    # Groups of one token on a side: their links are read off without a loop.
-    group_a, group_b = np.repeat(np.arange(len(size_a)), size_a), np.repeat(np.arange(len(size_b)), size_b)
     start_a, start_b = at_a[:-1] - at_a[0], at_b[:-1] - at_b[0]
-    one_a = size_a[group_b] == 1
-    one_b = (size_b[group_a] == 1) & (size_a[group_a] > 1)
-    pairs = [inner_a[start_a[group_b[one_a]]] * WIDTH + inner_b[one_a],
-             inner_a[one_b] * WIDTH + inner_b[start_b[group_a[one_b]]]]
-    links = [np.ones(len(p), dtype=np.int64) for p in pairs]
-    for i in np.flatnonzero((size_a > 1) & (size_b > 1)):
+    # Links of the usual groups are written out side by side; a group of many is counted by distinct ids.
+    many = size_a * size_b > MANY
+    group = np.repeat(np.arange(len(size_a)), size_a)
+    each = np.where(many, 0, size_b)[group]
+    nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    pairs = [np.repeat(inner_a, each) * WIDTH + inner_b[np.repeat(start_b[group], each) + nth]]
+    links = [np.ones(len(pairs[0]), dtype=np.int64)]
+    for i in np.flatnonzero(many):
         p, n = links_of(inner_a[start_a[i]:start_a[i] + size_a[i]], inner_b[start_b[i]:start_b[i] + size_b[i]])
         pairs.append(p)
         links.append(n)

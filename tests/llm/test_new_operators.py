@@ -150,7 +150,9 @@ def same(x, y):
     return plain[0] == plain[1]
 
 
-def test_fragments_are_a_monoid():
+@pytest.mark.parametrize("many", [0, 1 << 10])
+def test_fragments_are_a_monoid(monkeypatch, many):
+    monkeypatch.setattr(alignment, "MANY", many)
     r = np.random.default_rng(3)
     for _ in range(60):
         size_a, size_b = r.integers(1, 5, 24), r.integers(1, 5, 30)
