@@ -158,12 +158,14 @@ def _shingled(words: int):
     return run
 
 
-VERIFIED = "a long, b long, n_a long, common long, linked boolean"
+#: Slots in which the shingles that a node lacks of its lead are counted.
+SLOTS = 64
+VERIFIED = "a long, b long, n_a long, common long, linked boolean, gaps array<short>"
 
 
 def _verified(words: int, per_cent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("common", pa.int64()),
-                        ("linked", pa.bool_())])
+                        ("linked", pa.bool_()), ("gaps", pa.list_(pa.int16()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -174,16 +176,19 @@ def _verified(words: int, per_cent: int):
                 if a != last:
                     last, held = a, shingles(hash_words(pa.array([left.as_py()]), True)[0], words)
                 other = shingles(hash_words(pa.array([right.as_py()]), True)[0], words)
-                common = len(np.intersect1d(held, other, assume_unique=True))
-                rows.append((a, b, len(held), common, 100 * common >= per_cent * (len(held) + len(other) - common)))
+                lacks = held[~np.isin(held, other, assume_unique=True)]
+                common = len(held) - len(lacks)
+                gaps = np.bincount((lacks % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+                rows.append((a, b, len(held), common, 100 * common >= per_cent * (len(held) + len(other) - common),
+                             np.minimum(gaps, (1 << 15) - 1).astype(np.int16)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
     return run
 
 
-#: What a bucket member carries: the bucket's band (-1: a divided bucket) and its own keys of all bands, its
-#: shingles n, of which u its own, the lead it met, the lead's shingles and what it lacks of them.
-MEMBER = ("node", "band", "bands", "n", "u", "lead", "n_lead", "lack")
+#: What a bucket member carries: its shingles n, of which u its own, the lead it met, the lead's shingles and what
+#: it lacks of them, in all and by slot.
+MEMBER = ("node", "n", "u", "lead", "n_lead", "lack", "gaps")
 
 
 class Search:
@@ -199,8 +204,8 @@ class Search:
         # Sets too small to reach the threshold unless equal take no part: n - 1 of n is too little.
         least = -(-per_cent // (100 - per_cent)) if per_cent < 100 else 1 << 62
         self.nodes = self.classes.where(F.col("n") >= least).drop("set")
-        self.bands = F.array(*[F.xxhash64(F.lit(i), register_slice(i * ROWS, ROWS)) for i in range(BANDS)])
-        self.buckets = self._shared(self.nodes.select(F.posexplode(self.bands).alias("band", "key"), "node"))
+        bands = F.array(*[F.xxhash64(F.lit(i), register_slice(i * ROWS, ROWS)) for i in range(BANDS)])
+        self.buckets = self._shared(self.nodes.select(F.explode(bands).alias("key"), "node"))
         self.texts = self._texts(docs)
         self.buckets = self._hopeful()
         self.links: list[DataFrame] = []
@@ -209,56 +214,60 @@ class Search:
         """The rows of keys with more than one node, with the least node."""
         keys = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
         keys = materialize(keys.where("least < most").select("key", "least"))
-        return materialize(rows.join(keys, "key"))
+        return materialize(rows.join(keys.hint("merge"), "key"))
 
     def _texts(self, docs: DataFrame) -> DataFrame:
         """(node, text) of the nodes in buckets."""
         wanted = self.nodes.join(self.buckets.select("node"), "node", "left_semi").select("print", "print2", "node")
-        found = docs.select(*prints(), "text").join(wanted, ["print", "print2"])
+        found = docs.select(*prints(), "text").join(wanted.hint("merge"), ["print", "print2"])
         once = F.row_number().over(Window.partitionBy("print", "print2").orderBy("node"))
         return materialize(found.withColumn("k", once).where("k = 1").select("node", "text"))
 
     def _hopeful(self) -> DataFrame:
-        """(key, node, n, u) of the bucket members that can have a link: u of
+        """(key, node, least, n, u) of the bucket members that can have a link: u of
         a node's n shingles stand in no other member of any bucket, so no
         other set shares more than n - u of them."""
         each = self.texts.mapInArrow(_shingled(self.words), "node long, hash long")
         once = each.groupBy("hash").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("c")).where("c = 1")
         alone = once.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
-        sizes = self.nodes.select("node", "n", self.bands.alias("bands")).join(alone, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+        sizes = self.nodes.select("node", "n").join(alone.hint("merge"), "node", "left").withColumn(
+            "u", F.coalesce("u", F.lit(0)))
         hopeful = (F.col("n") - F.col("u")) * 100 >= F.col("n") * self.per_cent
-        return materialize(self.buckets.select("key", "band", "node").join(sizes.where(hopeful), "node"))
+        return materialize(self.buckets.select("key", "node").join(sizes.where(hopeful).hint("merge"), "node"))
 
     def possible(self) -> Column:
         """Whether a and b can reach the threshold.  Their own shingles lie
-        outside each other.  If both met the same lead, what they lack of it
-        differs by the difference of the counts at least, and that adds to
-        their own shingles; and they share of the lead no more than either
-        has of it, and outside it no more than either has there that is not
-        its own.  The lead itself has met them."""
+        outside each other.  If both met the same lead, they share of it no
+        more than what neither lacks: in each slot one of them lacks the
+        larger of both counts at least.  Outside of it they share no more than
+        either has there that is not its own.  The lead itself has met them."""
         common = F.least(F.col("n_a") - F.col("u_a"), F.col("n_b") - F.col("u_b"))
         room = common * 100 >= F.greatest(F.col("n_a") + F.col("u_b"), F.col("n_b") + F.col("u_a")) * self.per_cent
-        apart = F.col("u_a") + F.col("u_b") + F.abs(F.col("lack_a") - F.col("lack_b"))
-        both = F.col("n_a") + F.col("n_b")
-        outside = [F.col(f"n_{x}") - F.col(f"n_lead_{x}") + F.col(f"lack_{x}") - F.col(f"u_{x}") for x in "ab"]
-        shared = F.col("n_lead_a") - F.greatest("lack_a", "lack_b") + F.least(*outside)
-        near = ((both - apart) * 100 >= (both + apart) * self.per_cent) & (
-            shared * 100 >= (both - shared) * self.per_cent) & (
-            F.col("node_a") != F.col("lead_a")) & (F.col("node_b") != F.col("lead_b"))
+        outside = F.least(*[F.col(f"n_{x}") - F.col(f"n_lead_{x}") + F.col(f"lack_{x}") - F.col(f"u_{x}") for x in "ab"])
+
+        def near(lacked: Column) -> Column:
+            shared = F.col("n_lead_a") - lacked + outside
+            return shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * self.per_cent
+
+        slots = F.zip_with("gaps_a", "gaps_b", lambda x, y: F.greatest(x, y).cast("long"))
+        lacked = F.aggregate(slots, F.lit(0).cast("long"), lambda s, x: s + x)
+        # The cheap bound first; the slots only where it leaves room.
+        tight = F.when(near(F.greatest("lack_a", "lack_b")), near(lacked)).otherwise(False)
+        met = (F.col("node_a") == F.col("lead_a")) | (F.col("node_b") == F.col("lead_b"))
         same = F.coalesce(F.col("lead_a") == F.col("lead_b"), F.lit(False))
-        # A pair is taken up in the first band that it shares.
-        first = [F.slice(F.col(f"bands_{x}"), F.lit(1), F.greatest(F.col("band_a"), F.lit(0))) for x in "ab"]
-        before = F.exists(F.zip_with(*first, lambda x, y: x == y), lambda z: z)
-        return room & (~same | near) & ~before
+        return room & (~same | (~met & tight))
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """Verify distinct (a, b) pairs; the links are added to ``links``."""
         small = self.nodes.select("node", "n", "regs")
-        pairs = pairs.join(small.toDF("b", "n_b", "regs_b"), "b").join(small.toDF("a", "n_a", "regs_a"), "a")
+        pairs = pairs.join(small.toDF("b", "n_b", "regs_b").hint("merge"), "b").join(
+            small.toDF("a", "n_a", "regs_a").hint("merge"), "a")
         near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.per_cent
         likely = pairs.where(near).select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(
             _plausible(self.per_cent / 100), "a long, b long")
-        both = likely.join(self.texts.toDF("b", "text_b"), "b").join(self.texts.toDF("a", "text_a"), "a")
+        # Never by broadcast: near copies are many times larger in memory than as compressed files.
+        both = likely.join(self.texts.toDF("b", "text_b").hint("merge"), "b").join(
+            self.texts.toDF("a", "text_a").hint("merge"), "a")
         scored = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(
             _verified(self.words, self.per_cent), VERIFIED))
         self.links.append(scored.where("linked").select("a", "b"))
@@ -275,13 +284,12 @@ class Search:
         """The crowds' members, divided by other registers; a pair at the
         threshold stays together in one of the parts with a probability as in
         the first bands."""
-        inside = named.join(crowds, "key").join(self.nodes.select("node", "regs"), "node")
-        names = [F.lit(-1).alias("band") if c == "band" else F.col(c) for c in (*MEMBER, "comp")]
+        inside = named.join(crowds.hint("merge"), "key").join(self.nodes.select("node", "regs").hint("merge"), "node")
         drawn = np.random.default_rng(depth)
         parts = F.array(*[F.xxhash64("key", F.lit(depth), F.lit(i), F.concat(
             *[register_slice(int(r), 1) for r in drawn.choice(REGISTERS, ROWS, replace=False)]))
             for i in range(BANDS)])
-        return self._shared(inside.select(F.explode(parts).alias("key"), *names)).select("key", *MEMBER, "comp")
+        return self._shared(inside.select(F.explode(parts).alias("key"), *MEMBER, "comp")).select("key", *MEMBER, "comp")
 
     def _sizes(self, named: DataFrame) -> DataFrame:
         """Of the keys that hold several components: how many, the members,
@@ -302,19 +310,22 @@ class Search:
             F.min("lead").alias("lead")).select("b", F.col("lead.node").alias("a")))
         # Shingles of its lead that a node lacks; a lead lacks none of its own.
         lacks = first.select(F.col("b").alias("node"), F.col("a").alias("lead"), F.col("n_a").alias("n_lead"),
-                             (F.col("n_a") - F.col("common")).alias("lack"))
-        lacks = lacks.unionByName(lacks.select(F.col("lead").alias("node"), "lead", "n_lead").distinct().withColumn(
-            "lack", F.lit(0).cast("long")))
+                             (F.col("n_a") - F.col("common")).alias("lack"), "gaps")
+        none = F.array_repeat(F.lit(0).cast("short"), SLOTS)
+        lacks = lacks.unionByName(lacks.select(F.col("lead").alias("node"), "lead", "n_lead").distinct().withColumns(
+            {"lack": F.lit(0).cast("long"), "gaps": none}))
         lacks = materialize(lacks.groupBy("node").agg(
-            F.min(F.struct("lead", "n_lead", "lack")).alias("l")).select("node", "l.*"))
+            F.min(F.struct("lead", "n_lead", "lack", "gaps")).alias("l")).select("node", "l.*"))
         depth, found = 0, self.found()
-        buckets = self.buckets.join(lacks, "node", "left")
+        buckets = self.buckets.select("key", "node", "n", "u").join(lacks.hint("merge"), "node", "left")
         while True:
-            named = materialize(buckets.join(found, "node", "left").select(
+            named = materialize(buckets.join(found.hint("merge"), "node", "left").select(
                 "key", *MEMBER, F.coalesce("component", "node").alias("comp")))
             sizes = self._sizes(named)
             if sizes.isEmpty():
                 return found
+            # A bucket that is one component is done.
+            named = named.join(sizes.select("key"), "key", "left_semi")
             crowds = sizes.where(F.col("comps") > CROWDED).select("key")
             depth += 1
             if depth <= 8 and not crowds.isEmpty():
@@ -322,11 +333,11 @@ class Search:
                 named = materialize(named.join(crowds, "key", "left_anti").unionByName(split))
                 sizes = self._sizes(named)
             nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-            leads = materialize(named.join(sizes, "key").where("comp <> largest").withColumn("nth", nth).where(
+            leads = materialize(named.join(sizes.hint("merge"), "key").where("comp <> largest").withColumn("nth", nth).where(
                 F.col("nth") <= LEADS).select("key", *[F.col(c).alias(f"{c}_a") for c in (*MEMBER, "comp")]))
             links = len(self.links)
             met = named.select("key", *[F.col(c).alias(f"{c}_b") for c in (*MEMBER, "comp")]).join(
-                leads, ["key"]).where((F.col("comp_a") != F.col("comp_b")) & self.possible())
+                leads.hint("merge"), ["key"]).where((F.col("comp_a") != F.col("comp_b")) & self.possible())
             self.compare(met.select(F.least("node_a", "node_b").alias("a"),
                                     F.greatest("node_a", "node_b").alias("b")).distinct())
             if not self.links[links].isEmpty():
@@ -336,8 +347,8 @@ class Search:
             more = sizes.where(F.col("members") - F.col("most") > LEADS).select("key")
             if more.isEmpty():
                 return found
-            buckets = materialize(named.join(more, "key", "left_semi").select("key", *MEMBER).join(
-                leads.select("key", F.col("node_a").alias("node")), ["key", "node"], "left_anti"))
+            buckets = materialize(named.join(more.hint("merge"), "key", "left_semi").select("key", *MEMBER).join(
+                leads.select("key", F.col("node_a").alias("node")).hint("merge"), ["key", "node"], "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, per_cent: int = THRESHOLD) -> DataFrame:
