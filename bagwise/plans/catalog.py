@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagwise.functions.codes import TEXT_COLS, concat_text, default_clean, fill_text
+from bagwise.functions.hashing import uniform
 from bagwise.operators import audit, normalise, resample
 from bagwise.plans import params as P
-from bagwise.session import materialize
+from bagwise.session import ensure_checkpoint_dir, materialize
 from bagwise.sources.tables import read_records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -367,6 +368,18 @@ def q_model_metrics(spark, sf):
                          loss_col="loss")
 
 
+@query("evaluator_state")
+def q_evaluator_state(spark, sf):
+    """The same scores from an evaluator kept as a table: four batches of the
+    predictions in any order, one of them taken in twice (A15, U2)."""
+    import uuid
+    base = emb_base(spark, sf)
+    state = metrics.EvaluationState(f"{ensure_checkpoint_dir(spark)}/state/{uuid.uuid4().hex}", by=["model"])
+    for batch in (2, 0, 3, 2, 1):
+        state.update(str(batch), base.where(F.pmod("id", F.lit(4)) == batch))
+    return state.scores(spark, emb_classes(spark, sf))
+
+
 def _loss(spark, sf, name, **kw):
     rows = losses.row_losses(emb_scored(spark, sf), name, by=["model"],
                              batch_size=P.BATCH_SIZE, num_classes=P.EMB_CLASSES, **kw)
@@ -652,3 +665,49 @@ def q_ml_bag_learners(spark, sf):
                                   P.EMB_CLASSES, hidden=(16,), max_iter=30)
     scored = learners.score_ml(models, rows.where(F.col("split") == "test"))
     return scored.withColumn("pred", argmax("prob")).select("model", "id", "label", "pred")
+
+
+# ------------------------------------------------------------ networks of all bags by mini-batches
+
+def network_bags(spark, sf):
+    """(model, id, label, vec): training rows drawn by hash for each network."""
+    rows = emb_rows(spark, sf).where(F.col("split") == "train")
+    every = rows.withColumn("model", F.explode(F.array(*map(F.lit, range(P.NETWORKS)))))
+    return every.where(uniform(P.BAG_SEED, "net", "model", "id") < P.NETWORK_SHARE).select("model", "id", "label", "vec")
+
+
+def network_plans(dim, *hidden):
+    from bagwise.operators.networks import Net
+    return {m: Net((dim, *hidden, P.EMB_CLASSES), P.NETWORK_LOSSES[m % len(P.NETWORK_LOSSES)])
+            for m in range(P.NETWORKS)}
+
+
+@query("batch_gradients")
+def q_batch_gradients(spark, sf):
+    """Loss and gradient norm of every mini-batch of every bag at fixed
+    weights, CE, FCE and ICE, in one scan (M2, M5)."""
+    import numpy as np
+    from bagwise.operators import networks
+    bags = network_bags(spark, sf)
+    dim = len(emb_rows(spark, sf).select("vec").first()[0])
+    nets = network_plans(dim)
+    c, j = np.arange(P.EMB_CLASSES)[:, None], np.arange(dim)
+    bias = (np.arange(P.EMB_CLASSES)[:, None] % 3 - 1) / 10
+    start = {m: np.hstack([((7 * c + 3 * j + m) % 11 - 5) / 20, bias]).ravel() for m in nets}
+    batches = networks.lay_out(bags, P.EMB_CLASSES, P.BATCH_SIZE, P.BAG_SEED)
+    return networks.gradient_norms(batches, nets, start)
+
+
+@query("bag_networks")
+def q_bag_networks(spark, sf):
+    """Networks with a hidden layer and mixed losses, all bags trained together
+    by mini-batches with early stopping: the epoch history (M2, M4, M5, O1)."""
+    from bagwise.operators import networks
+    rows = emb_rows(spark, sf)
+    dim = len(rows.select("vec").first()[0])
+    train_rows = rows.where(F.col("split") == "train").count()
+    # A share of the rows a step, so that an epoch has as many steps at every size.
+    done = networks.train(network_bags(spark, sf), rows.where(F.col("split") == "test"), network_plans(dim, P.NETWORK_HIDDEN),
+                          epochs=P.NETWORK_EPOCHS, batch_size=max(P.BATCH_SIZE, -(-train_rows // P.NETWORK_STEPS)),
+                          lr=0.5, patience=P.PATIENCE, seed=P.BAG_SEED)
+    return done.history_table(spark)

@@ -2,10 +2,13 @@
 their Spark schemas; checked by tests/test_oracle.py)."""
 
 FLOAT_COLS = {
+    'bag_networks': ['loss', 'accuracy', 'precision', 'recall', 'f1score'],
+    'batch_gradients': ['loss', 'norm'],
     'centroid_scores': ['prob'],
     'class_epoch_pivot': ['epoch_0', 'epoch_1', 'epoch_2', 'epoch_3'],
     'class_size_quantiles': ['mean', 'min', 'q25', 'median', 'q75', 'max'],
     'early_stop': ['best_loss'],
+    'evaluator_state': ['accuracy', 'loss', 'precision', 'recall', 'f1score'],
     'epoch_best': ['best_loss', 'best_acc'],
     'epoch_summary': ['train_loss', 'train_accuracy', 'train_precision', 'train_recall', 'train_f1score', 'valid_loss', 'valid_accuracy', 'valid_precision', 'valid_recall', 'valid_f1score'],
     'loss_ce': ['loss'],

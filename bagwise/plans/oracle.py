@@ -815,3 +815,36 @@ apred AS (SELECT id, cls AS pred FROM apm
 SELECT a.id, substr(d.digit, 1, 1) AS digit_1, substr(d.digit, 2, 2) AS digit_2,
        substr(d.digit, 4) AS digit_3
 FROM apred a JOIN dim d ON d.label = a.pred"""
+
+
+# ---------------------------------------------------------------- networks
+
+ORACLE["batch_gradients"] = f"""
+WITH e AS (SELECT vec_id AS id, CAST(label AS INTEGER) AS label, embedding::DOUBLE[] AS vec FROM embeddings
+           WHERE ('0x' || substr(md5('42:' || vec_id), 1, 8))::BIGINT % 10 < 7),
+bag AS (SELECT m::INTEGER AS model, id, label, vec, md5('{P.BAG_SEED}:batch:' || m || ':' || id) AS k
+        FROM e, range({P.NETWORKS}) AS t(m)
+        WHERE ('0x' || substr(md5('{P.BAG_SEED}:net:' || m || ':' || id), 1, 13))::BIGINT / {float(2 ** 52)} < {P.NETWORK_SHARE}),
+st AS (SELECT *, (row_number() OVER (PARTITION BY model ORDER BY k, id) - 1) // {P.BATCH_SIZE} AS step FROM bag),
+z AS (SELECT model, step, id, label, c, list_dot_product(vec, list_transform(range(len(vec)),
+             lambda j: ((7 * c + 3 * j + model) % 11 - 5) / 20.0)) + (c % 3 - 1) / 10.0 AS z
+      FROM st, range({P.EMB_CLASSES}) AS t(c)),
+x AS (SELECT *, exp(z - max(z) OVER w) AS x FROM z WINDOW w AS (PARTITION BY model, id)),
+p AS (SELECT *, x / sum(x) OVER (PARTITION BY model, id) AS p FROM x),
+cc AS (SELECT model, step, label, 1.0 / (count(*) + {EPS}) AS inv FROM st GROUP BY ALL),
+cs AS (SELECT model, step, sum(inv) + ({P.EMB_CLASSES} - count(*)) / {EPS} AS den FROM cc GROUP BY ALL),
+r AS (SELECT p.model, p.step, p.id, p.label, p.p AS py,
+             CASE WHEN p.model % 3 = 2 THEN cc.inv / cs.den * {P.EMB_CLASSES} ELSE 1.0 END AS w
+      FROM p JOIN cc USING (model, step, label) JOIN cs USING (model, step) WHERE p.c = p.label),
+k AS (SELECT *, CASE WHEN model % 3 = 1 THEN -pow(1 - py, 2) * ln(py + {EPS}) ELSE -w * ln(py + {EPS}) END AS loss,
+             py * (CASE WHEN model % 3 = 1 THEN 2 * (1 - py) * ln(py + {EPS}) - pow(1 - py, 2) / (py + {EPS})
+                   ELSE -w / (py + {EPS}) END) AS slope FROM r),
+f AS (SELECT model, id, pos, unnest AS v FROM (
+        SELECT model, id, unnest(list_append(vec, 1.0)) AS unnest, generate_subscripts(list_append(vec, 1.0), 1) AS pos FROM st)),
+g AS (SELECT p.model, p.step, c, pos, sum(slope * ((c = p.label)::INTEGER - p.p) * v) AS g
+      FROM p JOIN k ON p.model = k.model AND p.id = k.id JOIN f ON f.model = p.model AND f.id = p.id GROUP BY ALL),
+n AS (SELECT model, step, sqrt(sum(g * g)) AS norm FROM g GROUP BY ALL),
+l AS (SELECT model, step, count(*) AS n, avg(loss) AS loss FROM k GROUP BY ALL)
+SELECT model, step, l.n, l.loss, norm / l.n AS norm FROM l JOIN n USING (model, step)"""
+
+ORACLE["evaluator_state"] = ORACLE["model_metrics"]

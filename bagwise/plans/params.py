@@ -22,3 +22,9 @@ VIEW_OF_TYPE = {"bert": "word", "gpt": "char3"}
 HEAD_EPOCHS = 15
 TEXT_DIMS = 64           # hashed text features
 TEXT_SCALE = 50.0
+NETWORKS = 3             # networks trained together, their rows' share, losses and steps an epoch
+NETWORK_SHARE = 0.5
+NETWORK_LOSSES = ("CE", "FCE", "ICE")
+NETWORK_HIDDEN = 16
+NETWORK_EPOCHS = 6
+NETWORK_STEPS = 8

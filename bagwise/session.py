@@ -51,7 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def materialize(df):
+def materialize(df, by=()):
     """Cut the lineage at a stage boundary: write the rows once as a parquet
     table under the cluster's checkpoint folder and read it back.
 
@@ -59,12 +59,13 @@ def materialize(df):
     computed once (an eager RDD checkpoint computes its plan twice), and
     later reads get column pruning and filter pushdown.  Chained stages that
     read their input twice (counts + rank) would otherwise grow the plan
-    exponentially."""
+    exponentially.  With ``by``, the table has a folder per value of these
+    columns, and a filter on them reads those only."""
     import uuid
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
