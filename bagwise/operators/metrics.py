@@ -6,9 +6,10 @@ one evaluation per group in the same job."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,15 +42,20 @@ def per_class(pred: DataFrame, classes: DataFrame, by: Sequence[str] = (),
     """(by..., label, n_true, n_pred, tp, precision, recall, f1score [,
     loss_sum]) for every class of ``classes`` (A7, J4, J5); 0 where a
     denominator is 0."""
-    by = list(by)
     cm = confusion(pred, by, label, pred_col, loss_col)
+    return class_scores(cm, classes, by, bool(loss_col))
+
+
+def class_scores(cm: DataFrame, classes: DataFrame, by: Sequence[str] = (), with_loss: bool = False) -> DataFrame:
+    """``per_class`` of a confusion table (by..., label, pred, n [, loss_sum])."""
+    by = list(by)
     true_aggs = [F.sum("n").alias("n_true"),
                  F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp")]
-    if loss_col:
+    if with_loss:
         true_aggs.append(F.sum("loss_sum").alias("loss_sum"))
     true = cm.groupBy(*by, "label").agg(*true_aggs)
     npred = cm.groupBy(*by, F.col("pred").alias("label")).agg(F.sum("n").alias("n_pred"))
-    cls = class_grid(classes, pred.select(*by).distinct() if by else None)
+    cls = class_grid(classes, cm.select(*by).distinct() if by else None)
     out = (cls.join(true, by + ["label"], "left").join(npred, by + ["label"], "left")
            .fillna(0, subset=["n_true", "n_pred", "tp"]))
     pc = F.when(F.col("n_pred") == 0, 0.0).otherwise(F.col("tp") / F.col("n_pred"))
@@ -65,17 +71,48 @@ def macro(pred: DataFrame, classes: DataFrame, by: Sequence[str] = (),
     """(by..., n, [loss], accuracy, precision, recall, f1score): accuracy =
     trace / total; macro scores are means over all classes; the loss is the
     mean row loss (A6, A8, A9).  Everything comes from one per-class table."""
-    by = list(by)
-    pc = per_class(pred, classes, by, label, pred_col, loss_col)
+    return macro_scores(per_class(pred, classes, by, label, pred_col, loss_col), by, bool(loss_col))
+
+
+def macro_scores(pc: DataFrame, by: Sequence[str] = (), with_loss: bool = False) -> DataFrame:
+    """``macro`` of a per-class table."""
     n = F.sum("n_true")
     aggs = [n.alias("n"), (F.sum("tp") / n).alias("accuracy")]
-    if loss_col:
+    if with_loss:
         aggs.append((F.sum("loss_sum") / n).alias("loss"))
     aggs += [F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
              F.avg("f1score").alias("f1score")]
     return pc.groupBy(*by).agg(*aggs)
 
 
+class EvaluationState:
+    """An evaluator saved as a table and merged from updates.
+
+    An update writes the confusion counts and loss sums of one batch of
+    predictions into the batch's own folder.  A repeated update replaces its
+    folder, and the state is the sum over folders, so updates may come in any
+    order, from any driver, and again after a failure."""
+
+    def __init__(self, path: str, by: Sequence[str] = ()):
+        self.path, self.by = path.rstrip("/"), list(by)
+
+    def update(self, batch: str, pred: DataFrame, label="label", pred_col="pred", loss_col="loss") -> None:
+        """Take in a batch of (by..., label, pred, loss) rows under its name."""
+        if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
+            raise ValueError(f"bad batch name {batch!r}")
+        counted = confusion(pred, self.by, label, pred_col, loss_col)
+        counted.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def merged(self, spark: SparkSession) -> DataFrame:
+        """(by..., label, pred, n, loss_sum) over all batches taken in."""
+        state = spark.read.parquet(self.path)
+        return state.groupBy(*self.by, "label", "pred").agg(F.sum("n").alias("n"), F.sum("loss_sum").alias("loss_sum"))
+
+    def scores(self, spark: SparkSession, classes: DataFrame) -> DataFrame:
+        """As ``macro`` over all rows of all batches."""
+        return macro_scores(class_scores(self.merged(spark), classes, self.by, True), self.by, True)
+
+
 def rounded(df: DataFrame, cols: Sequence[str], places: int = 6) -> DataFrame:
     """Round metric columns for ranking / reports."""
     return df.withColumns({c: F.round(F.col(c), places) for c in cols})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bagwise.functions.codes import (TEXT_COLS, clean_texts, fill_text, make_code,
                                      split_code)
+from bagwise.operators.digests import first_rows
 from bagwise.operators.strata import checked_broadcast
 
 DEDUP6 = ("digit_1", "digit_2", "digit_3") + TEXT_COLS
@@ -24,19 +25,13 @@ def add_code(df: DataFrame) -> DataFrame:
 def first_per_key(df: DataFrame, keys: Sequence[str], order_col: str = "id") -> DataFrame:
     """Keep the first row (lowest ``order_col``) of every key (W6, keep='first').
 
-    One aggregation with map-side partial min_by: a hot key is reduced before
-    the shuffle, never sorted in one task.  Null keys compare equal, like
-    pandas."""
+    Null keys compare equal, like pandas.  Narrow (digest, order) rows are
+    aggregated map-side, so a hot key is reduced before the shuffle, and the
+    rows meet the winners once (``digests.first_rows``)."""
     keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    if rest == [order_col]:
-        agg = [F.min(order_col).alias(order_col)]
-        out = df.groupBy(*keys).agg(*agg)
-    else:
-        payload = F.struct(*[F.col(c) for c in rest])
-        out = (df.groupBy(*keys).agg(F.min_by(payload, F.col(order_col)).alias("_r"))
-               .select(*keys, "_r.*"))
-    return out.select(*df.columns)
+    if [c for c in df.columns if c not in keys] == [order_col]:
+        return df.groupBy(*keys).agg(F.min(order_col).alias(order_col)).select(*df.columns)
+    return first_rows(df, keys, order_col)
 
 
 def dedup_first6(df: DataFrame) -> DataFrame:

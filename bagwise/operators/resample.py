@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from bagwise.functions import constants as K
 from bagwise.functions.codes import TEXT_COLS, any_text
 from bagwise.functions.hashing import draw_index, order_key, uniform, uniform_from_key
+from bagwise.operators.digests import rows_in_one
 from bagwise.operators.strata import checked_broadcast, first_k, rank_by_key
 
 # ---------------------------------------------------------------- sizes
@@ -278,11 +279,9 @@ def sampled_rows(bags: DataFrame) -> DataFrame:
 
 def oob_by_rows(data: DataFrame, bags: DataFrame) -> DataFrame:
     """Rows appearing exactly once in data ++ distinct(bags) (R7, D5); a
-    full-row duplicate inside ``data`` disappears too."""
-    cols = data.columns
-    both = data.select(*cols).unionByName(sampled_rows(bags).select(*cols))
-    return (both.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
-            .where(F.col("_c") == 1).drop("_c"))
+    full-row duplicate inside ``data`` disappears too.  Decided on digests:
+    the bags' texts are not shuffled, the data's once."""
+    return rows_in_one(data, bags.drop("bag_id"))
 
 
 def oob_by_id(train: DataFrame, bags: DataFrame) -> DataFrame:
