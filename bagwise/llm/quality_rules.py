@@ -2,10 +2,12 @@
 
 Every document gets a few shape measures.  Their distributions are kept as
 mergeable quantile sketches: counts of logarithmic bins (relative error
-RESOLUTION), which add up over tasks, sources and languages.  A group's fence
-lies REACH spreads outside its quartiles; a group of under LEAST_ROWS rows
-uses its language's merged sketch, or the whole corpus's.  Documents are
-filtered by a join with the fences.
+RESOLUTION), which add up over tasks, sources and languages.  A group's sketch
+is blended with PRIOR_ROWS rows dealt like its language's, and a language's
+with as many dealt like the corpus's: a small group leans on its parents, a
+large one on itself, without a step at any size.  A group's fence lies REACH
+spreads outside its quartiles.  Documents are filtered by a join with the
+fences.
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ WINDOW = 8
 RESOLUTION = 1.05
 SMALLEST = 0.001
 REACH = 3.0
-LEAST_ROWS = 200
+#: Rows' weight of the parent's distribution in a group's sketch.
+PRIOR_ROWS = 200
+#: Counts are sums of fractions; a quantile is reached within so many rows.
+SLACK = 1e-6
 #: Measure: (columns above the line, below the line, least spread of a fence, lower fence too).
 #: A group whose quartiles lie closer than the least spread is not held to less.
 MEASURES = {
@@ -99,33 +104,43 @@ def sketches(measured: DataFrame) -> DataFrame:
             .groupBy("lang", "source", "m.measure", "m.bin").agg(F.count(F.lit(1)).alias("n")))
 
 
+def merge(sketch: DataFrame, by: list[str]) -> DataFrame:
+    return sketch.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+
+
+def blend(sketch: DataFrame, parent: DataFrame, by: list[str], parent_by: list[str],
+          weight: float = PRIOR_ROWS) -> DataFrame:
+    """``sketch`` merged over ``by``, with ``weight`` rows dealt like the
+    ``parent`` sketch of each group (``parent_by``, a part of ``by``).  Null
+    keys are keys like others.  A group has at most the parent's bins."""
+    own = merge(sketch, by)
+    whole = F.sum("n").over(Window.partitionBy(*parent_by))
+    shares = parent.select(*[F.col(c).alias(f"p_{c}") for c in parent_by], F.col("bin").alias("p_bin"),
+                           (F.lit(float(weight)) * F.col("n") / whole).alias("p_n"))
+    on = F.lit(True)
+    for c in parent_by:
+        on = on & F.col(c).eqNullSafe(F.col(f"p_{c}"))
+    leaned = own.select(*by).distinct().join(shares, on).select(
+        *by, F.col("p_bin").alias("bin"), F.col("p_n").alias("n"))
+    return merge(own.withColumn("n", F.col("n").cast("double")).unionByName(leaned), by)
+
+
 def quantiles(sketch: DataFrame, by: list[str], at: dict[str, float]) -> DataFrame:
     """Merge ``sketch`` over ``by`` and read quantiles: by, rows and ``at``'s names."""
-    merged = sketch.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+    merged = merge(sketch, by)
     group = Window.partitionBy(*by)
     merged = merged.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("rows", F.sum("n").over(group))
     edge = F.when(F.col("bin") == 0, F.lit(0.0)).otherwise(F.lit(SMALLEST) * F.pow(F.lit(RESOLUTION), F.col("bin")))
-    found = [F.min(F.when(F.col("upto") >= F.lit(q) * F.col("rows"), edge)).alias(name) for name, q in at.items()]
+    found = [F.min(F.when(F.col("upto") + SLACK >= F.lit(q) * F.col("rows"), edge)).alias(name) for name, q in at.items()]
     return merged.groupBy(*by).agg(F.first("rows").alias("rows"), *found)
 
 
 def fences(sketch: DataFrame) -> DataFrame:
     """(lang, source) -> low_<measure> and high_<measure>."""
-    at = {"q25": 0.25, "q75": 0.75}
-    own = quantiles(sketch, ["lang", "source", "measure"], at)
-    by_lang = quantiles(sketch, ["lang", "measure"], at).select(
-        F.col("lang").alias("g_lang"), F.col("measure").alias("g_measure"),
-        *[F.col(c).alias(f"g_{c}") for c in ("rows", "q25", "q75")])
-    overall = quantiles(sketch, ["measure"], at).select(
-        F.col("measure").alias("a_measure"), *[F.col(c).alias(f"a_{c}") for c in ("q25", "q75")])
-    t = own.join(by_lang, F.col("lang").eqNullSafe(F.col("g_lang")) & (F.col("measure") == F.col("g_measure")))
-    t = t.join(overall, F.col("measure") == F.col("a_measure"))
-
-    def pick(q: str) -> Column:
-        return (F.when(F.col("rows") >= LEAST_ROWS, F.col(q))
-                .when(F.col("g_rows") >= LEAST_ROWS, F.col(f"g_{q}")).otherwise(F.col(f"a_{q}")))
-
-    t = t.select("lang", "source", "measure", pick("q25").alias("q25"), pick("q75").alias("q75"))
+    corpus = merge(sketch, ["measure"])
+    by_lang = blend(sketch, corpus, ["lang", "measure"], ["measure"])
+    own = blend(sketch, by_lang, ["lang", "source", "measure"], ["lang", "measure"])
+    t = quantiles(own, ["lang", "source", "measure"], {"q25": 0.25, "q75": 0.75})
     bounds = []
     for m, (_, _, spread, lower) in MEASURES.items():
         reach = F.lit(REACH) * F.greatest(F.col("q75") - F.col("q25"), F.lit(spread))

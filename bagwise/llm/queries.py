@@ -118,16 +118,18 @@ def _op8_sql() -> str:
     spread = "CASE m " + " ".join(f"WHEN '{m}' THEN {x[2]}" for m, x in q.MEASURES.items()) + " END"
     lower = ", ".join(f"'{m}'" for m, x in q.MEASURES.items() if x[3])
 
-    def level(name: str, by: str) -> str:
+    def level(name: str, by: str, parent: str, parent_by: str) -> str:
+        keys = [k.strip() for k in by.split(",")]
+        on = " AND ".join(f"g.{k.strip()} IS NOT DISTINCT FROM p.{k.strip()}" for k in parent_by.split(","))
         return f"""
-            {name} AS (SELECT {by}, any_value(n) AS n, min(CASE WHEN c >= 0.25 * n THEN edge END) AS q25,
-                              min(CASE WHEN c >= 0.75 * n THEN edge END) AS q75
-                       FROM (SELECT {by}, bin, CASE WHEN bin = 0 THEN 0 ELSE {q.SMALLEST} * pow({q.RESOLUTION}, bin) END AS edge,
-                                    sum(count(*)) OVER (PARTITION BY {by} ORDER BY bin) AS c,
-                                    sum(count(*)) OVER (PARTITION BY {by}) AS n
-                             FROM v WHERE n_words > 0 GROUP BY {by}, bin) GROUP BY {by})"""
-
-    pick = "CASE WHEN o.n >= {0} THEN o.{1} WHEN l.n >= {0} THEN l.{1} ELSE a.{1} END"
+            {name} AS (SELECT {by}, bin, sum(n) AS n FROM (
+                SELECT {by}, bin, count(*)::DOUBLE AS n FROM v WHERE n_words > 0 GROUP BY {by}, bin
+                UNION ALL
+                SELECT {", ".join("g." + k for k in keys)}, p.bin, {q.PRIOR_ROWS} * p.n / p.total
+                FROM (SELECT DISTINCT {by} FROM v WHERE n_words > 0) g
+                JOIN (SELECT *, sum(n) OVER (PARTITION BY {parent_by}) AS total FROM {parent}) p ON {on})
+                GROUP BY {by}, bin)"""
+
     return f"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
         w AS (SELECT *, {WORDS} AS ws,
@@ -145,9 +147,14 @@ def _op8_sql() -> str:
         v AS (SELECT x.*, n_words, CASE WHEN v <= {q.SMALLEST} THEN 0
                      ELSE floor(ln(v / {q.SMALLEST}) / ln({q.RESOLUTION})) + 1 END AS bin
               FROM ({values}) x JOIN b USING (rid)),
-        {level("own", "lang, source, m")}, {level("langs", "lang, m")}, {level("every", "m")},
-        f AS (SELECT o.lang, o.source, o.m, {pick.format(q.LEAST_ROWS, "q25")} AS q25, {pick.format(q.LEAST_ROWS, "q75")} AS q75
-              FROM own o JOIN langs l ON o.lang IS NOT DISTINCT FROM l.lang AND o.m = l.m JOIN every a ON o.m = a.m),
+        every AS (SELECT m, bin, count(*)::DOUBLE AS n FROM v WHERE n_words > 0 GROUP BY m, bin),
+        {level("langs", "lang, m", "every", "m")}, {level("own", "lang, source, m", "langs", "lang, m")},
+        f AS (SELECT lang, source, m, min(CASE WHEN c + {q.SLACK} >= 0.25 * n THEN edge END) AS q25,
+                     min(CASE WHEN c + {q.SLACK} >= 0.75 * n THEN edge END) AS q75
+              FROM (SELECT lang, source, m, CASE WHEN bin = 0 THEN 0 ELSE {q.SMALLEST} * pow({q.RESOLUTION}, bin) END AS edge,
+                           sum(n) OVER (PARTITION BY lang, source, m ORDER BY bin) AS c,
+                           sum(n) OVER (PARTITION BY lang, source, m) AS n
+                    FROM own) GROUP BY lang, source, m),
         g AS (SELECT lang, source, m, q75 + {q.REACH} * greatest(q75 - q25, {spread}) AS high,
                      CASE WHEN m IN ({lower}) THEN q25 - {q.REACH} * greatest(q75 - q25, {spread}) ELSE -1 END AS low FROM f),
         bad AS (SELECT rid, string_agg(v.m, ',' ORDER BY list_position({list(q.MEASURES)}, v.m)) AS failed
