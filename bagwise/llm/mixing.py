@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bagwise.llm.common import text_or_empty, unit, word_count, words_of
+from bagwise.llm.common import repeat_rows, text_or_empty, unit, word_count, words_of
 from bagwise.session import materialize
 
 SALT = 60_061
@@ -21,6 +21,8 @@ SALT = 60_061
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_EPOCHS = 2
+#: A bucket's rows: a task's share of the table, but within these.
+BUCKET_ROWS = (1_000, 200_000)
 
 
 def source_targets(per_source: DataFrame, weights: tuple[float, ...] = WEIGHTS,
@@ -51,26 +53,34 @@ def source_targets(per_source: DataFrame, weights: tuple[float, ...] = WEIGHTS,
                     F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * F.col("final")).alias("target"))
 
 
-def mix(rows: DataFrame, per_bucket: int = 200_000) -> DataFrame:
+def mix(rows: DataFrame, per_bucket: int | None = None) -> DataFrame:
     """(doc_id, source, size, key) -> doc_id, source, size, key, source_size,
     target, taken: the words that the mix takes of the row, repeats counted.
 
     ``key`` is a long hash; equal keys are ordered by doc_id and size, rows
-    alike in all of these share their words in any order.  A row of size 0
-    takes nothing.  Each source takes floor(target) words exactly."""
+    alike in all of these share their words in any order.  Such rows are
+    counted before the shuffle and placed as one.  A row of size 0 takes
+    nothing.  Each source takes floor(target) words exactly, whatever the
+    number of buckets."""
+    if per_bucket is None:
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        per_bucket = min(max(rows.count() // (4 * tasks), BUCKET_ROWS[0]), BUCKET_ROWS[1])
     per_source = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
     targets = source_targets(per_source).withColumn("buckets", F.ceil(F.col("n") / F.lit(per_bucket)))
-    same = rows["source"].eqNullSafe(targets["source"])
-    dealt = rows.join(targets, same).drop(targets["source"]).withColumn(
+    alike = rows.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("rows"))
+    same = alike["source"].eqNullSafe(targets["source"])
+    dealt = alike.join(targets, same).drop(targets["source"]).withColumn(
         "bucket", F.least(F.floor(unit(F.col("key")) * F.col("buckets")), F.col("buckets") - 1))
-    sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    sums = dealt.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("rows")).alias("words"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"),
                          F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
     placed = dealt.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     within = (Window.partitionBy("source", "bucket").orderBy(unit(F.col("key")), "key", F.col("doc_id").asc_nulls_first(), "size")
               .rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    ahead = F.col("start") + F.coalesce(F.sum(F.col("size") * F.col("rows")).over(within), F.lit(0))
+    placed = repeat_rows(placed.withColumn("ahead", ahead), "rows", "nth")
+    ahead = F.col("ahead") + F.col("nth") * F.col("size")
     budget = F.floor(F.col("target"))
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
@@ -83,7 +93,7 @@ def sizes(docs: DataFrame) -> DataFrame:
     """Narrow rows for :func:`mix`; a null text has size 0, a null source is
     a source of its own (last by name)."""
     return docs.select("doc_id", "source", word_count(text_or_empty(F.col("text"))).alias("size"),
-                       F.xxhash64("doc_id", F.lit(SALT)).alias("key"))
+                       F.xxhash64("doc_id", "text", F.lit(SALT)).alias("key"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bagwise.llm.common import gapless, unit
+from bagwise.llm.common import gapless, repeat_rows, unit
+from bagwise.session import materialize
 
 SALT = 20_240_101
 #: Steps that nearly every key needs no more than; the rest walk on.
@@ -48,9 +49,10 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str
 
     The shard follows from the key and the shard count alone, so equal texts
     under different keys may part.  ``slot`` numbers a shard's rows from 0
-    without gaps, in the order of a hash of the key, then the key, size and
-    checksum; rows alike in all of these take any of their slots.  A null
-    text has size 1 and checksum 0; a null key is a key like any other; an
+    without gaps, in the order of a hash of the key, size and checksum, then
+    of these themselves.  Rows alike in all three are counted before the
+    shuffle and travel as one, so that one key, or one text under one key,
+    may hold a third of all rows.  A null text has size 1 and checksum 0; a null key is a key like any other; an
     empty table gives an empty result; other columns are not read."""
     rows = docs.select(
         F.col(key).alias(key),
@@ -59,7 +61,9 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str
         F.lit("key").alias("law"),
         jump_shard(F.col(key), shards).alias("shard"),
         jump_shard(F.col(key), shards + 1).alias("grown_shard"))
-    spread = F.xxhash64(F.col(key), F.lit(SALT + 1))
+    alike = materialize(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("rows")))
+    spread = F.xxhash64(F.col(key), "size", "text_crc32", F.lit(SALT + 1))
     order = [spread.asc(), F.col(key).asc_nulls_first(), F.col("size").asc(), F.col("text_crc32").asc()]
-    return gapless(rows, ["shard"], order, spread, "slot").select(
+    placed = gapless(alike, ["shard"], order, spread, "first", weight=F.col("rows"))
+    return repeat_rows(placed, "rows", "nth").withColumn("slot", F.col("first") + F.col("nth")).select(
         key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
