@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bagwise.session import materialize
+
 # Reserved token ids
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 N_RESERVED = 4
 WS = r"[ \t\n\r]+"
-MAX_VOCAB = 1_000_000        # upper bound of a broadcast vocabulary
+MAX_VOCAB = 1_000_000        # upper bound of the entries that ``vocab`` ranks
+BROADCAST_VOCAB = 200_000    # most frequent entries that ``encode`` broadcasts
 
 
 @dataclass(frozen=True)
@@ -100,21 +103,42 @@ def _lookup_udf(table: tuple[np.ndarray, np.ndarray]):
     return build, lookup
 
 
-def encode(docs: DataFrame, vocab_df: DataFrame, view: View, max_len: int,
-           text: str = "text", out: str | None = None) -> DataFrame:
+def _look_up_rest(d: DataFrame, rest: DataFrame) -> DataFrame:
+    """Fill in the ids of tokens that are still unknown in ``_ids`` by a join
+    with ``rest`` (token, token_id), partitioned by token.  A document's
+    found positions, less than its length, come back as one map."""
+    d = materialize(d.withColumn("_row", F.monotonically_increasing_id()))   # written, so the numbers stay
+    each = d.select("_row", F.posexplode(F.arrays_zip("_tok", "_ids")).alias("pos", "_t"))
+    found = (each.where(F.col("_t._ids") == UNK).select("_row", "pos", F.col("_t._tok").alias("token"))
+             .join(rest, "token").groupBy("_row")
+             .agg(F.map_from_entries(F.collect_list(F.struct("pos", "token_id"))).alias("_found")))
+    ids = F.transform("_ids", lambda x, i: F.coalesce(F.try_element_at("_found", i), x))
+    return d.join(found, "_row", "left").withColumn("_ids", ids).drop("_row", "_found")
+
+
+def encode(docs: DataFrame, vocab_df: DataFrame, view: View, max_len: int, text: str = "text",
+           out: str | None = None, broadcast_vocab: int = BROADCAST_VOCAB) -> DataFrame:
     """Struct (input_ids, attention_mask, token_type_ids) of exactly
     ``max_len`` entries: [CLS] first max_len-2 tokens [SEP], padded with 0;
     mask 1 on real positions; token types all 0, or null for views without
-    them (E2-E4)."""
-    rows = vocab_df.where(F.col("view") == view.name).select("token", "token_id").collect()
-    if len(rows) > MAX_VOCAB:
-        raise ValueError("vocabulary too large to broadcast")
+    them (E2-E4).
+
+    The ``broadcast_vocab`` most frequent entries (ids run by frequency) are
+    looked up in a broadcast table, so no frequent token is a join key; the
+    entries of a larger vocabulary, however many, by a join on the token."""
+    mine = vocab_df.where(F.col("view") == view.name).select("token", "token_id")
+    beyond = N_RESERVED + broadcast_vocab
+    rows = mine.where(F.col("token_id") <= beyond).collect()     # one more than is broadcast
+    larger = len(rows) > broadcast_vocab
+    rows = [r for r in rows if r[1] < beyond]
     build, lookup = _lookup_udf((np.array([r[0] for r in rows], dtype=object),
                                  np.array([r[1] for r in rows], dtype=np.int32)))
     build(docs.sparkSession)
     out = out or view.name
     d = with_tokens(docs, text, view, "_tok", max_len - 2)
     d = d.withColumn("_ids", lookup(F.col("_tok")))
+    if larger:
+        d = _look_up_rest(d, mine.where(F.col("token_id") >= beyond))
     seq = F.concat(F.array(F.lit(CLS)), F.col("_ids"), F.array(F.lit(SEP)))
     n = F.size(F.col("_ids")) + 2      # cheap inside the mask lambda
     input_ids = F.concat(seq, F.array_repeat(F.lit(PAD), F.lit(max_len) - n))

@@ -6,11 +6,16 @@ task walks the subset tree depth-first (a subset's sum = its parent's sum +
 one model, so only k partial sums are alive) and adds up, over its whole
 partition, true, predicted and correct counts per (subset, class) -- arrays
 of 2^k x classes -- which it emits once; Spark sums them.  Documents x subsets rows are
-never materialised."""
+never materialised.
+
+If these arrays outgrow TASK_BYTES, the tree is cut below its first models as
+well: a task then takes a partition of documents and the subsets that agree on
+these (a block of the document x subset grid), and holds that block's counts."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,7 +46,23 @@ def subset_table(spark: SparkSession, names: Sequence[str]) -> DataFrame:
 SUBSET_DOCS = 2_000
 
 
-def _subset_counts(k: int, places: int):
+# counts that a task of the subset search may hold
+TASK_BYTES = 256 << 20
+
+
+def fixed_models(k: int, n_classes: int, task_bytes: int = TASK_BYTES) -> int:
+    """How many models to fix so that 2 x 2^(k - fixed) x classes longs fit."""
+    fixed = 0
+    while fixed < k and 16 * (1 << (k - fixed)) * n_classes > task_bytes:
+        fixed += 1
+    return fixed
+
+
+def _subset_counts(k: int, places: int, fixed: int = 0, prefix: int = 0):
+    """Counts of the subsets whose first ``fixed`` models are those of the
+    bits of ``prefix``."""
+    chosen = [m for m in range(fixed) if prefix >> m & 1]
+
     def fn(batches):
         n_true = n_pred = tp = None
         for pdf in batches:
@@ -52,36 +73,48 @@ def _subset_counts(k: int, places: int):
                 B, _, C = P.shape
                 if tp is None:
                     n_true = np.zeros(C, dtype=np.int64)
-                    n_pred, tp = np.zeros((1 << k, C), dtype=np.int64), np.zeros((1 << k, C), dtype=np.int64)
+                    n_pred, tp = (np.zeros((1 << (k - fixed), C), dtype=np.int64) for _ in range(2))
                 n_true += np.bincount(y, minlength=C)
 
-                def visit(start, mask, acc, size):
+                def count(at, s, size):
+                    pred = np.round(s / size, places).argmax(axis=1)   # first maximum
+                    n_pred[at] += np.bincount(pred, minlength=C)
+                    tp[at] += np.bincount(y[pred == y], minlength=C)
+
+                def visit(start, at, acc, size):
                     for m in range(start, k):
-                        nmask = mask | (1 << m)
                         s = acc + P[:, m, :]
-                        pred = np.round(s / (size + 1), places).argmax(axis=1)   # first maximum
-                        n_pred[nmask] += np.bincount(pred, minlength=C)
-                        tp[nmask] += np.bincount(y[pred == y], minlength=C)
-                        visit(m + 1, nmask, s, size + 1)
-
-                visit(0, 0, np.zeros((B, C)), 0)
+                        count(at | 1 << (m - fixed), s, size + 1)
+                        visit(m + 1, at | 1 << (m - fixed), s, size + 1)
+
+                acc = np.zeros((B, C))
+                for m in chosen:
+                    acc = acc + P[:, m, :]
+                if chosen:
+                    count(0, acc, len(chosen))
+                visit(fixed, 0, acc, len(chosen))
         if tp is not None:
-            for first in range(1, 1 << k, 1024):      # mask 0 carries the true counts
-                mask, label = np.nonzero(n_pred[first:first + 1024])
-                yield pd.DataFrame({"mask": mask + first, "label": label.astype(np.int32), "n_true": 0,
-                                    "n_pred": n_pred[mask + first, label], "tp": tp[mask + first, label]})
-            label = np.flatnonzero(n_true)
-            yield pd.DataFrame({"mask": 0, "label": label.astype(np.int32), "n_true": n_true[label],
-                                "n_pred": 0, "tp": 0})
+            for first in range(0, len(tp), 1024):
+                at, label = np.nonzero(n_pred[first:first + 1024])
+                yield pd.DataFrame({"mask": (at + first) << fixed | prefix, "label": label.astype(np.int32),
+                                    "n_true": 0, "n_pred": n_pred[at + first, label], "tp": tp[at + first, label]})
+            if not prefix:      # the empty subset, mask 0, carries the true counts
+                label = np.flatnonzero(n_true)
+                yield pd.DataFrame({"mask": 0, "label": label.astype(np.int32), "n_true": n_true[label],
+                                    "n_pred": 0, "tp": 0})
     return fn
 
 
-def subset_counts(gathered: DataFrame, k: int, places: int = 9) -> DataFrame:
+def subset_counts(gathered: DataFrame, k: int, places: int = 9, fixed: int = 0) -> DataFrame:
     """(mask, label, n_true, n_pred, tp) over all subsets, n_true under mask 0;
     ``gathered`` has (label, probs ARRAY<ARRAY<DOUBLE>>) with models in
-    sorted-name order (C2, J9).  A task holds 2 x 2^k x classes counts."""
-    counts = gathered.select("label", "probs").mapInPandas(
-        _subset_counts(k, places), "mask long, label int, n_true long, n_pred long, tp long")
+    sorted-name order (C2, J9).  A task holds 2 x 2^(k - ``fixed``) x classes
+    counts, and ``gathered`` is read 2^``fixed`` times."""
+    rows = gathered.select("label", "probs")
+    blocks = [rows.mapInPandas(_subset_counts(k, places, fixed, prefix),
+                               "mask long, label int, n_true long, n_pred long, tp long")
+              for prefix in range(1 << fixed)]
+    counts = reduce(DataFrame.unionAll, blocks)
     return counts.groupBy("mask", "label").agg(*[F.sum(c).alias(c) for c in ("n_true", "n_pred", "tp")])
 
 
@@ -91,7 +124,8 @@ def subset_metrics(gathered: DataFrame, names: Sequence[str], classes: DataFrame
     spark = gathered.sparkSession
     k = len(names)
     from bagwise.session import materialize
-    counts = materialize(subset_counts(gathered, k, places))
+    fixed = fixed_models(k, classes.count())
+    counts = materialize(subset_counts(materialize(gathered) if fixed else gathered, k, places, fixed))
     found = counts.where(F.col("mask") > 0).drop("n_true")
     true = counts.where(F.col("mask") == 0).select("label", "n_true")
     tot = found.groupBy("mask").agg((F.sum("tp") / F.sum("n_pred")).alias("accuracy"))
