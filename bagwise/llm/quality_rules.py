@@ -160,7 +160,7 @@ def judge(docs: DataFrame) -> DataFrame:
     often as they occur.  An empty table gives an empty result; other columns
     are not read."""
     measured = materialize(measure(docs))
-    bounds = fences(sketches(measured)).withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
+    bounds = fences(materialize(sketches(measured))).withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
     joined = measured.join(bounds, F.col("lang").eqNullSafe(F.col("f_lang"))
                            & F.col("source").eqNullSafe(F.col("f_source")), "left")
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
