@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,17 +168,18 @@ def _bags_from_sizes(train: DataFrame, k_table: DataFrame, estimators: int, seed
 
 
 def bag_random(train: DataFrame, estimators: int, num_samples: int,
-               min_cat_data: int = K.MIN_CAT_DATA, seed: int = 42, cut_std: int = K.CUT_STD, max_attempts: int = 10_000) -> DataFrame:
+               min_cat_data: int = K.MIN_CAT_DATA, seed: int = 42, cut_std: int = K.CUT_STD, max_attempts: int = 10_000,
+               draw: str = "pool") -> DataFrame:
     """Bags with random class sizes (R5, F4); rows as in ``bag_same``."""
     sizes = random_bag_sizes(train, estimators, num_samples, min_cat_data, seed,
-                             cut_std, max_attempts)
+                             cut_std, max_attempts, draw)
     return _bags_from_sizes(train, sizes, estimators, seed, prune=False, per_bag=True)
 
 
 def random_bag_sizes(train: DataFrame, estimators: int, total: int,
                      min_cat_data: int = K.MIN_CAT_DATA, seed: int = 42,
                      cut_std: int = K.CUT_STD,
-                     max_attempts: int = 10_000) -> DataFrame:
+                     max_attempts: int = 10_000, draw: str = "pool") -> DataFrame:
     """Class sizes per bag for the 'random' bag distribution.
 
     Attempt i draws s_c uniform in [min(m, n_c), n_c].  Redraw while the sum
@@ -184,7 +187,11 @@ def random_bag_sizes(train: DataFrame, estimators: int, total: int,
     to <= total they keep their sizes and the rest (total - that sum) is
     shared among the large classes by drawing without replacement from a
     pool holding each large label s_c times; else cut_std -= 100 and redraw.
+    ``draw``: "pool" ranks a row per token of that pool, "histogram" draws the
+    counts of its law from the class sizes (other draws, the same law).
     All work is on the (bag, label) histogram; the driver sees per-bag sums."""
+    if draw not in DRAWS:
+        raise ValueError(f"unknown draw {draw!r}")
     spark = train.sparkSession
     hist = class_hist(train, ["label"]).cache()
     if (hist.agg(F.sum("n")).first()[0] or 0) < total:
@@ -224,7 +231,7 @@ def random_bag_sizes(train: DataFrame, estimators: int, total: int,
     final = spark.createDataFrame([(b, a, c, m) for b, (a, c, m) in done.items()],
                                   "bag_id int, attempt int, cut int, mode string")
     drawn = _draw_sizes(grid.join(F.broadcast(final), "bag_id"), seed, min_cat_data)
-    return _share_large(drawn, total, seed)
+    return DRAWS[draw](drawn, total, seed)
 
 
 # tokens made in one go, partitions of the token pool, size draws tried in one job
@@ -269,6 +276,57 @@ def _share_large(drawn: DataFrame, total: int, seed: int) -> DataFrame:
     return out.select("bag_id", "label", "n", "_k")
 
 
+def hypergeometric(good: int, bad: int, draws: int, u: float) -> int:
+    """The number of good tokens among ``draws`` of good + bad, drawn without
+    replacement: how many of the cumulative probabilities are at most ``u``.
+
+    Probabilities follow from each other by their ratios.  Those more than
+    5 sqrt(n) + 1 from the mean, n the least of the four margins, sum up to
+    less than 1e-21 (Hoeffding), far below the steps of ``u``, and are left
+    out, so the cost is that of sqrt(n) and not of the tokens."""
+    least, most = max(0, draws - bad), min(draws, good)
+    if least == most:
+        return least
+    reach = 5 * math.sqrt(min(good, bad, draws, good + bad - draws)) + 1
+    mean = draws * (good / (good + bad))
+    lo, hi = max(least, math.floor(mean - reach)), min(most, math.ceil(mean + reach))
+    k = np.arange(lo, hi, dtype=float)
+    step = np.log((good - k) / (k + 1)) + np.log((draws - k) / (bad - draws + k + 1))
+    log_p = np.concatenate([[0.0], np.cumsum(step)])
+    upto = np.cumsum(np.exp(log_p - log_p.max()))
+    return lo + min(int(np.searchsorted(upto, u * upto[-1], side="right")), hi - lo)
+
+
+def _draw_large(drawn: DataFrame, total: int, seed: int) -> DataFrame:
+    """As ``_share_large``, on the histogram: the counts of the large classes
+    are multivariate hypergeometric, drawn class by class in label order, each
+    from what the classes before it left.  One group per bag of a row per
+    class; no tokens are made."""
+    d = drawn.withColumn("_u", uniform(seed, "share", "bag_id", "label"))
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("label")
+        large = ((rows["mode"] == "cut") & (rows["s"] >= rows["cut"])).to_numpy()
+        sizes = [int(x) for x in rows["s"]]
+        pool = sum(s for s, big in zip(sizes, large) if big)
+        left = total - sum(s for s, big in zip(sizes, large) if not big)
+        got = []
+        for s, big, u in zip(sizes, large, rows["_u"]):
+            if big:
+                pool -= s
+                s = hypergeometric(s, pool, left, u)
+                left -= s
+            got.append(s)
+        return rows[["bag_id", "label", "n"]].assign(_k=got)
+
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}
+    return d.groupBy("bag_id").applyInPandas(
+        draw, ", ".join(f"{c} {kinds[c]}" for c in ("bag_id", "label", "n")) + ", _k long")
+
+
+DRAWS = {"pool": _share_large, "histogram": _draw_large}
+
+
 # ---------------------------------------------------------------- out of bag
 
 

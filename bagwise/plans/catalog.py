@@ -149,6 +149,14 @@ def q_bag_random(spark, sf):
     return b.select("bag_id", "id", "label")
 
 
+@query("bag_random_histogram")
+def q_bag_random_histogram(spark, sf):
+    train = train_rows(spark, sf)
+    b = resample.bag_random(train, P.ESTIMATORS, bag_total(train),
+                            P.MIN_CAT, P.BAG_SEED, cut_std=P.CUT_STD, draw="histogram")
+    return b.select("bag_id", "id", "label")
+
+
 @query("bag_stats")
 def q_bag_stats(spark, sf):
     return resample.bag_stats(same_bags(spark, sf))

@@ -752,6 +752,36 @@ rbags AS (
   JOIN rk_k ON rk_k.bag_id = p.bag_id AND rk_k.label = p.label WHERE p.rk <= rk_k.k)
 SELECT bag_id, id, label FROM rbags"""
 
+# The large classes' sizes drawn from the histogram: class by class in label
+# order, each hypergeometric given what the classes before it left.
+_TOKENS, _SIZES = "pool AS (SELECT bag_id, label, unnest", "rk_k AS (SELECT z.bag_id"
+_SHARE_KEY = f"'{P.BAG_SEED}:share:' || bag_id || ':' || label"
+_bag_random = ORACLE["bag_random"]
+ORACLE["bag_random_histogram"] = _bag_random[:_bag_random.index(_TOKENS)] + f"""
+lg AS (SELECT bag_id, label, s, {u(_SHARE_KEY)} AS u,
+              row_number() OVER (PARTITION BY bag_id ORDER BY label) AS i
+       FROM sz WHERE mode = 'cut' AND s >= cut),
+ks AS (SELECT range AS k FROM range((SELECT max(n) + 1 FROM bhist))),
+shares(bag_id, i, label, pool, m, got) AS (
+  SELECT sv.bag_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(p.pool AS BIGINT), CAST(sv.save AS BIGINT),
+         CAST(0 AS BIGINT)
+  FROM sv JOIN (SELECT bag_id, sum(s) AS pool FROM lg GROUP BY bag_id) p ON p.bag_id = sv.bag_id
+  UNION ALL
+  SELECT q.bag_id, q.i, q.label, q.pool - q.s, q.m - q.got, q.got FROM (
+    SELECT bag_id, i, label, pool, m, s,
+           CAST(min(k) + count(*) FILTER (WHERE upto <= u) AS BIGINT) AS got
+    FROM (
+      SELECT *, sum(exp(lgamma(s + 1) - lgamma(k + 1) - lgamma(s - k + 1)
+                        + lgamma(pool - s + 1) - lgamma(m - k + 1) - lgamma(pool - s - m + k + 1)
+                        - lgamma(pool + 1) + lgamma(m + 1) + lgamma(pool - m + 1)))
+                OVER (PARTITION BY bag_id ORDER BY k) AS upto
+      FROM (SELECT d.bag_id, l.i, l.label, d.pool, d.m, l.s, l.u, ks.k
+            FROM shares d JOIN lg l ON l.bag_id = d.bag_id AND l.i = d.i + 1
+            JOIN ks ON ks.k BETWEEN greatest(0, d.m - (d.pool - l.s)) AND least(d.m, l.s)))
+    GROUP BY bag_id, i, label, pool, m, s) q),
+got AS (SELECT bag_id, label, got FROM shares WHERE i > 0),
+""" + _bag_random[_bag_random.index(_SIZES):]
+
 # ---------------------------------------------------------------- text learners
 
 TEXT_MODEL = bags_cte("same") + f""",
