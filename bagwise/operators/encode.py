@@ -12,10 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bagwise.operators.strata import checked_broadcast
 from bagwise.session import materialize
 
 # Reserved token ids
@@ -61,21 +64,29 @@ def with_tokens(df: DataFrame, text: str, view: View, out: str,
     raise ValueError(f"unknown view kind {view.kind!r}")
 
 
-def vocab(docs: DataFrame, views: Sequence[View], size: int, text: str = "text") -> DataFrame:
+def _token_rows(docs: DataFrame, view: View, text: str) -> DataFrame:
+    # explode_outer: plain explode makes the optimizer infer a size()
+    # filter below the projection, re-inlining the token expression
+    return (with_tokens(docs.select(text), text, view, "_t")
+            .select(F.explode_outer("_t").alias("token")).where(F.col("token").isNotNull()))
+
+
+def vocab(docs: DataFrame, views: Sequence[View], size: int, text: str = "text",
+          counters: int | None = None) -> DataFrame:
     """(view, token, n, token_id) with the top-``size`` tokens of each view
     over the whole texts (E1).  Counting is a map-side-combined aggregation;
     the top-k per view is Spark's partial take-ordered, never one task over
-    all distinct tokens."""
+    all distinct tokens.  With ``counters``, only tokens that can be among the
+    top are shuffled and counted (``frequent_tokens``); the result is equal."""
     if size > MAX_VOCAB:
         raise ValueError(f"vocabulary size above {MAX_VOCAB}")
     out = None
     for v in views:
-        # explode_outer: plain explode makes the optimizer infer a size()
-        # filter below the projection, re-inlining the token expression
-        counts = (with_tokens(docs.select(text), text, v, "_t")
-                  .select(F.explode_outer("_t").alias("token"))
-                  .where(F.col("token").isNotNull())
-                  .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+        tokens = _token_rows(docs, v, text)
+        if counters:
+            counts = frequent_tokens(tokens, size, counters)
+        else:
+            counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
         top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
         top = top.select(F.lit(v.name).alias("view"), "token", "n")
         out = top if out is None else out.unionByName(top)
@@ -84,6 +95,71 @@ def vocab(docs: DataFrame, views: Sequence[View], size: int, text: str = "text")
     return out.withColumn("token_id", (F.row_number().over(w) - 1 + N_RESERVED).cast("int"))
 
 
+MORE_COUNTERS = 4            # times as many counters if the bound proves too little
+
+
+def token_summaries(tokens: DataFrame, counters: int) -> DataFrame:
+    """(token, n) of at most ``counters`` frequent tokens per task, and one
+    row (null, e) per task: a token occurs there at most e times more often
+    than its row says, or at most e times if it has none.  Summaries merge by
+    adding up (n by token, e over all).
+
+    A task adds up token counts; when they outgrow twice the counters, the
+    count of the largest one that has no counter left is taken off all, and
+    what falls to 0 is let go."""
+    def summarise(batches):
+        held, taken = pa.table({"token": pa.array([], pa.string()), "n": pa.array([], pa.int64())}), 0
+        waiting, size = [held], 0
+
+        def fold():
+            nonlocal held, taken, waiting, size
+            held = pa.concat_tables(waiting).group_by("token").aggregate([("n", "sum")]).rename_columns(["token", "n"])
+            if held.num_rows > counters:
+                n = held["n"].to_numpy()
+                over = int(np.partition(n, len(n) - counters - 1)[len(n) - counters - 1])
+                taken += over
+                held = held.set_column(1, "n", pc.subtract(held["n"], over)).filter(pa.array(n > over))
+            waiting, size = [held], 0
+
+        for batch in batches:
+            found = pc.value_counts(batch.column(0))
+            waiting.append(pa.table({"token": found.field("values"), "n": found.field("counts")}))
+            size += len(found)
+            if size > 2 * counters:
+                fold()
+        fold()
+        yield from held.to_batches()
+        yield pa.record_batch({"token": pa.array([None], pa.string()), "n": pa.array([taken], pa.int64())})
+
+    return tokens.mapInArrow(summarise, "token string, n long")
+
+
+def frequent_tokens(tokens: DataFrame, size: int, counters: int) -> DataFrame:
+    """(token, n) with exact counts of some tokens, the ``size`` most frequent
+    ones among them, all ties of the last one included.
+
+    Let e be what all tasks took off together and t the size-th largest
+    summed-up count.  At least ``size`` tokens occur t times or more, and a
+    token without a counter occurs at most e times, so e < t proves that the
+    tokens whose count is t - e or more hold the result; these are counted in
+    a second pass.  Without that proof the first pass is repeated with
+    MORE_COUNTERS times the counters, in the end one for every token, when
+    nothing is taken off and the sums are the counts."""
+    while True:
+        found = materialize(token_summaries(tokens, counters))
+        merged = found.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
+        taken = found.where("token IS NULL").agg(F.sum("n")).first()[0] or 0
+        if not taken:
+            return merged
+        last = (merged.select("n").orderBy(F.desc("n")).limit(size)
+                .agg(F.min("n").alias("t"), F.count(F.lit(1)).alias("c")).first())
+        if last["c"] == size and taken < last["t"]:
+            able = merged.where(F.col("n") >= last["t"] - taken).select("token")
+            return (tokens.join(checked_broadcast(able), "token", "left_semi")
+                    .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+        counters *= MORE_COUNTERS
+
+
 def _lookup_udf(table: tuple[np.ndarray, np.ndarray]):
     bc = None
 

@@ -557,6 +557,11 @@ def q_vocab_top(spark, sf):
     return _vocab(spark, sf)
 
 
+@query("vocab_frequent")
+def q_vocab_frequent(spark, sf):
+    return enc.vocab(doc_texts(spark, sf), VIEWS, P.FREQUENT, counters=P.FREQUENT_COUNTERS)
+
+
 @query("encode_fixed")
 def q_encode_fixed(spark, sf):
     docs = doc_texts(spark, sf)

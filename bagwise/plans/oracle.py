@@ -679,6 +679,8 @@ def enc_view(view: str, toks: str, name: str) -> str:
 
 ORACLE["vocab_top"] = f"WITH {VOCAB} SELECT view, token, n, token_id FROM vocab"
 
+ORACLE["vocab_frequent"] = f"WITH {VOCAB} SELECT view, token, n, token_id FROM vocab WHERE token_id < {P.FREQUENT} + 4"
+
 ORACLE["encode_fixed"] = f"WITH {VOCAB}, {enc_view('word', WORDS, 'w')} " + f"""
 SELECT id, input_ids, attention_mask,
        array_to_string(list_resize(CAST([] AS INTEGER[]), {P.MAX_LEN}, 0), ',') AS token_type_ids

@@ -16,6 +16,8 @@ EMB_CLASSES = 10
 PATIENCE = 5
 MAX_LEN = 50             # encoded length
 VOCAB_SIZE = 30_000
+FREQUENT = 500           # most frequent tokens, found with so many counters a task
+FREQUENT_COUNTERS = 20_000
 TOP_K = 5                # subset rankings
 PREVIEW_N = 5
 VIEW_OF_TYPE = {"bert": "word", "gpt": "char3"}
