@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from bagwise.llm.common import text_or_empty
 from bagwise.session import materialize
@@ -51,31 +50,52 @@ def recipes(docs: DataFrame, keep: list[Column]) -> DataFrame:
     raise RuntimeError("no salt gives each chunk an identifier of its own")
 
 
-def group_rows(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """(doc_id, recipe, ...) -> plus keep_id, group_size and kept.
-
-    Recipes are compared whole.  Groups are counted with partial sums before
-    the shuffle and joined back: those of more than one row in HOT_SHARE, of
-    which there are fewer than HOT_SHARE, by broadcast, so that a third of all
-    rows may be copies of one text; the other groups by a shuffle, and a text
-    without copies is its own group.  The row of the largest doc_id stays; of
-    several rows under that doc_id and recipe the first by ``order``.  A null
-    doc_id is smaller than any other; a group of nothing else keeps one row
-    (keep_id null)."""
-    groups = rows.groupBy(F.col("recipe").alias("same")).agg(
-        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = materialize(groups.where("group_size > 1"))
+def name_recipes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``same``, a 128-bit name of their recipe, in its place;
+    groups: same, keep_id, group_size).  Recipes are compared whole, with
+    partial counts before the shuffle; a name shared by two of them is met by
+    another salt.  What follows moves names only."""
+    for salt in SALTS:
+        name = F.unhex(F.md5(F.concat(F.lit(salt).cast("binary"), F.array_join(
+            F.transform("recipe", F.hex), "").cast("binary"))))
+        named = rows.withColumn("same", name)
+        groups = materialize(named.groupBy("same", "recipe").agg(
+            F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).drop("recipe"))
+        if groups.groupBy("same").count().where("count > 1").isEmpty():
+            return named.drop("recipe"), groups
+    raise RuntimeError("no salt gives each recipe a name of its own")
+
+
+def group_rows(rows: DataFrame, order: str) -> DataFrame:
+    """(doc_id, recipe, ...) -> without recipe, plus keep_id, group_size and kept.
+
+    Groups are joined back by their names of 16 bytes: those of more than one
+    row in HOT_SHARE, of which there are fewer than HOT_SHARE, by broadcast, so
+    that a third of all rows may be copies of one text; the other groups by a
+    shuffle, and a text without copies is its own group.  The row of the
+    largest doc_id stays; of several rows under that doc_id and recipe those
+    of the least ``order`` (a long), found by partial minima.  A null doc_id is
+    smaller than any other; in a group of nothing else keep_id is null."""
+    named, groups = name_recipes(rows)
+    groups = groups.where("group_size > 1")
     least = rows.count() // HOT_SHARE
-    hot, cool = groups.where(F.col("group_size") > least), groups.where(F.col("group_size") <= least)
-    tie = F.row_number().over(Window.partitionBy("doc_id", "recipe").orderBy(*order))
-    on = F.col("recipe") == F.col("same")
-    spread = rows.withColumn("tie", tie).join(F.broadcast(hot), on, "left")
-    names = [*rows.columns, "tie"]
-    rest = spread.where("same IS NULL").select(*names).join(cool, on, "left").withColumns({
-        "keep_id": F.when(F.col("same").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")),
-        "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
-    joined = spread.where("same IS NOT NULL").unionByName(rest).drop("same")
-    return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("tie") == 1))
+
+    def spread(left: DataFrame, right: DataFrame) -> DataFrame:
+        hot, cool = right.where(F.col("group_size") > least), right.where(F.col("group_size") <= least)
+        first = left.join(F.broadcast(hot.withColumn("met", F.lit(True))), "same", "left")
+        rest = first.where("met IS NULL").select(*left.columns).join(
+            cool.withColumn("met", F.lit(True)), "same", "left")
+        return first.where("met").unionByName(rest)
+
+    last = spread(named.select("same", "doc_id", order), groups).where("met AND doc_id <=> keep_id")
+    groups = materialize(last.groupBy("same", "keep_id", "group_size").agg(F.min(order).alias("keep_order")))
+    out = spread(named, groups)
+    alone = F.col("met").isNull()
+    out = out.withColumns({
+        "keep_id": F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")),
+        "group_size": F.coalesce("group_size", F.lit(1).cast("long")),
+        "kept": alone | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col(order) == F.col("keep_order")))})
+    return out.drop("same", "met", "keep_order")
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
@@ -85,8 +105,9 @@ def dedup_report(docs: DataFrame) -> DataFrame:
     text are ties, of which one stays.  An empty table gives an empty result;
     other columns, whatever their names, are not read."""
     digest = F.sha2(text_or_empty(F.col("text")).cast("binary"), 256)
-    rows = recipes(docs, [F.col("doc_id"), digest.alias("text_sha256")])
-    return group_rows(rows, [F.lit(0)]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    own = F.monotonically_increasing_id().alias("own")
+    rows = recipes(docs, [F.col("doc_id"), digest.alias("text_sha256"), own])
+    return group_rows(rows, "own").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
@@ -97,8 +118,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     named = [F.col(f"`{c}`") for c in docs.columns]
     prints = [F.xxhash64(F.lit(i), *named).alias(f"__print{i}") for i in (1, 2)]
     rows = recipes(docs, [F.col("doc_id"), *prints])
-    kept = group_rows(rows, [F.col("__print1"), F.col("__print2")]).where("kept")
     keys = ["__print1", "__print2"]
-    stays = docs.select(*named, *prints).join(kept.select(*keys), keys, "left_semi")
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id"))
-    return stays.withColumn("__nth", nth).where("__nth = 1").select(*named)
+    kept = group_rows(rows, "__print1").where("kept").select(*keys).distinct()
+    stays = docs.select(*named, *prints).join(kept, keys, "left_semi")
+    # Rows alike in every column meet before the shuffle.
+    return stays.dropDuplicates(keys).select(*named)

@@ -108,3 +108,33 @@ def test_fences_have_no_step(spark):
 
     for a, b in zip(high(199), high(200)):
         assert a == pytest.approx(b, rel=0.06)
+
+
+def test_exact_dedup_of_rows_alike_and_of_shared_names(spark, monkeypatch):
+    """A third of all rows alike in every column, ties of doc_id and text, and
+    recipes whose names collide under the first salt."""
+    from bagwise.llm import exact_dedup
+    same, other = prose(1, 700), prose(2, 300)
+    rows = [(7, same, "en", "s", 1)] * 300 + [(None, other, "en", "s", i % 3) for i in range(90)]
+    rows += [(i, prose(i, 30), "en", "s", 1) for i in range(100, 400)]
+    rows += [(9, same, "de", "t", i % 2) for i in range(50)] + [(None, None, None, None, None)] * 40
+    df = frame(spark, rows).repartition(5)
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 10)
+    out = exact_dedup.dedup_report(df).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in out if r.kept) == Counter(
+        [(9, 9, 350), (None, None, 90), (None, None, 40)] + [(i, i, 1) for i in range(100, 400)])
+    assert Counter((r.doc_id, r.group_size) for r in out)[7, 350] == 300
+    left = exact_dedup.drop_copies(df).collect()
+    assert len(left) == 303 and {tuple(r) for r in left} <= set(rows) and sum(r.text == same for r in left) == 1
+    weak = exact_dedup.F.md5
+    monkeypatch.setattr(exact_dedup, "SALTS", ("", "b"))
+    tried = []
+
+    def collide(col):
+        tried.append(1)
+        return exact_dedup.F.lit("00") if len(tried) == 1 else weak(col)
+
+    recipes = exact_dedup.recipes(df, [exact_dedup.F.col("doc_id")])
+    monkeypatch.setattr(exact_dedup.F, "md5", collide)
+    named, groups = exact_dedup.name_recipes(recipes)
+    assert len(tried) == 2 and groups.count() == 303 and named.select("same").distinct().count() == 303
