@@ -8,11 +8,16 @@ Patterns give the base spans.  Every other long token is put to the battery:
   m (X2 = A (2m + n) / n - n), against prose, whose pairs are equal with
   probability PROSE_MATCH or more: the chance that prose of this length
   looks as uniform is the p-value, so short tokens need more evenness;
-* a runs test and a lag-1 serial-correlation test of the numbers reject
-  tokens that are even but ordered (alphabets, counters).
-
-Discoveries are held to a false-discovery rate per length class
-(Benjamini-Hochberg on binned p-values, counted over the whole corpus).
+* a runs test and a lag-1 serial-correlation test of the numbers give
+  two-sided p-values against random order; their harmonic mean, which holds
+  for tests that depend on each other, is the p-value of order.
+
+The two p-values have opposite nulls (prose; random order), so they are not
+multiplied into one: an alphabet is more even than chance, and no calm order
+could make up for that.  Both are held to a false-discovery rate per length
+class (Benjamini-Hochberg on binned p-values, counted over the whole corpus):
+tokens that are not prose are found, and those of them that are found to be
+ordered (alphabets, counters) are dropped.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bagwise.llm.spans import apart, matches, place, report, scan
+from bagwise.session import materialize
 
 #: Base kinds in order and their patterns.
 BASE = ["assign", "access", "hex"]
@@ -47,7 +53,8 @@ ENCODINGS = {
 #: Index of coincidence of prose in Latin script (English 0.067, others higher).
 PROSE_MATCH = 0.065
 FALSE_DISCOVERY_RATE = 0.01
-VETO_Z = 3.3
+#: Of the tokens dropped for their order, so many may be random.
+FALSE_ORDER_RATE = 0.01
 LENGTH_CLASSES = (24, 32, 48, 96)
 #: Bins per factor e of the p-value.
 P_BINS = 4
@@ -61,17 +68,26 @@ def find(text: Column) -> list[Column]:
             matches(text, "hex", HEX), matches(text, "random", TOKEN)]
 
 
-def normal_cdf(z: Column) -> Column:
-    """Abramowitz and Stegun 26.2.17, error below 1e-7; tails by the density."""
-    x = F.abs(z)
+def normal_tail(x: Column) -> Column:
+    """The chance of more than ``x`` (not negative): Abramowitz and Stegun
+    26.2.17, error below 1e-7; far tails by the density."""
     t = 1 / (1 + 0.2316419 * x)
     series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    upper = F.exp(-x * x / 2) / F.lit(2.5066282746310002) * series
+    return F.exp(-x * x / 2) / F.lit(2.5066282746310002) * series
+
+
+def normal_cdf(z: Column) -> Column:
+    upper = normal_tail(F.abs(z))
     return F.when(z < 0, upper).otherwise(1 - upper)
 
 
+def two_sided(z: Column) -> Column:
+    return F.greatest(2 * normal_tail(F.abs(z)), F.lit(1e-300))
+
+
 def battery(tokens: DataFrame) -> DataFrame:
-    """(token, ...) -> plus encoding, p (chance under prose), z_runs, z_serial."""
+    """(token, ...) -> plus encoding, p (chance under prose), p_runs, p_serial
+    (chances under random order) and p_order (their harmonic mean)."""
     token = F.col("token")
     encoding = F.coalesce(*[F.when(token.rlike(p), F.lit(e)) for e, (p, _) in ENCODINGS.items()])
     t = tokens.withColumn("encoding", encoding).where("encoding IS NOT NULL")
@@ -101,26 +117,44 @@ def battery(tokens: DataFrame) -> DataFrame:
     # Square roots make the number of equal pairs, a count, nearly normal with variance 1/4.
     z = 2 * (F.sqrt(F.col("m") + 0.375) - F.sqrt(null + 0.375))
     return (t.withColumn("p", F.greatest(normal_cdf(z), F.lit(1e-300)))
-            .withColumn("z_runs", (F.col("order.runs") - 1 - steps / 2) / F.sqrt(steps / 4))
-            .withColumn("z_serial", F.col("order.s") / (var * F.sqrt(steps)))
+            .withColumn("p_runs", two_sided((F.col("order.runs") - 1 - steps / 2) / F.sqrt(steps / 4)))
+            .withColumn("p_serial", two_sided(F.col("order.s") / (var * F.sqrt(steps))))
+            .withColumn("p_order", 2 / (1 / F.col("p_runs") + 1 / F.col("p_serial")))
             .drop("alphabet", "a", "chars", "v", "order", "m"))
 
 
-def discoveries(tested: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> DataFrame:
-    """The tokens that the battery calls random, at a false-discovery rate
-    of ``rate`` within each length class."""
-    length = F.size(F.filter(F.array(*[F.lit(c) for c in LENGTH_CLASSES]), lambda c: c <= F.col("n")))
-    t = tested.withColumn("length_class", length).withColumn("bin", F.floor(-F.log("p") * P_BINS).cast("int"))
-    counts = t.groupBy("length_class", "bin").agg(F.count(F.lit(1)).alias("c"))
+def rejected(tested: DataFrame, p: str, rate: float) -> DataFrame:
+    """(length_class, least_bin): within each length class, the p-values in
+    this bin and beyond are those that Benjamini-Hochberg rejects at ``rate``.
+    A bin counts as its upper edge, so the rate holds."""
+    counts = tested.groupBy("length_class", p_bin(p).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
     down = Window.partitionBy("length_class").orderBy(F.col("bin").desc())
     every = Window.partitionBy("length_class")
     counts = counts.withColumn("upto", F.sum("c").over(down)).withColumn("all", F.sum("c").over(every))
     edge = F.exp(-F.col("bin") / F.lit(float(P_BINS)))
-    least = (counts.where(edge * F.col("all") <= F.lit(rate) * F.col("upto"))
-             .groupBy(F.col("length_class").alias("lc")).agg(F.min("bin").alias("least_bin")))
-    passed = t.join(least, F.col("length_class") == F.col("lc")).where(F.col("bin") >= F.col("least_bin"))
-    calm = (F.abs(F.col("z_runs")) < VETO_Z) & (F.abs(F.col("z_serial")) < VETO_Z)
-    return passed.where(calm).select("row", "kind", "start", "end", "encoding", "p")
+    return (counts.where(edge * F.col("all") <= F.lit(rate) * F.col("upto"))
+            .groupBy("length_class").agg(F.min("bin").alias("least_bin")))
+
+
+def p_bin(p: str) -> Column:
+    return F.floor(-F.log(p) * P_BINS).cast("int")
+
+
+def discoveries(tested: DataFrame, rate: float = FALSE_DISCOVERY_RATE,
+                order_rate: float = FALSE_ORDER_RATE) -> DataFrame:
+    """The tokens that the battery calls random: not prose at a
+    false-discovery rate of ``rate`` within each length class, and of those
+    not ordered, held to ``order_rate`` alike."""
+    length = F.size(F.filter(F.array(*[F.lit(c) for c in LENGTH_CLASSES]), lambda c: c <= F.col("n")))
+    kept = ["row", "kind", "start", "end", "encoding", "p", "p_order"]
+    tested = materialize(tested.withColumn("length_class", length).select(*kept, "length_class"))
+    # At most a row per length class and bin.
+    found = tested.join(F.broadcast(rejected(tested, "p", rate)), "length_class")
+    found = found.where(p_bin("p") >= F.col("least_bin")).drop("least_bin")
+    ordered = rejected(found, "p_order", order_rate)
+    found = found.join(F.broadcast(ordered), "length_class", "left")
+    random = F.col("least_bin").isNull() | (p_bin("p_order") < F.col("least_bin"))
+    return found.where(random).select("row", "kind", "start", "end", "encoding", "p")
 
 
 def find_secrets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
