@@ -1,11 +1,15 @@
 """Personal data by weak supervision.
 
-Patterns give candidate spans: the base kinds, which always stay, and looser
-kinds.  Pattern, gazetteer, context and shape labelers vote on every
+Patterns give candidate spans: the base kinds, which always stay where their
+rule holds, and looser kinds.  Base matches that break their rule (no Luhn
+check, parts over 255, too few digits) are candidates too, as are account and
+identity numbers that do not check: never spans, but known negatives to learn
+from.  Rule, pattern, gazetteer, context and shape labelers vote on every
 candidate or abstain.  Expectation-maximisation over the counts of equal vote
 patterns (a table bounded by 3^labelers x kinds) estimates each kind's share
 of personal data and each labeler's reliability; the posteriors then train a
-hashed log-linear span classifier, whose verdict decides on the looser kinds.
+hashed log-linear span classifier on what a candidate and its neighbourhood
+look like, whose verdict decides on candidates of the looser kinds that check.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 #: Looser kinds.
 LOOSE = {
-    "handle": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}"
+    "handle": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++"
               r"\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z]{2,24}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Madame|Monsieur)\.?\x20\p{Lu}\p{Ll}+"
@@ -59,7 +63,7 @@ CUES = {
     "name": "by|contact|dear|signed|von|por|par",
     "national_id": "ssn|social|security|id|insurance",
 }
-COUNTER_CUES = r"(?i)(version|release|chapter|section|page|isbn|order|invoice|serial|build|v)\.?\x20?(no\.?|number|#)?[:\x20]*$"
+COUNTER_CUES = r"(?i)(version|release|chapter|section|page|isbn|order|invoice|serial|build|part|v)\.?\x20?(no\.?|number|#)?[:\x20]*$"
 
 HASHED = 1 << 12
 SMOOTH = 1.0
@@ -124,8 +128,7 @@ def votes() -> dict[str, Column]:
                .when(is_("ip"), yes(~token.rlike("(^|\\.)0[0-9]") & ~token.rlike("^0\\.")))
                .when(is_("card"), yes(token.rlike("^[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}$")))
                .when(is_("phone", "local_phone"), yes(n.between(10, 15)))
-               .when(is_("national_id"), yes(~token.rlike("^(000|666|9)") & ~token.rlike("-00-|-0000$")))
-               .when(is_("iban"), yes(iban_checks(token))).when(is_("name"), F.lit(1)))
+               .when(is_("iban"), yes(token.rlike("^[A-Z]{2}[0-9 ]+$"))).when(is_("name"), F.lit(1)))
     country = F.regexp_extract(token, "^\\+([0-9]{1,3})", 1)
     codes = reduce(lambda a, b: a | b, [F.substring(country, 1, i).isin(*COUNTRY_CODES) for i in (1, 2)])
     gazetteer = (F.when(is_("email", "handle"), F.when(tld.isin(*TLDS), 1))
@@ -138,16 +141,23 @@ def votes() -> dict[str, Column]:
     context = F.when(F.col("context").rlike(COUNTER_CUES), 0).when(F.regexp_like("context", cue), 1)
     glued = F.col("context").rlike("[A-Za-z0-9]$")
     shape = F.when(glued, 0).when(F.col("context") == "", F.lit(None)).otherwise(1)
+    rule = (F.when(is_(*BASE), yes(base_holds())).when(is_("iban"), yes(iban_checks(token)))
+            .when(is_("national_id"), yes(~token.rlike("^(000|666|9)") & ~token.rlike("-00-|-0000$"))))
     return {k: v.cast("int") for k, v in
-            {"pattern": pattern, "gazetteer": gazetteer, "context": context, "shape": shape}.items()}
+            {"rule": rule, "pattern": pattern, "gazetteer": gazetteer, "context": context, "shape": shape}.items()}
 
 
 def features() -> Column:
-    """Hashed features of a candidate."""
+    """Hashed features of a candidate that has its votes."""
     kind, token = F.col("kind"), F.col("token")
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[0-9]+", "9"), "[A-Z]+", "A"), "[a-z]+", "a")
     last = F.lower(F.regexp_extract("context", "(\\p{L}+)\\P{L}*$", 1))
-    named = [kind, F.concat(kind, F.lit("|shape|"), shape), F.concat(kind, F.lit("|last|"), last),
+    cues = F.when(F.col("v_context") == 1, "for").when(F.col("v_context") == 0, "against").otherwise("none")
+    held = F.coalesce(F.col("v_pattern").cast("string"), F.lit("?"))
+    # Without the kind in their names, features learn from all kinds at once.
+    named = [kind, F.concat(F.lit("cues|"), cues), F.concat(F.lit("last|"), last), F.concat(F.lit("held|"), held),
+             F.concat(kind, F.lit("|cues|"), cues), F.concat(kind, F.lit("|held|"), held),
+             F.concat(kind, F.lit("|shape|"), shape), F.concat(kind, F.lit("|last|"), last),
              F.concat(kind, F.lit("|size|"), F.floor(F.length(token) / 4).cast("string")),
              F.concat(kind, F.lit("|digits|"), F.length(digits_of(token)).cast("string")),
              F.concat(kind, F.lit("|glued|"), F.col("context").rlike("[A-Za-z0-9]$").cast("string"))]
@@ -161,7 +171,8 @@ def classify(candidates: DataFrame) -> DataFrame:
     names = [f"v_{k}" for k in labelers]
     # At most 3^labelers vote patterns of each kind.
     counted = voted.groupBy("kind", *names).agg(F.count(F.lit(1)).alias("n")).collect()
-    post = estimate([(r["kind"], tuple(r[n] for n in names), r["n"]) for r in counted])
+    votes_of = [(r["kind"], tuple(r[n] for n in names), r["n"]) for r in counted]
+    post = estimate(votes_of, never={(k, v) for k, v, _ in votes_of if v[names.index("v_rule")] == 0})
     if not post:
         return voted.withColumn("posterior", F.lit(0.0)).withColumn("score", F.lit(0.0))
     pattern = F.concat_ws("|", "kind", *[F.coalesce(F.col(n).cast("string"), F.lit("?")) for n in names])
@@ -188,10 +199,10 @@ def find_personal_data(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(scanned texts, spans).  Spans: row, kind, start, end; the base kinds
     and those of LOOSE that the classifier accepts, apart from base spans."""
     scanned = scan(docs, find)
-    holds = place(scanned).where(base_holds())
-    judged = classify(holds.select("row", "kind", "start", "end", "token", "context"))
-    base = judged.where(F.col("kind").isin(*BASE)).select("row", "kind", "start", "end")
-    loose = judged.where(~F.col("kind").isin(*BASE) & (F.col("score") > 0) & (F.col("posterior") > 0.5))
+    judged = classify(place(scanned).select("row", "kind", "start", "end", "token", "context"))
+    base = judged.where(F.col("kind").isin(*BASE) & (F.col("v_rule") == 1)).select("row", "kind", "start", "end")
+    holds = F.coalesce(F.col("v_rule"), F.lit(1)) == 1
+    loose = judged.where(~F.col("kind").isin(*BASE) & holds & (F.col("score") > 0))
     return scanned, base.unionByName(apart(loose.select("row", "kind", "start", "end"), base))
 
 

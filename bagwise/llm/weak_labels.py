@@ -12,37 +12,44 @@ PRIOR_VOTES = 4.0
 
 
 def estimate(counts: list[tuple[str, tuple, int]], start_yes: float = 0.8, start_no: float = 0.2,
-             rounds: int = ROUNDS) -> dict[tuple, float]:
+             rounds: int = ROUNDS, never: set[tuple] = frozenset()) -> dict[tuple, float]:
     """Two-class model of Dawid and Skene on (group, votes, n), n rows with
     equal votes: (group, votes) -> posterior of the positive class.
 
     A vote is 1, 0 or None (abstains, says nothing).  Each group has its own
-    share of positives and rates of each labeler, which start at ``start_yes``
-    (vote 1 on a positive) and ``start_no`` (on a negative).  ``counts`` has a
-    row per vote pattern, at most 3^labelers in a group, whatever the corpus."""
+    share of positives.  The rates of a labeler, which start at ``start_yes``
+    (vote 1 on a positive) and ``start_no`` (on a negative), hold for all
+    groups.  (group, votes) in ``never`` are known negatives; if there are any,
+    the groups that have them teach the rates, and the others, whose rows could
+    only confirm each other, learn their share by these rates.  ``counts`` has a row per vote pattern, at most 3^labelers in a group,
+    whatever the corpus."""
     groups = sorted({g for g, _, _ in counts})
     labelers = range(len(counts[0][1])) if counts else ()
     share = dict.fromkeys(groups, 0.5)
+    teaching = {g for g, _ in never} or set(groups)
     starts = (start_no, start_yes)
-    rate = {(g, j, c): starts[c] for g in groups for j in labelers for c in (0, 1)}
+    rate = {(j, c): starts[c] for j in labelers for c in (0, 1)}
     posterior: dict[tuple, float] = {}
     for _ in range(rounds):
         for group, votes, _ in counts:
+            if (group, votes) in never:
+                posterior[group, votes] = 0.0
+                continue
             odds = math.log(share[group] / (1 - share[group]))
             for j, vote in enumerate(votes):
                 if vote is not None:
-                    yes, no = rate[group, j, 1], rate[group, j, 0]
+                    yes, no = rate[j, 1], rate[j, 0]
                     odds += math.log(yes / no) if vote else math.log((1 - yes) / (1 - no))
             posterior[group, votes] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
         for g in groups:
-            mine = [(votes, n, posterior[g, votes]) for own, votes, n in counts if own == g]
-            total = sum(n for _, n, _ in mine)
-            share[g] = (sum(n * p for _, n, p in mine) + 1) / (total + 2)
-            for j in labelers:
-                for c in (0, 1):
-                    cast = [(votes[j], n * (p if c else 1 - p)) for votes, n, p in mine if votes[j] is not None]
-                    yes = sum(w for vote, w in cast if vote) + PRIOR_VOTES * starts[c]
-                    rate[g, j, c] = yes / (sum(w for _, w in cast) + PRIOR_VOTES)
+            mine = [(n, posterior[g, votes]) for own, votes, n in counts if own == g and (g, votes) not in never]
+            share[g] = (sum(n * p for n, p in mine) + 1) / (sum(n for n, _ in mine) + 2)
+        for j in labelers:
+            for c in (0, 1):
+                cast = [(votes[j], n * (posterior[g, votes] if c else 1 - posterior[g, votes]))
+                        for g, votes, n in counts if votes[j] is not None and g in teaching]
+                yes = sum(w for vote, w in cast if vote) + PRIOR_VOTES * starts[c]
+                rate[j, c] = yes / (sum(w for _, w in cast) + PRIOR_VOTES)
     return posterior
 
 

@@ -171,3 +171,87 @@ def test_empty_tables(spark):
     assert secret_scan.secret_report(empty).count() == 0
     assert pii.pii_report(empty).count() == 0
     assert quality_rules.judge(empty).count() == 0
+
+
+def test_ordered_tokens_are_dropped_by_their_p_values(spark):
+    """The combined p-value is that of its tests, and order is found by it."""
+    from statistics import NormalDist
+    chars = secret_scan.ENCODINGS["base62"][1]
+    even = [drawn(i, chars, 48) for i in range(150)]
+    zigzag = [("".join(chars[(i + j) % 31] + chars[31 + (i + j) % 31] for j in range(24))) for i in range(20)]
+    df = spark.createDataFrame([(i, "random", i, i + 48, t) for i, t in enumerate(even + zigzag)],
+                               "row long, kind string, start long, end long, token string")
+    tested = secret_scan.battery(df).collect()
+    for r in tested[:40]:
+        v = [secret_scan.ENCODINGS[r.encoding][1].index(c) for c in r.token]
+        steps, half = len(v) - 1, 30.5
+        runs = 1 + sum((a > half) != (b > half) for a, b in zip(v, v[1:]))
+        z = [(runs - 1 - steps / 2) / (steps / 4) ** 0.5,
+             sum((a - half) * (b - half) for a, b in zip(v, v[1:])) / ((62 ** 2 - 1) / 12 * steps ** 0.5)]
+        want = [2 * NormalDist().cdf(-abs(x)) for x in z]
+        assert [r.p_runs, r.p_serial] == pytest.approx(want, abs=1e-6)
+        assert r.p_order == pytest.approx(2 / sum(1 / p for p in want), rel=1e-3, abs=1e-6)
+    got = {r.row for r in secret_scan.discoveries(secret_scan.battery(df)).collect()}
+    assert len([i for i in got if i < 150]) >= 145 and not [i for i in got if i >= 150]
+
+
+def test_binned_rejections_are_those_of_benjamini_hochberg(spark):
+    r = random.Random(8)
+    ps = [(i % 3, r.random() ** (1 + 5 * (i % 2))) for i in range(900)]
+    tested = spark.createDataFrame(ps, "length_class int, p double")
+    bins = {x.length_class: x.least_bin for x in secret_scan.rejected(tested, "p", 0.05).collect()}
+    for c in range(3):
+        mine = sorted(p for k, p in ps if k == c)
+        plain = max((p for i, p in enumerate(mine, 1) if p <= 0.05 * i / len(mine)), default=0.0)
+        edge = 2.718281828459045 ** (-bins[c] / secret_scan.P_BINS) if c in bins else 0.0
+        # Rejects no more than the plain rule, and less than a bin's width fewer.
+        assert sum(p <= edge for p in mine) <= sum(p <= plain for p in mine)
+        assert edge >= plain * 2.718281828459045 ** (-2 / secret_scan.P_BINS)
+
+
+def iban(seed):
+    digits = drawn(seed, "0123456789", 18)
+    check = 98 - int(digits + "131400") % 97        # DE as 13 14
+    return f"DE{check:02d}{digits}"
+
+
+def personal_corpus(seed, n):
+    """(text, number of spans) of real data and of impostors of the looser kinds, and of base matches either way."""
+    r, out = random.Random(seed), []
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    for i in range(n):
+        area = r.choice("23456789") + d(2)
+        real = [f"please call ({area}) {d(3)}-{d(4)} today", f"bank account {iban(r.random())} thanks",
+                f"her ssn {r.choice('12345')}{d(2)}-{r.choice('12345')}{d(1)}-{r.choice('123')}{d(3)} is on file",
+                f"write to anna{i} (at) mail{i} (dot) org soon"]
+        wrong = iban(r.random())
+        fake = [f"see invoice number {area}-{d(3)}-{d(4)} for it",
+                f"bank account {wrong[:2]}{(int(wrong[2:4]) + 5) % 97:02d}{wrong[4:]} thanks",
+                f"serial no. 000-{d(2)}-{d(4)} was sold", f"order number {area}-{d(3)}-{d(4)} came"]
+        base = [f"host {r.randint(1, 250)}.{d(2)}.1.9 is up", f"version {r.randint(300, 900)}.{d(1)}.1.9 is out",
+                f"order number 4{d(14)}{d(3)} x", f"mail b{i}@c{i}.com now", f"build +{d(6)} done"]
+        out += [(t, 1) for t in real] + [(t, 0) for t in fake] + [(t, None) for t in base]
+    return out
+
+
+def test_span_classifier_refuses_impostors(spark):
+    """Precision and recall on the looser kinds, negatives from the corpus itself."""
+    made = personal_corpus(3, 120)
+    rows = [(i, t, "en", "s", 1) for i, (t, _) in enumerate(made)]
+    out = {r.doc_id: r.spans for r in pii.pii_report(frame(spark, rows)).collect()}
+    loose = {i: any(x.split(":")[0] in pii.LOOSE for x in s.split(",")) for i, s in out.items()}
+    hit = sum(loose[i] for i, (_, real) in enumerate(made) if real)
+    false = sum(loose[i] for i, (_, real) in enumerate(made) if real == 0)
+    wanted = sum(real == 1 for _, real in made)
+    assert hit / wanted >= 0.95 and hit / (hit + false) >= 0.95
+    _, spans = pii.find_personal_data(frame(spark, rows))
+    assert spans.where("kind = 'handle'").count() == 120
+
+
+def test_base_spans_stay_and_broken_ones_never_are(spark):
+    made = personal_corpus(5, 30)
+    out = pii.pii_report(frame(spark, [(i, t, "en", "s", 1) for i, (t, _) in enumerate(made)])).collect()
+    for r in out:
+        b = pii_base(made[r.doc_id][0])
+        assert r.base_sha256 == digest(b) and [r.n_email, r.n_ip, r.n_card, r.n_phone] == [
+            sum(k == kind for _, _, k, _ in b) for kind in pii.BASE]
