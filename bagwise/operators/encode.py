@@ -41,8 +41,8 @@ def with_tokens(df: DataFrame, text: str, view: View, out: str,
                 limit: int | None = None) -> DataFrame:
     """Add the token array of ``text`` as ``out``; ``limit`` keeps the first
     tokens only (the encoder needs max_len - 2 of them, the vocabulary all).
-    Char views first materialise the code points as an array column, so each
-    window is O(1) (a substring by position rescans the string)."""
+    Char views take their windows in one pass of a pattern (a substring by
+    position rescans the string)."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     if view.kind == "word":
         # a leading empty part, ``limit`` tokens and the rest, left unsplit
@@ -50,17 +50,10 @@ def with_tokens(df: DataFrame, text: str, view: View, out: str,
         toks = F.filter(parts, lambda t: F.length(t) > 0)
         return df.withColumn(out, F.slice(toks, 1, limit) if limit else toks)
     if view.kind == "char":
-        # one entry per code point ('.' in a Java regex matches a whole one)
+        # '.' in a Java regex matches a whole code point: each match takes one
+        # and looks at the window that it starts
         low = F.substring(low, 1, limit + view.n - 1) if limit else low
-        d = df.withColumn("_chars", F.regexp_extract_all(low, F.lit("(?s)."), F.lit(0)))
-        chars = F.col("_chars")
-        n_pos = F.size(chars) - view.n + 1
-        last = F.least(n_pos, F.lit(limit)) if limit else n_pos
-        grams = F.transform(F.sequence(F.lit(1), last),
-                            lambda i: F.concat(*[F.element_at(chars, i + k)
-                                                 for k in range(view.n)]))
-        return d.withColumn(out, F.when(n_pos >= 1, grams)
-                            .otherwise(F.array().cast("array<string>"))).drop("_chars")
+        return df.withColumn(out, F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{view.n}}}))."), F.lit(1)))
     raise ValueError(f"unknown view kind {view.kind!r}")
 
 

@@ -58,3 +58,14 @@ def test_ties_at_the_end_and_empty_tables(spark):
         got = enc.vocab(tied, [WORD], 2, counters=counters).orderBy("token_id").collect()
         assert [(r.token, r.n) for r in got] == [("a", 2), ("b", 2)]
     assert enc.vocab(table(spark, [], 1), [WORD], 5, counters=4).count() == 0
+
+
+@pytest.mark.parametrize("limit", [None, 1, 4, 50])
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_char_windows_are_of_code_points(spark, n, limit):
+    rows = ["", "a", "ab", "\U0001f600\U0001f601x\U0001f602", "été\n\r\nñ 日本語", "Áb" * 7, "$1 \\d (x)", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+    got = {r.id: r.t for r in enc.with_tokens(df, "text", enc.View("c", "char", n), "t", limit).collect()}
+    for i, text in enumerate(rows):
+        low = (text or "").lower()
+        assert got[i] == [low[j:j + n] for j in range(len(low) - n + 1)][:limit]
