@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -57,17 +56,124 @@ def with_tokens(df: DataFrame, text: str, view: View, out: str,
     raise ValueError(f"unknown view kind {view.kind!r}")
 
 
-def _token_rows(docs: DataFrame, view: View, text: str) -> DataFrame:
-    # explode_outer: plain explode makes the optimizer infer a size()
-    # filter below the projection, re-inlining the token expression
-    return (with_tokens(docs.select(text), text, view, "_t")
-            .select(F.explode_outer("_t").alias("token")).where(F.col("token").isNotNull()))
+SPACE = np.isin(np.arange(256), [9, 10, 13, 32])   # the bytes of WS
+BLOCK_BYTES = 4 << 20        # text that a task cuts into tokens at once, or one longer text
+HELD_TOKENS = 1_000_000      # different tokens that a task counts before it passes them on
+KEY_CHARS = 3                # code points (21 bits each) in one 64-bit key of a window
+
+
+def text_blocks(texts: pa.Array):
+    """``texts`` (null: empty) in runs of about BLOCK_BYTES, each as the bytes
+    of its texts and where they start and end in them."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if not len(texts):
+        return
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    cuts = np.flatnonzero(np.diff((at[:-1] - at[0]) // BLOCK_BYTES)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(texts)]):
+        yield data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]
+
+
+def split_words(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """All words of a block of texts in their order, and how many each text has."""
+    inside = ~SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begin = at[:-1][at[:-1] < len(data)]
+    first[begin] = inside[begin]           # a word does not run on into the next text
+    first = np.flatnonzero(first)
+    sizes = np.add.reduceat(inside.view(np.uint8), first, dtype=np.int64) if len(first) else first
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(data[inside]))
+    return words, np.diff(np.searchsorted(first, at))
+
+
+def _window_keys(data: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
+    """All ``n`` code-point windows of a block of texts, each as one number per
+    KEY_CHARS of its code points."""
+    chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    count = len(chars) - n + 1
+    if count <= 0:
+        return [np.zeros(0, np.uint64) for _ in range(0, n, KEY_CHARS)]
+    ends = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at[1:]]
+    whole = np.ones(count, bool)
+    over = (ends[:, None] - np.arange(1, n)).ravel()      # windows that run past their text
+    whole[over[(over >= 0) & (over < count)]] = False
+    keys = []
+    for k in range(0, n, KEY_CHARS):
+        key = np.zeros(count, np.uint64)
+        for i in range(k, min(n, k + KEY_CHARS)):
+            key |= chars[i:i + count] << np.uint64(21 * (i - k))
+        keys.append(key[whole])
+    return keys
+
+
+def _window_texts(keys: list[np.ndarray], n: int) -> pa.Array:
+    """The windows that ``_window_keys`` made numbers of."""
+    chars = np.empty((len(keys[0]), n), "<u4")
+    for i in range(n):
+        chars[:, i] = (keys[i // KEY_CHARS] >> np.uint64(21 * (i % KEY_CHARS))) & np.uint64(0x1FFFFF)
+    size = 1 + sum((chars >= least).astype(np.int64) for least in (0x80, 0x800, 0x10000))
+    ends = np.concatenate([[0], np.cumsum(size.sum(axis=1))]).astype(np.int64)
+    text = chars.tobytes().decode("utf-32-le").encode()
+    return pa.LargeStringArray.from_buffers(len(chars), pa.py_buffer(ends), pa.py_buffer(text))
+
+
+def token_counts(docs: DataFrame, view: View, text: str = "text") -> DataFrame:
+    """(token, n): how often a task met a token of ``text``, to be added up by
+    token.  A task counts a block of texts at once and passes its counts on
+    when they hold more than HELD_TOKENS different tokens, so no row is made
+    per token and its memory is bounded.  Tokens as in ``with_tokens``."""
+    if view.kind not in ("word", "char"):
+        raise ValueError(f"unknown view kind {view.kind!r}")
+    width = -(-view.n // KEY_CHARS) if view.kind == "char" else 1
+    names = [f"k{i}" for i in range(width)]
+
+    def added(tables):
+        sums = pa.concat_tables(tables).group_by(names, use_threads=False).aggregate([("n", "sum")])
+        return sums.rename_columns({"n_sum": "n"}).select([*names, "n"])
+
+    def out(t):
+        if view.kind == "word":
+            tokens = t["k0"].combine_chunks()
+        else:
+            tokens = _window_texts([t[k].to_numpy() for k in names], view.n)
+        rows = pa.table({"token": tokens.cast(pa.string()), "n": t["n"]})
+        return rows.combine_chunks().to_batches(max_chunksize=100_000)
+
+    def count(batches):
+        waiting, size = [], 0
+        for batch in batches:
+            for data, at in text_blocks(batch.column(0)):
+                keys = [split_words(data, at)[0]] if view.kind == "word" else _window_keys(data, at, view.n)
+                if width == 1:
+                    found = pc.value_counts(pa.array(keys[0]) if view.kind == "char" else keys[0])
+                    found = pa.table({"k0": found.field("values"), "n": found.field("counts")})
+                else:
+                    found = added([pa.table([*map(pa.array, keys), np.ones(len(keys[0]), np.int64)],
+                                            names=[*names, "n"])])
+                waiting.append(found)
+                size += found.num_rows
+                if size > HELD_TOKENS:
+                    waiting = [added(waiting)]
+                    size = waiting[0].num_rows
+                    if size > HELD_TOKENS // 2:
+                        yield from out(waiting[0])
+                        waiting, size = [], 0
+        if waiting:
+            yield from out(added(waiting))
+
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    return docs.select(low.alias("text")).mapInArrow(count, "token string, n long")
 
 
 def vocab(docs: DataFrame, views: Sequence[View], size: int, text: str = "text",
           counters: int | None = None) -> DataFrame:
     """(view, token, n, token_id) with the top-``size`` tokens of each view
-    over the whole texts (E1).  Counting is a map-side-combined aggregation;
+    over the whole texts (E1).  Counts are added up in the tasks
+    (``token_counts``), then by token;
     the top-k per view is Spark's partial take-ordered, never one task over
     all distinct tokens.  With ``counters``, only tokens that can be among the
     top are shuffled and counted (``frequent_tokens``); the result is equal."""
@@ -75,11 +181,11 @@ def vocab(docs: DataFrame, views: Sequence[View], size: int, text: str = "text",
         raise ValueError(f"vocabulary size above {MAX_VOCAB}")
     out = None
     for v in views:
-        tokens = _token_rows(docs, v, text)
+        tokens = token_counts(docs, v, text)
         if counters:
             counts = frequent_tokens(tokens, size, counters)
         else:
-            counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+            counts = tokens.groupBy("token").agg(F.sum("n").alias("n"))
         top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
         top = top.select(F.lit(v.name).alias("view"), "token", "n")
         out = top if out is None else out.unionByName(top)
@@ -92,8 +198,8 @@ MORE_COUNTERS = 4            # times as many counters if the bound proves too li
 
 
 def token_summaries(tokens: DataFrame, counters: int) -> DataFrame:
-    """(token, n) of at most ``counters`` frequent tokens per task, and one
-    row (null, e) per task: a token occurs there at most e times more often
+    """(token, n) of at most ``counters`` frequent tokens per task, of rows
+    (token) or, met n times, (token, n); and one row (null, e) per task: a token occurs there at most e times more often
     than its row says, or at most e times if it has none.  Summaries merge by
     adding up (n by token, e over all).
 
@@ -115,16 +221,20 @@ def token_summaries(tokens: DataFrame, counters: int) -> DataFrame:
             waiting, size = [held], 0
 
         for batch in batches:
-            found = pc.value_counts(batch.column(0))
-            waiting.append(pa.table({"token": found.field("values"), "n": found.field("counts")}))
-            size += len(found)
+            waiting.append(pa.table({"token": batch.column(0), "n": batch.column(1)}))
+            size += batch.num_rows
             if size > 2 * counters:
                 fold()
         fold()
         yield from held.to_batches()
         yield pa.record_batch({"token": pa.array([None], pa.string()), "n": pa.array([taken], pa.int64())})
 
-    return tokens.mapInArrow(summarise, "token string, n long")
+    return _numbered(tokens).mapInArrow(summarise, "token string, n long")
+
+
+def _numbered(tokens: DataFrame) -> DataFrame:
+    """(token, n) of rows (token), each met once, or (token, n)."""
+    return tokens.select("token", F.col("n") if "n" in tokens.columns else F.lit(1).cast("long").alias("n"))
 
 
 def frequent_tokens(tokens: DataFrame, size: int, counters: int) -> DataFrame:
@@ -148,27 +258,26 @@ def frequent_tokens(tokens: DataFrame, size: int, counters: int) -> DataFrame:
                 .agg(F.min("n").alias("t"), F.count(F.lit(1)).alias("c")).first())
         if last["c"] == size and taken < last["t"]:
             able = merged.where(F.col("n") >= last["t"] - taken).select("token")
-            return (tokens.join(checked_broadcast(able), "token", "left_semi")
-                    .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+            return (_numbered(tokens).join(checked_broadcast(able), "token", "left_semi")
+                    .groupBy("token").agg(F.sum("n").alias("n")))
         counters *= MORE_COUNTERS
 
 
-def _lookup_udf(table: tuple[np.ndarray, np.ndarray]):
+def _lookup_udf(table: tuple[pa.Array, pa.Array]):
     bc = None
 
     def build(spark):
         nonlocal bc
         bc = spark.sparkContext.broadcast(table)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def lookup(toks: pd.Series) -> pd.Series:
-        # one indexed lookup over the tokens of the whole batch
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def lookup(toks: pa.Array) -> pa.Array:
+        # one lookup over the tokens of the whole batch
         tokens, ids = bc.value
-        sizes = toks.map(len).to_numpy()
-        flat = np.concatenate([*toks.to_numpy(), np.zeros(0, dtype=object)])
-        at = pd.Index(tokens).get_indexer(flat)
-        found = np.where(at >= 0, ids[at] if len(ids) else UNK, UNK).astype(np.int32)
-        return pd.Series(np.split(found, np.cumsum(sizes)[:-1]) if len(sizes) else [], dtype=object)
+        flat = toks.flatten()
+        found = pc.fill_null(ids.take(pc.index_in(flat, value_set=tokens.cast(flat.type))), UNK)
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(toks).to_numpy())])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), found)
     return build, lookup
 
 
@@ -200,8 +309,8 @@ def encode(docs: DataFrame, vocab_df: DataFrame, view: View, max_len: int, text:
     rows = mine.where(F.col("token_id") <= beyond).collect()     # one more than is broadcast
     larger = len(rows) > broadcast_vocab
     rows = [r for r in rows if r[1] < beyond]
-    build, lookup = _lookup_udf((np.array([r[0] for r in rows], dtype=object),
-                                 np.array([r[1] for r in rows], dtype=np.int32)))
+    build, lookup = _lookup_udf((pa.array([r[0] for r in rows], pa.string()),
+                                 pa.array([r[1] for r in rows], pa.int32())))
     build(docs.sparkSession)
     out = out or view.name
     d = with_tokens(docs, text, view, "_tok", max_len - 2)
